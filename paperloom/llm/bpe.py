@@ -15,6 +15,7 @@ from __future__ import annotations
 import base64
 import os
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Pieces whose ids a worker remembers; beyond that it starts afresh.
-REMEMBERED = 300_000
+REMEMBERED = 800_000
 #: Texts of these characters only are split by a pattern that `re` runs fast; its classes equal those of the full
 #: pattern for these characters.
 _PLAIN = re.compile("[\t-\r -~À-ÖØ-öø-ɏ]*")
@@ -44,8 +45,8 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 def rank_tokenizer(ranks: dict[bytes, int]):
-    """A Tokenizer that encodes one piece by the ranks."""
-    from tokenizers import Tokenizer, models, pre_tokenizers
+    """A Tokenizer whose model encodes one piece, mapped to characters, by the ranks."""
+    from tokenizers import Tokenizer, models
 
     chars = byte_table()
     name = {t: "".join(chars[b] for b in t) for t in ranks}
@@ -53,16 +54,26 @@ def rank_tokenizer(ranks: dict[bytes, int]):
     for token, _ in sorted(ranks.items(), key=lambda x: x[1]):
         merges += [(name[token[:i]], name[token[i:]]) for i in range(1, len(token)) if token[:i] in ranks and token[i:] in ranks]
     model = models.BPE({name[t]: r for t, r in ranks.items()}, merges, ignore_merges=True)
-    tokenizer = Tokenizer(model)
-    tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-    return tokenizer
+    return Tokenizer(model)
+
+
+class _Known(dict):
+    """Ids of pieces, as bytes; a piece that is missing goes to the library's BPE model, byte by character."""
+
+    def __init__(self, model):
+        self.model, self.chars = model, byte_table()
+
+    def __missing__(self, piece: str) -> bytes:
+        mapped = piece.encode().decode("latin-1").translate(self.chars)
+        out = self[piece] = array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
+        return out
 
 
 class PieceEncoder:
-    """Ids of texts as little-endian 32-bit integers; each distinct piece goes to the library once for a batch."""
+    """Ids of texts as little-endian 32-bit integers; a piece goes to the library when it is new to this worker."""
 
     def __init__(self, tokenizer, pieces=None):
-        self.tokenizer, self.pieces, self.known = tokenizer, pieces, {}
+        self.tokenizer, self.pieces, self.known = tokenizer, pieces, _Known(tokenizer.model)
 
     def split(self, text: str) -> list[str] | None:
         if _PLAIN.fullmatch(text):
@@ -72,15 +83,10 @@ class PieceEncoder:
     def ids(self, text: str) -> bytes:
         found = self.split(text)
         if found is None:  # the tokenizer has a pattern of its own
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        known = self.known
-        new = [p for p in set(found) if p not in known]
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            new = list(set(found))
-        for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[p] = np.array(e.ids, "<u4").tobytes()
-        return b"".join(map(known.__getitem__, found))
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        return b"".join(map(self.known.__getitem__, found))
 
 
 def _one_thread() -> None:

@@ -22,8 +22,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import file_encoder
-from .shared import partitions, stored
+from .shared import stored
 
+#: Parts of the pieces of one length that are ranked apart.
+SALTS = 64
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, ids binary"
 
 
@@ -119,10 +121,9 @@ def best_fit_plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int,
 
 def place(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
     """pieces (which must not change when read again) with sequence_id and offset."""
-    spark = pieces.sparkSession
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(partitions(spark))))
+    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS)))
     sizes = salted.groupBy("length", "_salt").agg(F.count("*").alias("n"))
-    # at most capacity x shuffle partitions small rows, whatever the corpus
+    # at most capacity x SALTS small rows, whatever the corpus
     before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     base = stored(sizes.withColumn("_base", F.coalesce(F.sum("n").over(before), F.lit(0))), "packing")
     counts = {r["length"]: r["n"] for r in base.groupBy("length").agg(F.sum("n").alias("n")).collect()}
