@@ -17,14 +17,15 @@ import os
 import re
 from array import array
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pieces whose ids a worker remembers; beyond that it starts afresh.
-REMEMBERED = 800_000
+#: Pieces whose ids a worker remembers; beyond that it forgets the newer ones.
+REMEMBERED = 300_000
 #: Texts of these characters only are split by a pattern that `re` runs fast; its classes equal those of the full
 #: pattern for these characters.
 _PLAIN = re.compile("[\t-\r -~À-ÖØ-öø-ɏ]*")
@@ -84,8 +85,10 @@ class PieceEncoder:
         found = self.split(text)
         if found is None:  # the tokenizer has a pattern of its own
             return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > REMEMBERED:  # frequent pieces came first, so the oldest third stays
+            oldest = list(islice(self.known.items(), REMEMBERED // 3))
             self.known.clear()
+            self.known.update(oldest)
         return b"".join(map(self.known.__getitem__, found))
 
 
