@@ -1,15 +1,563 @@
-"""All queries over the shared tables, by name."""
+"""All queries over the shared tables and over small fixed rows, by name, with the same in SQL where SQL can say it."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from .functions import dates as D
+from .functions import mrz, rules
+from .functions import text as T
+from .functions.rules import LANGUAGES, Settings
+from .operators import classify as C
+from .operators import extract, merge, naming, score, segment, validate
+from .plans import analyse, demo
+from .sources import sinks
+from .sources.readers import paged
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+S = Settings()
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as paged documents."""
+    return paged(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text")
+
+
+def q(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def values(spark: SparkSession, schema: str, rows: list[tuple]) -> DataFrame:
+    return spark.createDataFrame(rows, schema)
+
+
+def sql_values(name: str, columns: str, rows: list[tuple]) -> str:
+    cell = lambda v: "NULL" if v is None else q(v) if isinstance(v, str) else str(v)
+    return f"{name}({columns}) AS (VALUES " + ", ".join("(" + ", ".join(map(cell, r)) + ")" for r in rows) + ")"
+
+
+# --- keyword scores over documents, pages over conversations ---
+
+_HAY = r"trim(regexp_replace(lower(coalesce(text, '')), '\s+', ' ', 'g'))"
+_KEYWORDS = ", ".join(f"({n}, {q(t.key)}, {q(w)}, {k})" for n, t in enumerate(LANGUAGES) for w, k in t.keywords)
+
+
+def _scored(source: str, keys: str) -> str:
+    return f"""kw(ordinal, type_key, word, weight2) AS (VALUES {_KEYWORDS}),
+    hay AS (SELECT {keys}, {_HAY} AS h FROM {source}),
+    scored AS (SELECT {keys}, type_key, ordinal, CAST(sum(weight2 * least((length(h) - length(replace(h, word, ''))) // length(word), 2)) AS INTEGER) AS score2
+      FROM hay CROSS JOIN kw GROUP BY ALL HAVING score2 > 0),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY score2 DESC, ordinal) AS rn FROM scored),
+    top AS (SELECT {keys}, max(CASE WHEN rn = 1 THEN score2 END) AS best2, coalesce(max(CASE WHEN rn = 2 THEN score2 END), 0) AS second2,
+      max(CASE WHEN rn = 1 THEN type_key END) AS first_type FROM ranked GROUP BY {keys})"""
+
+
+def _confidence_sql(best: str = "best2", second: str = "second2") -> str:
+    table = lambda d: " ".join(f"WHEN {k} THEN CAST({v} AS DOUBLE)" for k, v in d.items())
+    return f"""CASE WHEN {best} IS NULL THEN CAST(0.1 AS DOUBLE) WHEN {best} < 5 THEN CAST(0.2 AS DOUBLE) + {best} / CAST(50 AS DOUBLE)
+      WHEN {second} * 10 > {best} * 8 THEN CASE {best} {table(rules.AMBIGUOUS)} ELSE CAST(0.5 AS DOUBLE) END
+      ELSE CASE {best} {table(rules.CONFIDENCE)} ELSE CAST(0.55 AS DOUBLE) END END"""
+
+
+@query(r"""SELECT conv_id, turn, CAST(length(regexp_replace(text, '\s+', '', 'g')) AS INTEGER) AS n_chars,
+    length(regexp_replace(text, '\s+', '', 'g')) < 60 AS needs_ocr, length(regexp_replace(text, '\s+', '', 'g')) = 0 AS is_empty FROM conversations""")
+def page_needs_ocr(spark, sf):
+    n = T.char_count(F.col("text"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", n.alias("n_chars"), T.needs_ocr(F.col("text"), S.ocr_min_chars).alias("needs_ocr"), (n == 0).alias("is_empty"))
+
+
+@query(f"WITH {_scored('documents', 'doc_id')} SELECT doc_id, type_key, score2 FROM scored")
+def keyword_scores(spark, sf):
+    docs = table(spark, sf, "documents")
+    return docs.select("doc_id", F.inline(C.scores(F.col("text"), LANGUAGES))).select("doc_id", "type_key", "score2")
+
+
+@query(f"""WITH {_scored('documents', 'doc_id')} SELECT doc_id, best2, coalesce(second2, 0) AS second2,
+    CASE WHEN best2 >= 5 THEN first_type ELSE 'unknown' END AS page_type, coalesce(second2, 0) * 10 > best2 * 8 AS ambiguous
+    FROM documents LEFT JOIN top USING (doc_id)""")
+def best_type_top2(spark, sf):
+    found = C.classify(table(spark, sf, "documents"), LANGUAGES)
+    return found.select("doc_id", "best2", "second2", "page_type", (F.col("second2") * 10 > F.col("best2") * 8).alias("ambiguous"))
+
+
+@query(f"WITH {_scored('documents', 'doc_id')} SELECT doc_id, {_confidence_sql()} AS page_confidence FROM documents LEFT JOIN top USING (doc_id)")
+def keyword_confidence(spark, sf):
+    return C.classify(table(spark, sf, "documents"), LANGUAGES).select("doc_id", "page_confidence")
+
+
+_SEGMENTS = f"""WITH {_scored('conversations', 'conv_id, turn')},
+    typed AS (SELECT c.conv_id AS doc_id, CAST(c.turn + 1 AS INTEGER) AS page_no, c.text,
+      CASE WHEN best2 >= 5 THEN first_type ELSE 'unknown' END AS page_type, {_confidence_sql('best2', 'coalesce(second2, 0)')} AS page_confidence
+      FROM conversations c LEFT JOIN top USING (conv_id, turn)),
+    filled AS (SELECT *, coalesce(last_value(nullif(page_type, 'unknown') IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY page_no
+      ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 'unknown') AS seg_type FROM typed),
+    marked AS (SELECT *, CASE WHEN lag(seg_type) OVER w IS DISTINCT FROM seg_type THEN 1 ELSE 0 END AS new FROM filled WINDOW w AS (PARTITION BY doc_id ORDER BY page_no)),
+    numbered AS (SELECT *, CAST(sum(new) OVER (PARTITION BY doc_id ORDER BY page_no) AS BIGINT) AS seg_no FROM marked),
+    segs AS (SELECT doc_id, seg_no, max(seg_type) AS seg_type, min(page_no) AS start_page, max(page_no) AS end_page, max(page_confidence) AS confidence,
+      regexp_replace(string_agg(text, chr(10) ORDER BY page_no), '^\\s+|\\s+$', '', 'g') AS text FROM numbered GROUP BY ALL)"""
+
+
+@query(_SEGMENTS + " SELECT doc_id, seg_no, seg_type, start_page, end_page, confidence FROM segs")
+def segments_islands(spark, sf):
+    return segment.segments(C.classify(turns(spark, sf), LANGUAGES)).drop("text")
+
+
+@query(_SEGMENTS + " SELECT doc_id, seg_no, text, md5(text) AS digest FROM segs")
+def segment_text(spark, sf):
+    return segment.segments(C.classify(turns(spark, sf), LANGUAGES)).select("doc_id", "seg_no", "text", F.md5("text").alias("digest"))
+
+
+_AGAIN = _scored("segs", "doc_id, seg_no")
+
+
+@query(f"""{_SEGMENTS}, again AS (WITH {_AGAIN} SELECT * FROM top),
+    seen AS (SELECT s.*, CASE WHEN best2 >= 5 THEN first_type ELSE 'unknown' END AS whole_type, {_confidence_sql('best2', 'coalesce(second2, 0)')} AS whole_confidence
+      FROM segs s LEFT JOIN again USING (doc_id, seg_no))
+    SELECT doc_id, seg_no, CASE WHEN seg_type = 'unknown' THEN whole_type ELSE seg_type END AS document_type,
+      CASE WHEN seg_type = 'unknown' THEN whole_confidence WHEN seg_type = whole_type THEN greatest(confidence, whole_confidence) ELSE confidence END AS keyword_confidence FROM seen""")
+def segment_reclassify(spark, sf):
+    found = segment.reclassified(segment.segments(C.classify(turns(spark, sf), LANGUAGES)), LANGUAGES)
+    return found.select("doc_id", "seg_no", "document_type", "keyword_confidence")
+
+
+@query(r"""SELECT conv_id AS doc_id, substr(string_agg('[PAGE ' || (turn + 1) || ']' || chr(10) || rtrim(text), chr(10) ORDER BY turn), 1, 12000) AS snippet,
+    CAST(sum(length(regexp_replace(text, '\s+', '', 'g'))) AS BIGINT) AS n_chars, count(*) AS n_pages FROM conversations GROUP BY 1""")
+def doc_full_text_snippet(spark, sf):
+    return turns(spark, sf).groupBy("doc_id").agg(
+        F.substring(segment.ordered_text(mark=True), 1, 12000).alias("snippet"), F.sum(T.char_count(F.col("text")).cast("bigint")).alias("n_chars"), F.count("*").alias("n_pages")
+    )
+
+
+_LINES = """lines AS (SELECT doc_id, i AS line_no, l AS text, CAST(CASE WHEN length(l) % 7 = 0 THEN 14 WHEN length(l) % 5 = 0 THEN 12 ELSE 10 END AS DOUBLE) AS font_size
+    FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents), unnest(a) WITH ORDINALITY AS t(l, i))"""
+
+
+@query(f"""WITH {_LINES}, sizes AS (SELECT doc_id, font_size, sum(length(text)) AS n, min(line_no) AS first FROM lines GROUP BY ALL),
+    body AS (SELECT doc_id, font_size AS body_size FROM sizes QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first) = 1),
+    big AS (SELECT doc_id, any_value(body_size) AS body_size, text, min(line_no) AS place FROM lines JOIN body USING (doc_id)
+      WHERE font_size >= 1.15 * body_size AND length(text) > 2 AND length(text) <= 80 GROUP BY doc_id, text)
+    SELECT doc_id, any_value(body_size) AS body_size, array_to_string(list_slice(list(text ORDER BY place), 1, 6), ' / ') AS headings FROM big GROUP BY doc_id""")
+def heading_mode(spark, sf):
+    split = table(spark, sf, "documents").select("doc_id", F.lit(1).alias("page_no"), F.posexplode(F.split("text", "\n")).alias("line_no", "text"))
+    n = F.length("text")
+    lines = split.withColumn("font_size", F.when(n % 7 == 0, 14.0).when(n % 5 == 0, 12.0).otherwise(10.0))
+    return segment.headings(lines).select("doc_id", "body_size", F.array_join("headings", " / ").alias("headings"))
+
+
+# --- names, labels, titles ---
+
+_PEOPLE = [("John Smith",), ("Smith, John",), ("SMITH JOHN",), ("Curriculum Vitae",), ("Jo3 Smith",), ("A B",), ("Anna Maria Weber",), ("one two",), ("Smith",), ("",), ("Ada de Brook",), ("Ümit Öz",)]
+
+
+@query("WITH " + sql_values("v", "name", _PEOPLE) + f""", w AS (SELECT name, string_split(trim(regexp_replace(replace(name, ',', ' '), '\\s+', ' ', 'g')), ' ') AS t FROM v)
+    SELECT name, NOT regexp_matches(name, '[0-9]') AND len(t) BETWEEN 2 AND 3
+      AND len(list_filter(t, lambda x: regexp_full_match(x, '[A-ZÄÖÜ][A-Za-zÄÖÜäöüß''-]{{1,20}}|[A-ZÄÖÜ]{{2,20}}'))) = len(t)
+      AND len(list_filter(t, lambda x: list_contains([{', '.join(map(q, rules.NOT_A_PERSON))}], lower(x)))) = 0 AS is_person FROM w""")
+def person_name_filter(spark, sf):
+    return values(spark, "name string", _PEOPLE).select("name", T.is_person(F.col("name")).alias("is_person"))
+
+
+@query("WITH " + sql_values("v", "name", _PEOPLE) + """, c AS (SELECT name, string_split(name, ' ') AS t FROM v)
+    SELECT name, CASE WHEN name = '' THEN NULL WHEN contains(name, ',') THEN trim(split_part(name, ',', 2)) WHEN len(t) > 1 THEN t[1] END AS first_name,
+      CASE WHEN name = '' THEN NULL WHEN contains(name, ',') THEN split_part(name, ',', 1) ELSE t[len(t)] END AS last_name FROM c""")
+def full_name_split(spark, sf):
+    n = T.split_name(F.col("name"))
+    return values(spark, "name string", _PEOPLE).select("name", n["first"].alias("first_name"), n["last"].alias("last_name"))
+
+
+@query("""SELECT p_partkey, substr(array_to_string(list_transform(string_split(lower(p_name), ' '),
+    lambda w, i: CASE WHEN i > 1 AND w IN ('of','and','the','for','in','on','zur','der','die','das','und') THEN w ELSE upper(substr(w, 1, 1)) || substr(w, 2) END), ' '), 1, 60) AS title FROM part""")
+def title_normalise(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", T.normalise_title(F.when(F.col("p_partkey") % 2 == 0, F.upper("p_name")).otherwise(F.lower("p_name"))).alias("title"))
+
+
+@query(f"""SELECT doc_id, len(lines) AS n_lines, list_filter(list_transform(lines[1:6], lambda l: trim(l)), lambda l: l <> '')[1] AS first_line
+    FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents)""")
+def first_heading_lines(spark, sf):
+    docs = table(spark, sf, "documents")
+    lines = F.filter(F.transform(extract.first_lines(F.col("text"), 6), F.trim), lambda x: x != "")
+    return docs.select("doc_id", F.size(F.split("text", "\n", -1)).cast("bigint").alias("n_lines"), F.try_element_at(lines, F.lit(1)).alias("first_line"))
+
+
+def _demo(spark: SparkSession) -> DataFrame:
+    """One row for each demo page with its type, for the extraction of single fields."""
+    return C.classify(demo.pages(spark)).withColumnRenamed("page_type", "document_type")
+
+
+@query()
+def label_extract(spark, sf):
+    return _demo(spark).select("doc_id", "page_no", *(extract.label(F.col("text"), f).alias(f) for f in rules.LABELS))
+
+
+@query()
+def type_anchor_extract(spark, sf):
+    fields = ("full_name", "city", "dependent_name", "period", "company")
+    return _demo(spark).select("doc_id", "page_no", "document_type", *(extract.anchor(F.col("text"), F.col("document_type"), f).alias(f) for f in fields))
+
+
+@query()
+def company_legal_form(spark, sf):
+    found = _demo(spark).select("doc_id", "page_no", extract.company(F.col("text"), F.col("document_type")).alias("company"), extract.companies(F.col("text")).alias("every"))
+    return found.select("doc_id", "page_no", "company", F.array_join("every", "; ").alias("companies"))
+
+
+_RELATIONS = [("wife",), ("Tochter",), ("my child",), ("applicant",), ("",), ("SPOUSE of A",), ("cousin",), (" Kind ",), ("n/a",)]
+
+
+@query("WITH " + sql_values("v", "word", _RELATIONS) + ", a(k, r) AS (VALUES " + ", ".join(f"({q(k)}, {q(r)})" for k, r in rules.RELATIONSHIPS.items()) + """)
+    SELECT word, nullif(coalesce(r, CASE WHEN contains(lower(word), 'child') THEN 'child' WHEN contains(lower(word), 'spouse') THEN 'spouse' END), '') AS relationship
+    FROM v LEFT JOIN a ON k = lower(trim(word))""")
+def relationship_alias(spark, sf):
+    return values(spark, "word string", _RELATIONS).select("word", merge.relationship(F.col("word")).alias("relationship"))
+
+
+_TIDY = r"trim(regexp_replace(regexp_replace({0}, '[^\w\s''.-]', '', 'g'), '\s+', ' ', 'g'), ' -.')"
+
+
+@query(rf"""SELECT c_custkey, {_TIDY.format('c_name')} AS person, trim(c_name, ' ,;-.') AS company, trim(replace(replace(c_name, '#', '/'), '/', ' ')) AS part,
+    trim(regexp_replace(c_name, '[^\w.\- ]+', '', 'g'), ' .') AS folder FROM customer""")
+def tidy_fields(spark, sf):
+    name = F.col("c_name")
+    return table(spark, sf, "customer").select(
+        "c_custkey", T.tidy_name(name).alias("person"), T.tidy_company(name).alias("company"), T.file_part(F.replace(name, F.lit("#"), F.lit("/"))).alias("part"), T.folder_name(name).alias("folder")
+    )
+
+
+# --- machine-readable zones ---
+
+_CHECKED = "lpad(CAST(o_orderkey AS VARCHAR), 9, '<') || chr(CAST(65 + o_custkey % 26 AS INTEGER))"
+
+
+@query(f"""SELECT o_orderkey, CAST(list_sum(list_transform(range(1, 11), lambda i: [7, 3, 1][(i - 1) % 3 + 1] * greatest(instr('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', substr(s, i, 1)) - 1, 0))) % 10 AS INTEGER) AS digit
+    FROM (SELECT o_orderkey, {_CHECKED} AS s FROM orders)""")
+def mrz_check_digit(spark, sf):
+    s = F.concat(F.lpad(F.col("o_orderkey").cast("string"), 9, "<"), F.chr(65 + F.col("o_custkey") % 26))
+    return table(spark, sf, "orders").select("o_orderkey", mrz.check_digit(s).cast("int").alias("digit"))
+
+
+@query()
+def mrz_parse_verify(spark, sf):
+    rows = [("good", demo.MRZ), ("broken", demo.BROKEN_MRZ), ("first line only", demo.MRZ.split("\n")[0]), ("none", "nothing here"), ("spaced", " ".join(demo.MRZ))]
+    x = values(spark, "name string, text string", rows).select("name", mrz.parse_mrz(F.col("text"), S.as_of).alias("m"))
+    failed = F.array_join(F.array_sort(F.map_keys(F.map_filter("m.checks", lambda k, v: ~v))), ",")
+    return x.select("name", "m.surname", "m.given_name", "m.document_number", "m.nationality", "m.birth_date", "m.expiry_date", "m.verified", failed.alias("failed"))
+
+
+# --- dates ---
+
+_SHAPES = ("dd.MM.yyyy", "yyyy-MM-dd", "dd/MM/yyyy", "dd-MM-yyyy", "yyyy/MM/dd", "yyyyMMdd")
+
+
+@query("SELECT o_orderkey, strftime(CAST(o_orderdate AS DATE), '%d.%m.%Y') AS shown, CAST(o_orderdate AS DATE) AS parsed FROM orders")
+def parse_date_formats(spark, sf):
+    x = table(spark, sf, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("d"))
+    text = F.lit(None).cast("string")
+    for n, f in enumerate(_SHAPES):
+        text = F.when(F.col("o_orderkey") % len(_SHAPES) == n, F.date_format("d", f)).otherwise(text)
+    x = x.withColumn("text", text)
+    return x.select("o_orderkey", D.show_date(D.parse_date(F.col("text"))).alias("shown"), D.parse_date(F.col("text")).alias("parsed"))
+
+
+_DATES = [("15.08.2032", "2032-08-15"), ("2032-08-15", "2032-08-15"), ("15/08/2032", "2032-08-15"), ("08/15/2032", "2032-08-15"), ("15 AUG 2032", "2032-08-15"),
+          ("15.08.32", "2032-08-15"), ("15.08.70", "1970-08-15"), ("31.02.2020", None), ("20320815", "2032-08-15"), ("15 März 2030", "2030-03-15"), ("15 September 2030", "2030-09-15"),
+          ("15 January 2030", "2030-01-15"), ("March 5, 2031", "2031-03-05"), ("15.Okt.2031", "2031-10-15"), ("no date", None), ("", None)]
+
+
+@query("WITH " + sql_values("v", "text, expected", _DATES) + " SELECT text, CAST(expected AS DATE) AS parsed FROM v")
+def parse_date_edges(spark, sf):
+    return values(spark, "text string, expected string", _DATES).select("text", D.parse_date(F.col("text")).alias("parsed"))
+
+
+@query(r"""WITH hits AS (SELECT doc_id, regexp_extract_all(text, '\b(?:\d{1,2}[.\-/\s]\d{1,2}[.\-/\s]\d{2,4}|\d{4}[-/.]\d{1,2}[-/.]\d{1,2}|\d{1,2}\s?[A-Za-zÄÖÜäöü]{3,9}\s?\d{4})\b') AS a FROM documents)
+    SELECT doc_id, len(a) AS n_hits, len(list_filter(list_transform(a, lambda x: coalesce(try_strptime(x, '%d.%m.%Y'), try_strptime(x, '%d.%m.%y'), try_strptime(x, '%Y-%m-%d'),
+      try_strptime(x, '%d/%m/%Y'), try_strptime(x, '%d-%m-%Y'), try_strptime(x, '%Y/%m/%d'), try_strptime(x, '%d %m %Y'), try_strptime(x, '%m/%d/%Y'))), lambda d: d IS NOT NULL)) AS n_dates
+    FROM hits WHERE len(a) > 0""")
+def find_dates_in_text(spark, sf):
+    docs = table(spark, sf, "documents").where(F.col("text").rlike("(?U)" + rules.DATES))
+    hits = F.regexp_extract_all("text", F.lit("(?U)" + rules.DATES), F.lit(0))
+    return docs.select("doc_id", F.size(hits).cast("bigint").alias("n_hits"), F.size(D.find_dates(F.col("text"))).cast("bigint").alias("n_dates"))
+
+
+@query("SELECT l_orderkey, l_linenumber, strftime(CAST(l_shipdate AS DATE), '%Y-%m') AS period FROM lineitem WHERE year(l_shipdate) >= 2000 OR l_linenumber % 4 IN (2, 3)")
+def period_normalise(spark, sf):
+    """Ship dates in four shapes; bare months are periods from 2000 on only."""
+    x = table(spark, sf, "lineitem").withColumn("d", F.col("l_shipdate").cast("date"))
+    text = lambda *fs: F.coalesce(*(F.when(F.col("l_linenumber") % 4 == n, F.date_format("d", f)) for n, f in enumerate(fs)))
+    x = x.withColumn("text", text("MM/yyyy", "yyyy-MM", "dd.MM.yyyy", "yyyy-MM-dd"))
+    return x.select("l_orderkey", "l_linenumber", D.normalise_period(F.col("text")).alias("period")).where("period is not null")
+
+
+_EXPIRY = [("Valid until: 30.09.2028, issued 01.01.2020", "30.09.2028", "label"), ("issued 01.01.2020, ends 02.03.2031", "02.03.2031", "guessed"), ("expires soon. date of expiry 05.06.2027", "05.06.2027", "label"),
+           ("born 01.01.1985", None, None), ("nothing", None, None), ("gültig bis 2030-01-02", "02.01.2030", "label")]
+_PERIOD = [("Abrechnungsmonat: 07/2026", "2026-07", "label"), ("pay period 2026-3", "2026-03", "label"), ("paid on 12.03.2026", "2026-03", "guessed"), ("month 13/2026", None, None), ("nothing", None, None)]
+
+
+@query("WITH " + sql_values("v", "text, value, kind", _EXPIRY) + " SELECT * FROM v")
+def expiry_by_hint(spark, sf):
+    return values(spark, "text string", [(r[0],) for r in _EXPIRY]).select("text", D.find_expiry(F.col("text")).alias("x")).select("text", "x.value", "x.kind")
+
+
+@query("WITH " + sql_values("v", "text, value, kind", _PERIOD) + " SELECT * FROM v")
+def period_by_hint(spark, sf):
+    return values(spark, "text string", [(r[0],) for r in _PERIOD]).select("text", D.find_period(F.col("text")).alias("x")).select("text", "x.value", "x.kind")
+
+
+# --- confidence, validation, review ---
+
+_FIELDS = "id string, document_type string, first_name string, last_name string, company string, valid_until string, city string, relationship string, dependent_name string, child_index int, period string, title string, keyword_confidence double, confidence double, source string, found string"
+_ROWS = [
+    ("verified", "01_passport", "Ada", "Brook", "Lumen", "01.02.2031", None, None, None, None, None, None, 0.55, 0.95, "rules", "last_name:verified,first_name:verified,company:label"),
+    ("no company", "01_passport", "Ada", "Brook", None, "01.02.2031", None, None, None, None, None, None, 0.55, 0.88, "rules", "last_name:verified,first_name:verified"),
+    ("anchored", "15_visa", "Ada", "Brook", "Lumen", "01.02.2031", None, None, None, None, None, None, 0.55, 0.92, "rules", "last_name:label,first_name:label,company:label,valid_until:label"),
+    ("guessed", "15_visa", "Ada", "Brook", "Lumen", "01.02.2020", None, None, None, None, None, None, 0.55, 0.55, "rules", "last_name:label,first_name:label,company:label,valid_until:guessed"),
+    ("unknown", "unknown", None, None, None, None, None, None, None, None, None, None, 0.55, 0.3, "rules", ""),
+    ("untitled", "other", "Ada", "Brook", "Lumen", None, None, None, None, None, None, None, 0.4, 0.3, "rules", "last_name:label,first_name:label,company:label"),
+    ("titled", "other", "Ada", "Brook", "Lumen", None, None, None, None, None, None, "Bank Statement", 0.4, 0.92, "rules", "last_name:label,first_name:label,company:label,title:heading"),
+    ("child", "10_birth_certificate", "Theo", "Brook", "Lumen", None, "Bremen", "child", None, None, None, None, 0.412, 0.41, "rules", "last_name:anchor"),
+    ("no city", "16_town_hall_registration", "Theo", "Brook", "Lumen", None, None, None, None, None, None, None, 0.5, 0.5, "rules", "last_name:label"),
+    ("no period", "12_payslip", "Theo", "Brook", "Lumen", None, None, "spouse", "X", 2, None, None, 0.02, 0.05, "rules", ""),
+]
+_NEEDS = {n: [t.key for t in rules.CATALOGUE if n in t.needs] for n in ("validity", "period", "city")}
+_IN = lambda n: "(" + ", ".join(map(q, _NEEDS[n])) + ")"
+_NAMES = ", ".join(x.split()[0] for x in _FIELDS.split(", "))
+
+
+def _rows(spark: SparkSession) -> DataFrame:
+    x = values(spark, _FIELDS, _ROWS)
+    pair = lambda p: F.struct(F.split(p, ":")[0].alias("field"), F.split(p, ":")[1].alias("kind"))
+    return x.withColumn("evidence", F.transform(F.filter(F.split("found", ","), lambda p: p != ""), pair)).drop("found")
+
+
+_SHORT = f"""(first_name IS NULL OR last_name IS NULL OR company IS NULL OR (document_type IN {_IN('validity')} AND valid_until IS NULL)
+    OR (document_type IN {_IN('period')} AND period IS NULL) OR (document_type IN {_IN('city')} AND city IS NULL) OR (document_type = 'other' AND title IS NULL))"""
+_HAS = lambda f: f"regexp_matches(found, '(^|,){f}:(anchor|label|heading|first_lines|legal_form|postal_code|guessed|batch)')"
+
+
+@query("WITH " + sql_values("v", _NAMES, _ROWS) + f""", a AS (SELECT *, {_SHORT} AS short, contains(found, 'guessed') AS guessed, contains(found, 'verified') AS verified,
+      {_HAS('first_name')} AND {_HAS('last_name')} AND {_HAS('company')} AND (document_type NOT IN {_IN('validity')} OR {_HAS('valid_until')})
+      AND (document_type NOT IN {_IN('period')} OR {_HAS('period')}) AND (document_type NOT IN {_IN('city')} OR {_HAS('city')}) AND (document_type <> 'other' OR {_HAS('title')}) AS anchored FROM v),
+    b AS (SELECT *, CASE WHEN verified THEN 0.95 WHEN anchored AND NOT short AND NOT guessed THEN 0.92 ELSE least(keyword_confidence, 0.55) END AS c FROM a),
+    d AS (SELECT *, CASE WHEN document_type = 'unknown' OR (document_type = 'other' AND title IS NULL) THEN least(c, 0.3) ELSE c END AS c2 FROM b)
+    SELECT id, CAST(round(greatest(0.05, CASE WHEN short OR guessed THEN least(c2, 0.88) ELSE c2 END), 3) AS DOUBLE) AS confidence FROM d""")
+def score_confidence(spark, sf):
+    return score.score(_rows(spark), S).select("id", "confidence")
+
+
+_ISSUES = f"""list_filter([
+    CASE WHEN document_type = 'unknown' THEN 'document_type: document type could not be determined' END,
+    CASE WHEN last_name IS NULL THEN 'last_name: missing' END, CASE WHEN first_name IS NULL THEN 'first_name: missing' END, CASE WHEN company IS NULL THEN 'company: missing' END,
+    CASE WHEN document_type IN {_IN('validity')} AND valid_until IS NULL THEN 'valid_until: validity date required for this document type' END,
+    CASE WHEN document_type IN {_IN('validity')} AND strptime(valid_until, '%d.%m.%Y') < DATE '{S.as_of}' THEN 'valid_until: document expired on ' || valid_until END,
+    CASE WHEN document_type IN {_IN('period')} AND period IS NULL THEN 'period: payslip period (YYYY-MM) required' END,
+    CASE WHEN document_type IN {_IN('city')} AND city IS NULL THEN 'city: city required for town hall documents' END,
+    CASE WHEN document_type = 'other' AND title IS NULL THEN 'title: this document is outside the naming convention and needs a title' END,
+    CASE WHEN relationship = 'child' AND dependent_name IS NULL THEN 'dependent_name: given name of the child required' END,
+    CASE WHEN confidence < 0.9 THEN 'confidence: ' || CAST(round_even(confidence * 100, 0) AS INTEGER) || '% is below the 90% threshold' END], lambda x: x IS NOT NULL)"""
+_ERROR = f"""(document_type = 'unknown' OR last_name IS NULL OR first_name IS NULL OR (document_type IN {_IN('validity')} AND valid_until IS NULL)
+    OR (document_type IN {_IN('period')} AND period IS NULL) OR (document_type IN {_IN('city')} AND city IS NULL) OR (document_type = 'other' AND title IS NULL))"""
+
+
+@query("WITH " + sql_values("v", _NAMES, _ROWS) + f""" SELECT id, CASE WHEN len(i) = 0 THEN 'no issues' ELSE array_to_string(i, '; ') END AS summary,
+    CASE WHEN e OR confidence < 0.9 THEN 'REVIEW REQUIRED' ELSE 'READY' END AS status FROM (SELECT *, {_ISSUES} AS i, {_ERROR} AS e FROM v)""")
+def validation_issues(spark, sf):
+    return validate.validate(_rows(spark), S).select("id", "summary", "status")
+
+
+@query("""SELECT count(*) FILTER (toxic = 0) AS detected, count(*) FILTER (toxic = 0 AND quality = 1 AND n_chars >= 500) AS ready,
+    count(*) FILTER (toxic = 0 AND NOT (quality = 1 AND n_chars >= 500)) AS review, count(*) FILTER (toxic = 1) AS failed FROM labels JOIN documents USING (doc_id)""")
+def confidence_gate_summary(spark, sf):
+    """Labels as a stand-in: toxic documents failed, low quality is an error, short texts have little confidence."""
+    x = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", "n_chars"), "doc_id")
+    bad = F.struct(F.lit("quality").alias("field_name"), F.lit("low").alias("message"), F.lit("error").alias("severity"))
+    x = x.withColumn("issues", F.when(F.col("quality") == 0, F.array(bad)).otherwise(F.slice(F.array(bad), 1, 0)))
+    x = validate.gate(x.withColumn("confidence", F.when(F.col("n_chars") >= 500, 0.95).otherwise(0.5)), S)
+    return validate.counts(x.withColumn("error", F.when(F.col("toxic") == 1, "toxic")))
+
+
+_CORRECTIONS = [("no company", {"company": " Lumen ", "child_index": "0"}, True), ("unknown", {"document_type": "03_cv", "last_name": "Brook", "first_name": ""}, False), ("child", {"dependent_name": "nora", "child_index": "2"}, None)]
+
+
+@query()
+def review_apply(spark, sf):
+    fixes = spark.createDataFrame(_CORRECTIONS, "id string, changes map<string,string>, approved boolean")
+    x = validate.review(_rows(spark), fixes, S).withColumn("file_name", naming.file_name(S))
+    return x.select("id", "document_type", "company", "dependent_name", "child_index", "source", "confidence", "status", "file_name").orderBy("status", "file_name")
+
+
+# --- names and manifests ---
+
+
+@query("""WITH r AS (SELECT o_orderkey, o_orderpriority, c_name, CASE o_orderstatus WHEN 'F' THEN '12_payslip_' || strftime(CAST(o_orderdate AS DATE), '%Y-%m') WHEN 'O' THEN '03_CV' ELSE '00_unclassified' END AS label,
+      replace(c_name, '#', ' ') AS last FROM orders JOIN customer ON c_custkey = o_custkey)
+    SELECT o_orderkey, label || CASE WHEN o_orderkey % 3 = 0 THEN '_spouse' WHEN o_orderkey % 3 = 1 THEN '_child 2_Nora' ELSE '' END || '_' || trim(last) || '_UNKNOWN_' || o_orderpriority || '.pdf' AS file_name,
+      replace(trim(last), ' ', '') || '_UNKNOWN' AS client_key FROM r""")
+def file_name_build(spark, sf):
+    x = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("c_custkey") == F.col("o_custkey"))
+    none = F.lit(None).cast("string")
+    x = x.select("o_orderkey", F.when(F.col("o_orderstatus") == "F", "12_payslip").when(F.col("o_orderstatus") == "O", "03_cv").otherwise("unknown").alias("document_type"),
+                 F.date_format("o_orderdate", "yyyy-MM").alias("period"), F.replace("c_name", F.lit("#"), F.lit("_")).alias("last_name"), none.alias("first_name"), F.col("o_orderpriority").alias("company"),
+                 F.when(F.col("o_orderkey") % 3 == 0, "spouse").when(F.col("o_orderkey") % 3 == 1, "child").alias("relationship"), F.lit(2).alias("child_index"), F.lit("Nora").alias("dependent_name"),
+                 none.alias("valid_until"), none.alias("city"), none.alias("title"))
+    return x.select("o_orderkey", naming.file_name(S).alias("file_name"), naming.client_key(S).alias("client_key"))
+
+
+@query("""WITH n AS (SELECT o_orderkey, o_orderpriority AS folder, o_orderstatus AS stem, row_number() OVER (PARTITION BY o_orderpriority, o_orderstatus ORDER BY o_orderkey) AS k FROM orders)
+    SELECT o_orderkey, folder, stem || CASE WHEN k > 1 THEN ' (' || k || ')' ELSE '' END || '.pdf' AS unique_name FROM n""")
+def unique_names(spark, sf):
+    x = table(spark, sf, "orders").select("o_orderkey", F.col("o_orderpriority").alias("folder"), F.concat("o_orderstatus", F.lit(".pdf")).alias("name"))
+    return naming.numbered(x, "folder", "name", "o_orderkey").select("o_orderkey", "folder", "unique_name")
+
+
+@query("""SELECT n_name || '_' || c_mktsegment AS client_key, regexp_replace(n_name || '_' || c_mktsegment, '_', ', ') AS display_name, count(*) AS n_documents FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY ALL""")
+def client_listing(spark, sf):
+    x = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("n_nationkey") == F.col("c_nationkey"))
+    x = x.groupBy(F.concat_ws("_", "n_name", "c_mktsegment").alias("client_key")).agg(F.count("*").alias("n_documents"))
+    return x.select("client_key", naming.display_name(F.col("client_key")).alias("display_name"), "n_documents").orderBy("client_key")
+
+
+_EVENTS = "e AS (SELECT event_id, CAST(ts AS DATE) AS batch_id, user_id, CASE WHEN event_type = 'purchase' THEN 'C' || (event_id % 3) END AS company FROM events)"
+
+
+@query(f"""WITH {_EVENTS}, o AS (SELECT *, first_value(company IGNORE NULLS) OVER (PARTITION BY batch_id, user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS own FROM e),
+    b AS (SELECT batch_id, count(DISTINCT company) AS nc, count(DISTINCT user_id) AS np, min(company) AS one FROM e GROUP BY 1)
+    SELECT event_id, coalesce(company, own, CASE WHEN nc = 1 AND np <= 1 THEN one END) AS company, company IS NULL AND coalesce(own, CASE WHEN nc = 1 AND np <= 1 THEN one END) IS NOT NULL AS filled FROM o JOIN b USING (batch_id)""")
+def batch_company_fill(spark, sf):
+    x = table(spark, sf, "events").select("event_id", F.col("ts").cast("date").alias("batch_id"), F.col("user_id").cast("string").alias("last_name"), F.lit("x").alias("first_name"),
+                                          F.when(F.col("event_type") == "purchase", F.concat(F.lit("C"), (F.col("event_id") % 3).cast("string"))).alias("company"), F.col("event_id").alias("doc_ordinal"))
+    none = F.lit(None).cast("string")
+    x = x.withColumns({"document_type": F.lit("03_cv"), "valid_until": none, "city": none, "period": none, "title": none, "keyword_confidence": F.lit(0.5), "confidence": F.lit(0.5), "source": F.lit("rules"),
+                       "evidence": F.array().cast("array<struct<field:string,kind:string>>")})
+    x = score.propagate(x, S)
+    return x.select("event_id", "company", F.exists("evidence", lambda e: e["kind"] == "batch").alias("filled"))
+
+
+@query(_SEGMENTS + """, n AS (SELECT doc_id, max(page_no) AS page_count FROM typed GROUP BY 1)
+    SELECT doc_id, seg_no, start_page, end_page, start_page = 1 AND end_page = page_count AS is_copy, doc_id || '_part' || lpad(CAST(seg_no AS VARCHAR), 2, '0') || '_' || seg_type || '.pdf' AS part_name,
+      CASE WHEN start_page = end_page THEN 'p' || start_page ELSE 'p' || start_page || '-' || end_page END AS page_label FROM segs JOIN n USING (doc_id)""")
+def split_manifest(spark, sf):
+    pages = turns(spark, sf)
+    counts = pages.groupBy("doc_id").agg(F.max("page_no").alias("page_count"))
+    return sinks.split_manifest(segment.segments(C.classify(pages, LANGUAGES)), counts)
+
+
+@query("""WITH r AS (SELECT conv_id, turn, coalesce(nullif(trim(regexp_replace(role, '[<>:"/|?*_]', ' ', 'g')), ''), 'UNKNOWN') AS role, length(text) >= 60 AS ok FROM conversations),
+    m AS (SELECT *, CASE WHEN ok THEN 'Clients' ELSE 'review' END || '/' || replace(role, ' ', '') || '_UNKNOWN' AS target_dir, '03_CV_' || role || '_UNKNOWN_UNKNOWN' AS stem FROM r),
+    k AS (SELECT *, row_number() OVER (PARTITION BY target_dir, stem ORDER BY conv_id, turn) AS k FROM m)
+    SELECT conv_id, turn, target_dir, stem || CASE WHEN k > 1 THEN ' (' || k || ')' ELSE '' END || '.pdf' AS unique_name FROM k""")
+def export_manifest(spark, sf):
+    none = F.lit(None).cast("string")
+    x = table(spark, sf, "conversations").select("conv_id", "turn", F.struct("conv_id", "turn").alias("doc_ordinal"), F.lit("03_cv").alias("document_type"), F.col("role").alias("last_name"),
+                                                 (F.length("text") < 60).alias("requires_review"), none.alias("error"))
+    x = x.withColumns({c: none for c in ("first_name", "company", "valid_until", "city", "period", "title", "relationship", "dependent_name")} | {"child_index": F.lit(None).cast("int")})
+    return sinks.export_manifest(x, S).select("conv_id", "turn", "target_dir", "unique_name")
+
+
+# --- model answers ---
+
+
+@query("""WITH n AS (SELECT conv_id AS doc_id, count(*) AS n FROM conversations GROUP BY 1),
+    m AS (SELECT doc_id, a AS start_page, least(a + 1, n) AS end_page FROM n, unnest(range(1, n + 1, 2)) AS t(a)),
+    r AS (SELECT doc_id, b AS start_page, least(b + 2, n) AS end_page, 'R' || b AS last_name FROM n, unnest(range(2, n + 1, 3)) AS t(b) WHERE (doc_id + b) % 2 = 0)
+    SELECT m.doc_id, CAST(m.start_page AS INTEGER) AS start_page, CAST(m.end_page AS INTEGER) AS end_page, coalesce(arg_min(r.last_name, r.start_page), 'M') AS last_name,
+      CAST(CASE WHEN count(r.last_name) > 0 THEN 0.95 ELSE 0.5 END AS DOUBLE) AS confidence
+    FROM m LEFT JOIN r ON r.doc_id = m.doc_id AND m.start_page <= r.end_page AND r.start_page <= m.end_page GROUP BY 1, 2, 3""")
+def segment_overlap_merge(spark, sf):
+    n = table(spark, sf, "conversations").groupBy(F.col("conv_id").alias("doc_id")).agg(F.count("*").cast("int").alias("n"))
+    none = F.lit(None).cast("string")
+    cut = lambda first, step, size: n.where(F.col("n") >= first).select("doc_id", "n", F.explode(F.sequence(F.lit(first), F.col("n"), F.lit(step))).alias("start_page")).withColumn("end_page", F.least(F.col("start_page") + size - 1, "n"))
+    model = cut(1, 2, 2).select("doc_id", "start_page", "end_page", F.lit("03_cv").alias("document_type"), F.lit("M").alias("last_name"), F.lit("x").alias("first_name"), none.alias("valid_until"), F.lit(0.5).alias("confidence"))
+    ruled = cut(2, 3, 3).select("doc_id", "start_page", "end_page", F.lit("01_passport").alias("document_type"), F.concat(F.lit("R"), F.col("start_page").cast("string")).alias("last_name"), F.lit("x").alias("first_name"),
+                                none.alias("valid_until"), F.lit(0.95).alias("confidence"), ((F.col("doc_id") + F.col("start_page")) % 2 == 0).alias("verified"))
+    return merge.verified_over(model, ruled).select("doc_id", "start_page", "end_page", "last_name", "confidence")
+
+
+_PROPOSED = [("gap", 1, 1), ("gap", 5, 6), ("overlap", 1, 3), ("overlap", 2, 4), ("inside", 1, 5), ("inside", 2, 3), ("beyond", 3, 99)]
+_COUNTS = [("gap", 6), ("overlap", 4), ("inside", 5), ("beyond", 4)]
+_REPAIRED = [("gap", 1, 1, 3), ("gap", 2, 4, 6), ("overlap", 1, 1, 3), ("overlap", 2, 4, 4), ("inside", 1, 1, 5), ("beyond", 1, 1, 4)]
+
+
+@query("WITH " + sql_values("v", "doc_id, seg_no, start_page, end_page", _REPAIRED) + " SELECT * FROM v")
+def segment_normalise(spark, sf):
+    proposed = values(spark, "doc_id string, start_page int, end_page int", _PROPOSED)
+    return segment.repaired(proposed, values(spark, "doc_id string, page_count int", _COUNTS))
+
+
+_ANSWERS = [
+    ("fenced", 6, '```json\n{"documents": [{"document_type": "03_cv", "start_page": 1, "end_page": 2, "first_name": "Ada", "confidence": 1.7}]}\n```'),
+    ("prose", 6, 'Sure: {"documents": [{"document_type": "other", "title": "None", "confidence": 0.9, "start_page": 5, "end_page": 3}]} ok?'),
+    ("bare", 6, '{"document_type": "mystery", "title": "Bank Statement", "confidence": "0.8", "relationship": "wife", "child_index": "x"}'),
+    ("list", 6, "[]"), ("empty", 6, ""), ("number", 2, '{"documents": [{"document_type": "unknown", "confidence": "abc", "start_page": 0, "end_page": 9}]}'),
+]
+_PARSED = [("fenced", 1, 2, "03_cv", "Ada", None, None, 1.0), ("prose", 5, 5, "other", None, None, None, 0.4), ("bare", 1, 1, "other", None, "Bank Statement", "spouse", 0.4), ("number", 1, 2, "unknown", None, None, None, 0.0)]
+
+
+@query("WITH " + sql_values("v", "doc_id, start_page, end_page, document_type, first_name, title, relationship, confidence", _PARSED) + " SELECT * REPLACE (CAST(confidence AS DOUBLE) AS confidence) FROM v")
+def model_payload_parse(spark, sf):
+    found = merge.model_segments(values(spark, "doc_id string, page_count int, answer string", _ANSWERS))
+    return found.select("doc_id", "start_page", "end_page", "document_type", "first_name", "title", "relationship", "confidence")
+
+
+@query("""SELECT event_id, try_cast(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events""")
+def props_parse(spark, sf):
+    x = table(spark, sf, "events")
+    return x.select("event_id", F.from_json("props", F.lit("struct<k: string>"))["k"].try_cast("int").alias("k"))
+
+
+_HELP = [("guessed", '{"document_type": "15_visa", "first_name": "Eva", "company": "null", "confidence": 0.97}'), ("unknown", "no idea"), ("untitled", '{"documents": [{"document_type": "other", "title": "Tax Assessment", "confidence": 0.7}]}')]
+_HELPED = [("guessed", "15_visa", "Eva", "Lumen", None, 0.97, "model"), ("unknown", "unknown", None, None, None, 0.3, "rules"), ("untitled", "other", "Ada", "Lumen", "Tax Assessment", 0.7, "model")]
+
+
+@query("WITH " + sql_values("v", "id, document_type, first_name, company, title, confidence, source", _HELPED) + " SELECT * REPLACE (CAST(confidence AS DOUBLE) AS confidence) FROM v")
+def weak_segment_improve(spark, sf):
+    weak = _rows(spark).where(merge.needs_help(_rows(spark), S)).where(F.col("id").isin("guessed", "unknown", "untitled"))
+    return merge.improve(weak, values(spark, "id string, answer string", _HELP)).select("id", "document_type", "first_name", "company", "title", "confidence", "source")
+
+
+# --- the whole analysis ---
+
+
+@query()
+def analyse_demo(spark, sf):
+    pages = demo.pages(spark)
+    batches = pages.select("doc_id").distinct().select("doc_id", F.lit(1).alias("batch_id"), F.col("doc_id").alias("upload_no"))
+    return analyse.analysed(pages, batches, S).select("doc_id", "seg_no", "start_page", "end_page", "document_type", "last_name", "first_name", "company", "confidence", "status", "target_dir", "unique_name", "summary")
+
+
+@query(_SEGMENTS + f""", again AS (WITH {_AGAIN} SELECT * FROM top),
+    seen AS (SELECT s.*, CASE WHEN best2 >= 5 THEN first_type ELSE 'unknown' END AS whole_type FROM segs s LEFT JOIN again USING (doc_id, seg_no)),
+    named AS (SELECT doc_id, seg_no, start_page, end_page, CASE WHEN seg_type = 'unknown' THEN whole_type ELSE seg_type END AS document_type FROM seen)
+    SELECT *, count(*) OVER (PARTITION BY doc_id) AS n_segments, row_number() OVER (PARTITION BY document_type ORDER BY doc_id, seg_no) AS type_no FROM named""")
+def flagship(spark, sf):
+    """Conversations as paged documents: classified, segmented, reviewed as a whole and numbered by type."""
+    found = segment.reclassified(segment.segments(C.classify(turns(spark, sf), LANGUAGES)), LANGUAGES)
+    return found.select(
+        "doc_id", "seg_no", "start_page", "end_page", "document_type", F.count("*").over(Window.partitionBy("doc_id")).alias("n_segments"),
+        F.row_number().over(Window.partitionBy("document_type").orderBy("doc_id", "seg_no")).alias("type_no"),
+    )
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
