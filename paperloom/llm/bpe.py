@@ -119,9 +119,13 @@ def file_encoder(path: str) -> PieceEncoder:
 @lru_cache(maxsize=2)
 def byte_strings(path: str) -> list[bytes]:
     """The byte string of each id, by the reversed byte table."""
-    back = {c: b for b, c in byte_table().items()}
-    tokenizer = rank_encoder(path, r"(?s).+").tokenizer
-    return [bytes(back[c] for c in tokenizer.id_to_token(i)) for i in range(tokenizer.get_vocab_size())]
+    chars = byte_table()
+    back = {c: b for b, c in chars.items()}
+    out = [b""] * (1 + max((ranks := read_ranks(path)).values()))
+    for token, i in ranks.items():
+        name = "".join(chars[b] for b in token)  # as the model spells it
+        out[i] = bytes(back[c] for c in name)
+    return out
 
 
 def decode_ids(ids: bytes, table: list[bytes]) -> bytes:
