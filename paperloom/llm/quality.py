@@ -80,12 +80,13 @@ def _measured(docs: DataFrame, keep: list[str]) -> DataFrame:
 
 def thresholds(measured: DataFrame) -> DataFrame:
     """The highest values that pass, a row for each language and source."""
-    good = measured.where(~F.col("base_failed"))
-    quartiles = [F.percentile_approx(m, [0.25, 0.75], 1000).alias(m) for m in GAPS]
+    # conditions within the aggregates: as a filter they would go down and compute the measures once more
+    good = ~F.col("base_failed")
+    quartiles = [F.percentile_approx(F.when(good, F.col(m)), [0.25, 0.75], 1000).alias(m) for m in GAPS]
     limit = lambda m: (F.col(m)[1] + F.greatest(F.lit(GAPS[m]), FENCE * (F.col(m)[1] - F.col(m)[0]))).alias(m)
 
     def of(*keys: str) -> DataFrame:
-        return good.groupBy(*keys).agg(F.count("*").alias("n"), *quartiles).select(*keys, "n", F.struct(*map(limit, GAPS)).alias("t"))
+        return measured.groupBy(*keys).agg(F.count(F.when(good, 1)).alias("n"), *quartiles).select(*keys, "n", F.struct(*map(limit, GAPS)).alias("t"))
 
     fine, lang, top = of("_lang", "_source"), of("_lang"), of()
     lang = lang.select(F.col("_lang").alias("_l"), F.col("n").alias("_ln"), F.col("t").alias("_lt"))
@@ -96,10 +97,11 @@ def thresholds(measured: DataFrame) -> DataFrame:
 
 def _judged(measured: DataFrame, limits: DataFrame) -> DataFrame:
     joined = measured.join(limits, F.col("_lang").eqNullSafe(F.col("_tl")) & F.col("_source").eqNullSafe(F.col("_ts")), "left")
-    over = F.lit(False)
+    # a sum that needs both sides of the join, so that no part of it is computed again below the join
+    faults = F.when(F.col("base_failed"), 1).otherwise(0)
     for m in GAPS:
-        over = over | F.coalesce(F.col(m) > F.col("_t")[m], F.lit(False))
-    return joined.withColumn("kept", ~F.col("base_failed") & ~over)
+        faults = faults + F.when(F.col(m) > F.col("_t")[m], 1).otherwise(0)
+    return joined.withColumn("kept", faults == 0)
 
 
 def quality(docs: DataFrame) -> DataFrame:
