@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import small
+
 #: Pieces whose ids a worker remembers; beyond that it forgets the newer ones.
 REMEMBERED = 300_000
 #: Texts of these characters only are split by a pattern that `re` runs fast; its classes equal those of the full
@@ -150,7 +152,7 @@ def encode(docs: DataFrame, path: str, pattern: str, offsets: bool = False) -> D
 
     def run(batches):
         encoder = rank_encoder(path, pattern)
-        for batch in batches:
+        for batch in small(batches):
             ids = [encoder.ids(t or "") for t in batch.column("text").to_pylist()]
             more = [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
             if offsets:
@@ -168,7 +170,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
     def run(batches):
         table = byte_strings(path)
-        for batch in batches:
+        for batch in small(batches):
             data = [decode_ids(x or b"", table) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(data, pa.binary())], [*batch.schema.names, "decoded"])
 

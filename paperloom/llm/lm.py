@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import partitions, scratch_path
+from .shared import partitions, scratch_path, small
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 #: The end as a word: white space, which no word holds.
@@ -55,7 +55,7 @@ def tokens(text: bytes | None) -> list[bytes]:
 def _blocks(batches, training: bool):
     """(ids, token lists) of up to about BLOCK tokens at a time."""
     ids, held, size = [], [], 0
-    for batch in batches:
+    for batch in small(batches):
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
             if training and held_out(doc_id):
                 continue

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import file_encoder
-from .shared import stored
+from .shared import small, stored
 
 #: Parts of the pieces of one length that are ranked apart.
 SALTS = 64
@@ -42,7 +42,7 @@ def encode_pieces(docs: DataFrame, path: str, capacity: int = 1024, end: int = 2
 
     def run(batches):
         encoder, tail = file_encoder(path), np.array([end], "<u4").tobytes()
-        for batch in batches:
+        for batch in small(batches):
             rows = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 ids = encoder.ids(text or "") + tail

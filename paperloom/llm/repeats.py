@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import partitions, stored, with_row_ids
+from .shared import keeps_columns, partitions, small, stored, with_row_ids
 
 GRAM = 40
 #: Bytes that are hashed at once, and the longest part of a text among them.
@@ -171,7 +171,7 @@ def _send_anchors(width: int, shards: int):
 
     def send(batches):
         runs, held = [], 0
-        for batch in batches:
+        for batch in small(batches):
             parts: list[tuple[int, int, bytes]] = []
             size = 0
 
@@ -270,7 +270,7 @@ def _send_windows(width: int, shards: int):
 
     def send(batches):
         plain, singles, held = [], [], 0
-        for batch in batches:
+        for batch in small(batches):
             for rid, text, asks in zip(batch.column("_rid").to_pylist(), _texts(batch), batch.column("_asks").to_pylist(), strict=True):
                 for s, n, h, hot in zip(*(c.tolist() for c in _unpack(asks, *ASK)), strict=True):
                     if hot:
@@ -365,7 +365,7 @@ def _remove(schema: pa.Schema):
     whole = schema.field("_kept").type
 
     def remove(batches):
-        for batch in batches:
+        for batch in small(batches):
             out = [_cut_out(t, m or []) for t, m in zip(_texts(batch), batch.column("_marks").to_pylist(), strict=True)]
             kept = [x[2] for x in out] if whole == pa.binary() else [x[2].decode("utf-8", "ignore") for x in out]
             columns = [batch.column(f.name).cast(f.type) for f in schema if f.name in batch.schema.names]
@@ -397,6 +397,7 @@ def remove_repeats(docs: DataFrame, width: int = 100, as_text: bool = False) ->
     return removed.drop("_rid")
 
 
+@keeps_columns
 def without_repeats(docs: DataFrame, width: int = 100) -> DataFrame:
     """docs with the repeats cut from their texts (a character that a cut splits goes too) and n_chars to match."""
     cut = remove_repeats(docs, width, as_text=True)

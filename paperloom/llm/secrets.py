@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import kind_spans, match_spans, scratch_path, span_list, whole_text
+from .shared import keeps_columns, kind_spans, match_spans, scratch_path, span_list, whole_text
 
 _NAME = "(?i:password|passwd|secret|token|api_?key)"
 _SIGN = r"""["']?\x20*[:=]\x20*["']?"""
@@ -111,6 +111,7 @@ def secrets(docs: DataFrame, ledger: str | None = None) -> DataFrame:
     return found.select("doc_id", *map(count, BASE), F.sha2(span_list(base), 256).alias("base_sha256"), span_list(F.col("_found")).alias("spans"))
 
 
+@keeps_columns
 def redact(docs: DataFrame, ledger: str | None = None, mask: str = "[SECRET]") -> DataFrame:
     """docs with each maximal stretch of secrets in a text replaced by `mask`, and n_chars to match."""
     found = find_secrets(docs, ledger)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,6 +42,13 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def small(batches, rows: int = 512):
+    """Arrow batches in slices of a few rows, so that a worker holds few texts as Python objects at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def whole_text(name: str = "text") -> Column:
     """The text as it is; null counts as empty."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
@@ -183,6 +191,20 @@ def with_row_ids(docs: DataFrame, name: str = "_rid") -> DataFrame:
     return numbered(docs, [F.col("doc_id").asc_nulls_last(), F.col("text").asc_nulls_last()], name)
 
 
+def keeps_columns(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """For operators from documents to documents: columns named like the helpers' own (with a leading underscore) are
+    set aside under other names meanwhile, and the result has the columns of its input in their order."""
+
+    @wraps(operator)
+    def run(docs: DataFrame, *args, **kwargs) -> DataFrame:
+        names = docs.columns
+        aside = {c: f"aside{n}{c}" for n, c in enumerate(names) if c.startswith("_")}
+        back = {v: k for k, v in aside.items()}
+        return operator(docs.withColumnsRenamed(aside), *args, **kwargs).withColumnsRenamed(back).select(*names)
+
+    return run
+
+
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """Connected components of (a, b) edges of longs: (node, root), root the smallest node reachable.
 

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, stored, with_row_ids
+from .shared import components, keeps_columns, small, stored, with_row_ids
 
 SEED, BITS, SMALL = 42, 64, 512
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -74,7 +74,7 @@ def _fingerprint_batches(words: int):
         return int(np.packbits(total * 2 > len(h), bitorder="little").view(np.int64)[0])
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             out, held, size = [], [], 0
             for text in batch.column("text").cast(pa.binary()).to_pylist():
                 h = shingle_hashes(text or b"", words)
@@ -159,6 +159,7 @@ def simhash(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@keeps_columns
 def one_of_each(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
     """The rows of docs without those that are linked, over any steps, to a row before them."""
     numbered = with_row_ids(docs)
