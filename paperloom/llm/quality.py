@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bind, split_words, stored, whole_text
+from .shared import bind, keeps_columns, split_words, stored, whole_text
 
 LEAST, FENCE = 100, 6.0
 #: The least distance of a threshold from the upper quartile, for each measure.
@@ -111,8 +111,9 @@ def quality(docs: DataFrame) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+@keeps_columns
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of docs that pass. The measures are computed twice, which costs less than to store the texts."""
+    """The rows of docs that pass. The measures are computed twice, once stored without the texts for the thresholds."""
     whole = docs.withColumn("_row", F.struct(*docs.columns)).select("text", "lang", "source", "_row")
-    limits = stored(thresholds(_measured(docs.select("text", "lang", "source"), [])), "quality-limits")
+    limits = stored(thresholds(stored(_measured(docs.select("text", "lang", "source"), []), "quality")), "quality-limits")
     return _judged(_measured(whole, ["_row"]), limits).where("kept").select("_row.*")
