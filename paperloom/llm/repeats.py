@@ -10,8 +10,9 @@ an earlier start). The work is cut so that no task ever holds more than a bounde
    of all rows share leaves a task once. Records go to shards by their anchor's hash.
 2. *Runs.* A shard marks all but the first of equal runs. Runs with an anchor that other runs share, but not
    all of their bytes, are asked for again: their windows may match in part.
-3. *Windows.* The bytes of these runs meet by anchor in shards, where a suffix order to depth `width` groups equal
-   windows, kept as a run-length compressed Burrows-Wheeler transform. An anchor with very many different runs (a
+3. *Windows.* The bytes of these runs meet by anchor in shards. Each shard builds a run-compressed Burrows-Wheeler
+   transform with samples at the ends of its runs, streams matching statistics from it over the bytes, and marks
+   all but the earliest of the windows that long matches join. An anchor with very many different runs (a
    frequent short line) spreads over all shards by the hash of each window instead, again with only the first
    of a task sent on.
 4. *Removal.* Marks join the documents by id.
@@ -22,6 +23,8 @@ shared.with_row_ids (order: doc_id, nulls last, then text). Other columns are ke
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -289,31 +292,88 @@ def _send_windows(width: int, shards: int):
     return send
 
 
-def suffix_classes(buf: np.ndarray, width: int) -> np.ndarray:
-    """A number for each position so that equal numbers mean equal next `width` bytes (zeros follow the end)."""
+def suffix_order(buf: np.ndarray) -> np.ndarray:
+    """The starts of all suffixes in their order, by doubling the sorted depth of those that are still tied."""
     n = len(buf)
-    text = np.concatenate((buf, np.zeros(width + 8, np.uint8)))
-    rank = np.zeros(n + width, np.uint64)
-    for i in range(8):
-        rank[: n + width] = (rank << np.uint64(8)) | text[i : i + n + width]
-    depth = 8
-    rank = np.unique(rank, return_inverse=True)[1].astype(np.uint64)
-    while depth < width:
-        step = min(depth, width - depth)
-        after = np.concatenate((rank[step:], np.zeros(step, np.uint64)))
-        rank = np.unique((rank << np.uint64(32)) | after, return_inverse=True)[1].astype(np.uint64)
-        depth += step
-    return rank[:n].astype(np.int64)
-
-
-def run_length_index(buf: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """A run-length compressed Burrows-Wheeler transform: the suffix order to depth `width` (ties by place), the class
-    of each suffix, and the heads and ends of the runs of equal preceding bytes."""
-    cls = suffix_classes(buf, width)
-    order = np.argsort(cls, kind="stable")
-    before = np.concatenate(([0], buf[:-1]))[order] if len(buf) else buf
-    heads = np.flatnonzero(_fresh(before))
-    return order, cls[order], heads, np.concatenate((heads[1:], [len(buf)])) - 1
+    symbols = np.zeros(n + 7, np.uint64)  # zero stands past the end only, so no two suffixes are equal
+    symbols[:n] = buf
+    symbols[:n] += np.uint64(1)
+    key = np.zeros(n, np.uint64)
+    for i in range(7):
+        key = (key << np.uint64(9)) | symbols[i : i + n]
+    order, rank = np.argsort(key, kind="stable"), np.zeros(n + 1, np.int64)
+    slots, at, key, depth = np.arange(n), order, key[order], 7
+    while len(slots):
+        head = _fresh(key)
+        rank[at] = slots[np.maximum.accumulate(np.where(head, np.arange(len(head)), 0))] + 1
+        slots = slots[~(head & np.append(head[1:], True))]
+        at = order[slots]
+        key = (rank[at] << 32) | rank[np.minimum(at + depth, n)]
+        by = np.argsort(key, kind="stable")
+        at, key = at[by], key[by]
+        order[slots] = at
+        depth *= 2
+    return order
+
+
+class RunIndex(NamedTuple):
+    """A run-compressed Burrows-Wheeler transform: the symbol (a byte, or 256 before the first) and length of each run, and
+    samples of the suffix order at the run's head and at the end of the run before (-1: none)."""
+
+    symbol: np.ndarray
+    length: np.ndarray
+    head: np.ndarray
+    end_before: np.ndarray
+
+
+def run_length_index(buf: np.ndarray, order: np.ndarray) -> RunIndex:
+    before = np.concatenate((np.full(min(len(buf), 1), 256, np.int16), buf[:-1]))[order]
+    first = np.flatnonzero(_fresh(before))
+    ends = np.concatenate(([-1], order[first[1:] - 1]))[: len(first)]
+    return RunIndex(before[first], np.diff(np.append(first, len(buf))), order[first], ends)
+
+
+def _common(buf: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many bytes the suffixes at a and b have in common (none where b is negative)."""
+    n, out, at = len(buf), np.zeros(len(a), np.int64), 0
+    words = np.ndarray((n + 1,), "<u8", np.concatenate((buf, np.zeros(8, np.uint8))), strides=(1,))
+    live = np.flatnonzero(b >= 0)
+    while len(live):
+        i, j = a[live] + at, b[live] + at
+        differ = words[i] ^ words[j]
+        same = np.bitwise_count((differ & (~differ + np.uint64(1))) - np.uint64(1)) // 8  # 8 where nothing differs
+        got = np.minimum(same, n - np.maximum(i, j))
+        out[live] += got
+        live, at = live[got == 8], at + 8
+    return out
+
+
+def matching_statistics(buf: np.ndarray, index: RunIndex) -> tuple[np.ndarray, np.ndarray]:
+    """For each place the length of its match with the suffix before it in the order, and where that one starts.
+
+    Bytes are compared at the samples only. From there both places step on together through the text, and the match
+    shrinks by one byte a step, until the next sample: within a run the order of suffixes is that of their tails.
+    """
+    by = np.argsort(index.head)
+    place, other = index.head[by], index.end_before[by]
+    reach = np.diff(np.append(place, len(buf)))
+    step = np.arange(len(buf)) - np.repeat(place, reach)
+    return np.repeat(_common(buf, place, other), reach) - step, np.repeat(other, reach) + step
+
+
+def later_windows(buf: np.ndarray, fits: np.ndarray, width: int) -> np.ndarray:
+    """Places of the windows among `fits` whose `width` bytes also start at an earlier one of them."""
+    order = suffix_order(buf)
+    length, _ = matching_statistics(buf, run_length_index(buf, order))
+    # a match of `width` bytes or more joins a suffix to the one before it
+    cls = np.cumsum(length[order] < width)
+    inside = fits[order]
+    order, cls = order[inside], cls[inside]
+    if not len(order):
+        return order
+    lead = np.flatnonzero(_fresh(cls))
+    earliest = np.repeat(np.minimum.reduceat(order, lead), np.diff(np.append(lead, len(cls))))
+    return order[order != earliest]
 
 
 def _compare_windows(width: int):
@@ -338,10 +398,7 @@ def _compare_windows(width: int):
             to = np.concatenate(([0], np.cumsum(n)[:-1]))
             spread = np.arange(int(n.sum())) - np.repeat(to, n)
             buf = raw[np.repeat(at, n) + spread]
-            order, cls, _, _ = run_length_index(buf, width)
-            fits = (spread + width <= np.repeat(n, n))[order]  # windows that lie within one run's bytes
-            order, cls = order[fits], cls[fits]
-            old = order[~_fresh(cls)]
+            old = later_windows(buf, spread + width <= np.repeat(n, n), width)  # windows within one run's bytes
             owner = np.repeat(np.arange(len(n)), n)[old]
             where = s[owner] + spread[old]
             marks.append([rid[owner], where, where + width])

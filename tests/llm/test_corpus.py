@@ -278,13 +278,27 @@ def test_repeats(spark, docs):
     assert cut.columns == docs.columns and {r.doc_id: r.text for r in cut.collect()}[5000] is None
 
 
-def test_suffix_classes_equal_strings():
+@pytest.mark.parametrize(("letters", "n"), [(b"ab", 600), (b"a", 90), (b"\0", 70), (b"\0\xff", 300), (b"abcdefgh", 500), (b"x", 1), (b"x", 0)])
+def test_run_length_index(letters, n):
     r = random.Random(6)
-    buf = np.array([r.choice(b"ab") for _ in range(600)], np.uint8)
-    order, cls, heads, ends = repeats.run_length_index(buf, 10)
-    strings = [bytes(buf[k : k + 10]).ljust(10, b"\0") for k in order]
-    assert strings == sorted(strings) and all((a == b) == (x == y) for a, b, x, y in zip(strings, strings[1:], cls, cls[1:], strict=False))
-    assert heads[0] == 0 and ends[-1] == len(buf) - 1
+    text = bytes(r.choice(letters) for _ in range(n))
+    text += text[n // 3 : n // 2] * 3
+    buf = np.frombuffer(text, np.uint8)
+    order = repeats.suffix_order(buf)
+    assert order.tolist() == sorted(range(len(text)), key=lambda k: text[k:])
+    index = repeats.run_length_index(buf, order)
+    transform = [text[k - 1] if k else 256 for k in order]
+    assert np.repeat(index.symbol, index.length).tolist() == transform and all(a != b for a, b in zip(index.symbol, index.symbol[1:], strict=False))
+    length, other = repeats.matching_statistics(buf, index)
+    for a, b in zip([-1, *order], order, strict=False):
+        same = next((k for k in range(len(text)) if a < 0 or text[a + k : a + k + 1] != text[b + k : b + k + 1]), 0)
+        assert length[b] == same and (a < 0 or other[b] == a)
+    fits = np.array([r.random() < 0.8 and k + 10 <= len(text) for k in range(len(text))], bool)
+    seen, later = set(), []
+    for k in np.flatnonzero(fits):
+        later += [int(k)] if text[k : k + 10] in seen else []
+        seen.add(text[k : k + 10])
+    assert sorted(repeats.later_windows(buf, fits, 10).tolist()) == later
 
 
 def test_repeated_and_null_ids(spark):
