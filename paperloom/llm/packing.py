@@ -5,8 +5,8 @@ of pieces of each length is at most `capacity` numbers, whatever the corpus. Fro
 runs of equal ones, with a segment tree over the remaining capacities that finds the tightest open bin in
 logarithmic time. A tightest bin stays the tightest until it can take no more of the same length, so a plan
 row says: pieces of length L with ranks from a to b go to the bins from s on, q in each. Executors rank the
-pieces within their length (a hot length is split by a hash of the id, and the parts' counts give the offsets) and
-look their place up. The result is that of placing the pieces one by one.
+pieces within their length (pieces are sorted by ranges of length, then a hash, so a hot length fills as many partitions
+as it needs, and the partitions' counts give the offsets) and look their place up. The result is that of placing the pieces one by one.
 
 A null text counts as empty: one piece with the end token alone. Rows with equal or null doc_ids are packed like
 others. Documents longer than the capacity are cut so that all pieces but the first are full.
@@ -22,10 +22,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import file_encoder
-from .shared import small, stored
+from .shared import partitions, small, stored
 
-#: Parts of the pieces of one length that are ranked apart.
-SALTS = 64
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, ids binary"
 
 
@@ -121,18 +119,20 @@ def best_fit_plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int,
 
 def place(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
     """pieces (which must not change when read again) with sequence_id and offset."""
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS)))
-    sizes = salted.groupBy("length", "_salt").agg(F.count("*").alias("n"))
-    # at most capacity x SALTS small rows, whatever the corpus
-    before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
-    base = stored(sizes.withColumn("_base", F.coalesce(F.sum("n").over(before), F.lit(0))), "packing")
-    counts = {r["length"]: r["n"] for r in base.groupBy("length").agg(F.sum("n").alias("n")).collect()}
+    spread = F.xxhash64("doc_id", "piece", "ids_crc32")
+    dealt = pieces.repartitionByRange(partitions(pieces.sparkSession), F.col("length"), spread).sortWithinPartitions("length")
+    dealt = stored(dealt.withColumn("_at", F.monotonically_increasing_id()), "packing")
+    part = F.shiftright("_at", 33).alias("_part")
+    # a range of lengths for each partition, so these are at most capacity + partitions small rows
+    blocks = dealt.groupBy("length", part).agg(F.count("*").alias("n"), F.min("_at").alias("_first"))
+    before = Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = stored(blocks.withColumn("_base", F.coalesce(F.sum("n").over(before), F.lit(0))), "packing-blocks")
+    counts = {r["length"]: r["n"] for r in blocks.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     plan = np.array(best_fit_plan(counts, capacity), np.int64).reshape(-1, 6)
     top = int(plan[:, 2].max(initial=0)) + 1
     by_length = {length: plan[plan[:, 0] == length] for length in counts}
-    own = Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "start", "ids_crc32")
-    ranked = salted.withColumn("_rank", F.row_number().over(own) - 1).join(F.broadcast(base.drop("n")), ["length", "_salt"])
-    ranked = ranked.withColumn("_rank", F.col("_rank") + F.col("_base")).select(*pieces.columns, "_rank")
+    ranked = dealt.withColumn("_part", part).join(F.broadcast(blocks.drop("n")), ["length", "_part"])
+    ranked = ranked.select(*pieces.columns, (F.col("_at") - F.col("_first") + F.col("_base")).alias("_rank"))
     assert top < 1 << 62
     schema = pieces.selectExpr("*", "0L sequence_id", "0L offset").schema
 
