@@ -21,7 +21,9 @@ scored each by themselves. Extra columns are ignored.
 
 from __future__ import annotations
 
+import mmap
 import os
+import sys
 import uuid
 import zlib
 from functools import lru_cache
@@ -42,6 +44,8 @@ BLOCK = 500_000
 FOLDS, HELD = 7, 2
 SHARD = pa.schema([("shard", pa.int32()), ("data", pa.binary())])
 TO_SHARD = "shard int, data binary"
+#: A map keeps a descriptor of its own open unless told not to, which Python 3.13 and later can be.
+_CLOSED = {"trackfd": False} if sys.version_info >= (3, 13) else {}
 
 
 def held_out(doc_id) -> bool:
@@ -118,7 +122,14 @@ def _write(folder: str, name: str, array: np.ndarray) -> None:
 
 @lru_cache(maxsize=20_000)
 def _mapped(path: str) -> np.ndarray:
-    return np.load(path, mmap_mode="r")
+    """The array of a file by memory map; no file stays open, so that many shards do not use up a worker's descriptors."""
+    with open(path, "rb") as f:
+        np.lib.format.read_magic(f)
+        shape, _, kind = np.lib.format.read_array_header_1_0(f)
+        if not shape[0]:
+            return np.zeros(0, kind)
+        data = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, **_CLOSED)
+        return np.frombuffer(data, kind, shape[0], f.tell())
 
 
 def _small(counts: np.ndarray) -> np.ndarray:

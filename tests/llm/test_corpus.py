@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -344,6 +345,16 @@ def test_language_model(spark, docs):
         assert r.score == pytest.approx(sum(math.log10(p(v, x)) for v, x in zip([None, *w], w, strict=False)))
 
 
+@pytest.mark.parametrize("kind", ["<u8", "<i8", "u1"])
+def test_mapped_arrays_keep_no_file_open(tmp_path, kind):
+    for n in range(40):
+        lm._write(str(tmp_path), f"x-{n}", np.arange(n, dtype=kind))
+    before = len(os.listdir("/proc/self/fd"))
+    arrays = [lm._mapped(f"{tmp_path}/x-{n}.npy") for n in range(40)]
+    assert all(a.dtype == kind and a.tolist() == list(range(n)) for n, a in enumerate(arrays))
+    assert len(os.listdir("/proc/self/fd")) == before
+
+
 def test_quality(spark, docs):
     found = {r.doc_id: r for r in quality.quality(docs).collect()}
     for i, t in ROWS:
