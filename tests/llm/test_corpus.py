@@ -15,7 +15,7 @@ import xxhash
 import public_tokenizers as P
 from pyspark.sql import functions as F
 
-from paperloom.llm import bpe, fingerprint, licenses, lm, packing, pii, quality, queries, repeats, secrets, shared, simhash
+from paperloom.llm import bpe, fingerprint, licenses, lm, near, packing, pii, quality, queries, repeats, secrets, shared, simhash
 
 SPACED = re.compile(r"[^\x20\x09-\x0D]+")
 rnd = random.Random(7)
@@ -169,6 +169,47 @@ def test_masks_cover_every_pair():
             assert any(not m & differ for m in masks)
 
 
+def test_near_copies_go_from_the_pipeline(spark, monkeypatch):
+    import corpus_pipeline
+
+    r = random.Random(11)
+    rows = []
+    for i in range(40):
+        w = [f"w{r.randrange(5000)}" for _ in range(120)]
+        rows.append((10 * i, " ".join(w)))
+        for j in range(r.randint(0, 3)):
+            v = list(w)
+            for _ in range(r.randint(1, 6)):
+                v[r.randrange(120)] = f"new{r.randrange(5000)}"
+            rows.append((10 * i + j + 1, " ".join(v)))
+    hot = [f"h{k}" for k in range(200)]
+    rows += [(1000 + k, " ".join([*hot[:k], f"x{k}", *hot[k + 1 :]])) for k in range(200)]
+    rows += [(2000, None), (2001, " "), (2002, "one two"), (2003, "One  two"), (2004, "one two three")]
+    sets, root = {}, {i: i for i, _ in rows}
+    for i, t in rows:
+        w = (t or "").lower().split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    linked = 0
+    for i, _ in rows:
+        for j, _ in rows:
+            if j < i and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                linked += sets[i] != sets[j]
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    assert linked > 1000
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = {find(i) for i in root}
+    assert {x.doc_id for x in corpus_pipeline.near_dedup(spark, docs, "").collect()} == want
+    monkeypatch.setattr(near, "SMALL", 10)
+    assert {x.doc_id for x in near.one_of_each(docs).collect()} == want
+
+
 def test_fingerprints(spark, docs):
     ordered = sorted(ROWS, key=lambda r: -r[0])
     found = {r.doc_id: r for r in fingerprint.fingerprints(docs).collect()}
