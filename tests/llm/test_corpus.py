@@ -210,6 +210,15 @@ def test_near_copies_go_from_the_pipeline(spark, monkeypatch):
     assert {x.doc_id for x in near.one_of_each(docs).collect()} == want
 
 
+def test_pipeline_ends_with_token_ids(spark):
+    import corpus_pipeline
+
+    rows = [(1, "some words " * 900), (2, "more"), (3, None)]
+    out = corpus_pipeline.best_fit_packing(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert {r.doc_id for r in out} == {1, 2, 3}
+    assert all(len(r.ids) == 4 * r.length and zlib.crc32(bytes(r.ids)) == r.ids_crc32 for r in out)
+
+
 def test_fingerprints(spark, docs):
     ordered = sorted(ROWS, key=lambda r: -r[0])
     found = {r.doc_id: r for r in fingerprint.fingerprints(docs).collect()}
