@@ -3,20 +3,25 @@
 A text unit is brought to a canonical form: lower case, copyright lines out, equivalent spellings made one, runs of
 anything but letters and digits one space. Its digest is hash-joined to the digests of known licence texts, so a
 unit is either a known text as a whole or not; there is no partial match. The units of a document are its whole
-text and each of its lines, so that a notice line within prose is found too. A document's result has a row for each
+text, each of its lines, so that a notice line within prose is found too, and runs of paragraphs, so that a licence within a
+longer text is. Paragraphs end at lines without letters or digits; those that are empty in canonical form do not count. A run
+has as many paragraphs as some known text that begins with the same one; it is neither the whole document nor a single line,
+as these are units already, and a document that is a known text as a whole has none. Licences that share a paragraph with other text are not found. A document's result has a row for each
 licence and kind of unit with the number of units. Null texts and units without letters or digits match nothing.
 Repeated rows are counted each. Extra columns are ignored.
 
-`known` may be any table (license, text); the one built from KNOWN has about twenty rows and is broadcast, a larger one is
-left to Spark's own choice of join.
+`known` may be any table (license, text); the built-in one has KNOWN and the files of licence_texts and is broadcast, a larger one
+is left to Spark's own choice of join. The hashes of the paragraphs of each known text go to the driver.
 """
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import whole_text
+from .shared import bind, whole_text
 
 #: Texts and notices of well-known licences, as their publishers word them.
 KNOWN = {
@@ -49,6 +54,8 @@ THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH RE
 SPELLINGS = (("licence", "license"), ("sub-license", "sublicense"), ("favour", "favor"), ("neighbour", "neighbor"), ("organisation", "organization"), ("non-infringement", "noninfringement"), ("https://", "http://"))
 COPYRIGHT_LINE = r"(?m)^[ \t]*(copyright|\(c\)|©)[^\n]*$"
 OTHER = r"[^\p{L}\p{N}]+"
+#: What stands between paragraphs.
+BREAK = r"\n[^\p{L}\p{N}]*\n"
 
 
 def canonical(text: Column) -> Column:
@@ -66,17 +73,60 @@ def known_digests(known: DataFrame) -> DataFrame:
 
 
 def builtin(spark) -> DataFrame:
-    return spark.createDataFrame([(k, t) for k, v in KNOWN.items() for t in v], "license string, text string")
+    rows = [(k, t) for k, v in KNOWN.items() for t in v]
+    rows.append(("MIT", KNOWN["MIT"][-1].split("\n", 1)[1]))  # without its title, as in file headers
+    rows += [(f.stem, f.read_text(encoding="utf-8")) for f in sorted((Path(__file__).parent / "licence_texts").glob("*.txt"))]
+    return spark.createDataFrame(rows, "license string, text string")
+
+
+def paragraphs(text: Column) -> Column:
+    """Structs of the canonical form of each paragraph and the paragraph itself."""
+    parts = F.transform(F.split(text, BREAK, -1), lambda p: F.struct(canonical(p).alias("c"), p.alias("raw")))
+    return F.filter(parts, lambda p: p["c"] != "")
+
+
+def _several(paragraph: Column) -> Column:
+    """Whether more than one line has a canonical form."""
+    return F.regexp_replace(F.lower(paragraph), COPYRIGHT_LINE, " ").rlike(r"[\p{L}\p{N}][^\n]*\n[^\p{L}\p{N}]*[\p{L}\p{N}]")
+
+
+def runs(text: Column, heads: dict[int, set[int]], wholes: set[int]) -> Column:
+    """The canonical forms of the runs of paragraphs that begin like a known text, but for texts whose own hash is in `wholes`.
+
+    heads: paragraph counts by hash of the first.
+    """
+    if not heads:
+        return F.array().cast("array<string>")
+    table = F.create_map(*(x for h, ks in heads.items() for x in (F.lit(h), F.array(*map(F.lit, sorted(ks))))))
+
+    def at(ps: Column, i: Column) -> Column:
+        fit = F.filter(table[F.xxhash64(ps[i]["c"])], lambda k: (i + k <= F.size(ps)) & (k < F.size(ps)) & ((k > 1) | _several(ps[i]["raw"])))
+        return F.transform(fit, lambda k: F.array_join(F.slice(ps["c"], i + 1, k), " "))
+
+    def found(ps: Column) -> Column:
+        begun = F.filter(F.sequence(F.lit(0), F.size(ps) - 1), lambda i: F.array_contains(F.array(*map(F.lit, heads)), F.xxhash64(ps[i]["c"])))
+        return F.when((F.size(ps) > 1) & ~F.xxhash64(F.array_join(ps["c"], " ")).isin(*wholes), F.flatten(F.transform(begun, lambda i: at(ps, i)))).otherwise(F.array().cast("array<string>"))
+
+    return bind(paragraphs(text), found)
 
 
 def licenses(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """doc_id, license, unit ('text' or 'line') and n_units, for documents with known units."""
-    digests = known_digests(builtin(docs.sparkSession) if known is None else known)
+    """doc_id, license, unit ('text', 'line' or 'paragraphs') and n_units, for documents with known units."""
+    table = builtin(docs.sparkSession) if known is None else known
+    digests = known_digests(table)
+    forms = table.select("license", bind(paragraphs(F.col("text")), lambda ps: F.struct(F.transform(ps["c"], lambda c: F.xxhash64(c)).alias("hs"), F.xxhash64(F.array_join(ps["c"], " ")).alias("h"))).alias("x"))
+    forms = [(r["license"], tuple(r["hs"]), r["h"]) for r in forms.where("size(x.hs) > 0").select("license", "x.hs", "x.h").distinct().collect()]
+    ends = {(name, hs) for name, hs, _ in forms}
+    heads: dict[int, set[int]] = {}
+    for name, hs, _ in forms:
+        if not any((name, hs[k:]) in ends for k in range(1, len(hs))):  # else the end is what counts, once
+            heads.setdefault(hs[0], set()).add(len(hs))
     text = whole_text()
     lines = F.transform(F.split(text, "\n", -1), lambda x: F.struct(F.lit("line").alias("unit"), x.alias("t")))
     whole = F.array(F.struct(F.lit("text").alias("unit"), text.alias("t")))
     # a text of one line is a unit of either kind
     units = docs.select("doc_id", F.explode(F.concat(whole, lines)).alias("u")).select("doc_id", "u.unit", canonical(F.col("u.t")).alias("c"))
+    units = units.union(docs.select("doc_id", F.lit("paragraphs"), F.explode(runs(text, heads, {h for *_, h in forms}))))
     # a digest can only be known if some known text has as many characters, which is cheaper to see
     lengths = digests.agg(F.collect_set("n").alias("ns"))
     sizes = [r for r in lengths.first()["ns"]] if known is None else None

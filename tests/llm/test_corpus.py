@@ -307,6 +307,22 @@ def test_licenses(spark):
     assert found == Counter([(1, "MIT", "line", 1), (2, "MIT", "text", 1), (5, "all-rights-reserved", "text", 2), (5, "all-rights-reserved", "line", 2)])
 
 
+def test_whole_licenses(spark):
+    from pathlib import Path
+
+    files = sorted((Path(licenses.__file__).parent / "licence_texts").glob("*.txt"))
+    assert len(files) == 14
+    rows = [(k, f.read_text()) for k, f in enumerate(files)]
+    rows += [(100 + k, f"Some prose\nof two lines.\n\n{f.read_text()}\n\nMore prose.") for k, f in enumerate(files)]
+    mit = licenses.KNOWN["MIT"][2].split("\n", 1)[1].strip()
+    wrapped = "\n".join(f" * {x}" for part in mit.split("\n") for x in (re.findall(r".{1,60}(?:\s|$)", part) or [""]))
+    rows += [(200, f"/*\n * A program.\n *\n{wrapped}\n */\n\nint main() {{}}"), (201, "\n\n"), (202, mit[:200] + "\n\n" + mit[200:])]
+    out = licenses.licenses(spark.createDataFrame(rows, "doc_id long, text string")).where("unit <> 'line'").collect()
+    found = {(r.doc_id, r.license, r.unit, r.n_units) for r in out}
+    want = {(k, f.stem, "text", 1) for k, f in enumerate(files)} | {(100 + k, f.stem, "paragraphs", 1) for k, f in enumerate(files)}
+    assert found == want | {(200, "MIT", "paragraphs", 1)}
+
+
 def remaining(rows, width):
     seen, out = set(), {}
     for i, t in rows:
