@@ -102,6 +102,118 @@ def test_bootstrap_finds_what_patterns_announce(spark):
     assert "ctx_email:21:37" in found[50] and found[51] == ""
 
 
+GROUP = "[0-9][0-9().+/-]*+"
+UNIT = re.compile(rf"[+(]*+{GROUP}(?=\x20)(?:\x20\(?{GROUP}(?=[\x20\x09-\x0D,;:!?]|\Z))++[,;:!?]*+|[^\x20\x09-\x0D]++")
+
+
+def bootstrapped(texts):
+    """The values that the method adds, with their kinds, and the spans for each text, one by one."""
+    units, fills, every = [], Counter(), Counter()
+    value = lambda u: re.sub(r"""[\])"'>},;:!?.|*#$%&]+\Z""", "", re.sub(r"""^(?:[\["'<{|*#$%&]|\((?![0-9]))+""", "", u))
+    for n, t in enumerate(texts):
+        at = list(UNIT.finditer(t))
+        w = ["^", "^", *(re.sub("[0-9]", "0", m[0].lower()) for m in at), "$"]
+        for i, m in enumerate(at):
+            b, a, c = w[i], w[i + 1], w[i + 3]
+            shape = re.sub(r"[^\W\d_]+", "a", w[i + 2])
+            v, mark = value(m[0]), bool(re.search("[0-9@]", m[0]))
+            spans = base_pii(v) if mark else []
+            kind = min(spans)[2] if spans else None
+            patterns = {("L", a), ("LL", b, a), ("LR", a, c), ("R", c), ("LS", a, shape)}
+            units.append((n, m.start() + m[0].find(v), v, mark, kind, (b, a, c), patterns))
+            for p in patterns:
+                every[p] += 1
+                fills[p] += kind is not None
+    support = defaultdict(set)
+    for u in units:
+        if u[4]:
+            for p in u[6]:
+                support[p].add(u[2])
+    good = {p for p, s in support.items() if len(s) >= pii.SUPPORT and fills[p] * pii.FILL >= every[p]}
+    slots, known, contexts = defaultdict(set), {u[2]: u[4] for u in units if u[4]}, defaultdict(set)
+    for u in units:
+        for p in u[6] & good if u[2] else ():
+            slots[p].add(u[2])
+            if not u[4]:
+                contexts[u[2]].add((u[5], p))
+    added = {}
+    while True:
+        conf = {}
+        for p, s in slots.items():
+            count = Counter(known[v] for v in s if v in known)
+            if count:
+                kind = max(pii.KINDS, key=lambda k: (count[k], -pii.KINDS.index(k)))
+                k, n, z2 = count[kind], len(s), pii.Z**2
+                q = k / n
+                low = (q + z2 / (2 * n) - pii.Z * math.sqrt(q * (1 - q) / n + z2 / (4 * n * n))) / (1 + z2 / n)
+                if k >= pii.SUPPORT and low >= pii.CONFIDENT:
+                    conf[p] = (low, kind)
+        new = {}
+        for v, met in contexts.items():
+            if v not in known:
+                best = defaultdict(float)
+                for x, p in met:
+                    if p in conf:
+                        best[conf[p][1], x] = max(best[conf[p][1], x], conf[p][0])
+                score = {k: 1 - math.prod(1 - c for (kk, _), c in best.items() if kk == k) for k in pii.KINDS}
+                top = max(pii.KINDS, key=lambda k: (score[k], -pii.KINDS.index(k)))
+                if score[top] >= pii.ACCEPT:
+                    new[v] = top
+        if not new:
+            break
+        known |= new
+        added |= new
+    out = defaultdict(set)
+    for n, start, v, mark, kind, _, patterns in units:
+        if not kind and v in added and (mark or any(p in conf for p in patterns)):
+            if not any(s < start + len(v) and start < e for s, _, _, e in base_pii(texts[n])):
+                out[n].add(f"ctx_{added[v]}:{start}:{start + len(v)}")
+    return added, out
+
+
+def planted(seed=5, n=600):
+    """Texts with announced identifiers that the rules know, others that they do not, and numbers that are none. (text, unseen spans)."""
+    r = random.Random(seed)
+    prose = ["".join(r.choice("abcdefg") for _ in range(r.randint(2, 8))) for _ in range(400)]
+    words = lambda k: " ".join(r.choice(prose) for _ in range(k))
+    digits = lambda k: "".join(r.choice("0123456789") for _ in range(k))
+    slots = {"email": ["write to mail {} today", "mailbox {} is read daily", "reach them via {} or"], "phone": ["call us on {} after nine", "fax number {} only", "mobile {} at night"]}
+    rows = []
+    for _ in range(n):
+        kind = r.choice(["email", "phone"])
+        slot, unseen = r.choice(slots[kind]), ""
+        if r.random() < 0.2:
+            unseen = r.choice([f"{r.choice(prose)}{digits(3)}@intranet", f"user{digits(2)}"]) if kind == "email" else r.choice([f"0{digits(3)} {digits(3)} {digits(4)}", f"0{digits(3)}/{digits(6)}"])
+        value = unseen or (f"{r.choice(prose)}.{digits(3)}@{r.choice(prose)}.org" if kind == "email" else f"+{r.randint(1, 99)} ({digits(3)}) {digits(3)}-{digits(4)}")
+        text = f"{words(r.randint(3, 20))} {slot.format(value)} {words(4)} order {digits(9)} of {digits(4)}/{digits(2)} {words(r.randint(3, 20))}"
+        at = text.find(value)
+        rows.append((text, f"ctx_{kind}:{at}:{at + len(value)}" if unseen else None))
+    return rows
+
+
+def test_bootstrap_equals_brute_force(spark):
+    texts = [t for t, _ in planted(n=300)] + [t for t in dict.fromkeys(t for _, t in ODD) if t] + ["", "mail", " (a@b.c), 1.2.3.4"] * 2
+    values, spans = bootstrapped(texts)
+    found = {r.doc_id: {s for s in r.spans.split(",") if s.startswith("ctx_")} for r in pii.pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(7)).collect()}
+    assert values and {n: s for n, s in found.items() if s} == {n: s for n, s in spans.items() if s}
+
+
+def test_bootstrap_discovers_unseen_identifiers(spark):
+    rows = planted()
+    want = {(n, s) for n, (_, s) in enumerate(rows) if s}
+    frame = spark.createDataFrame([(n, t) for n, (t, _) in enumerate(rows)], "doc_id long, text string")
+    found = {(r.doc_id, s) for r in pii.pii(frame).collect() for s in r.spans.split(",") if s.startswith("ctx_")}
+    hits = len(found & want)
+    print(f"precision {hits / len(found):.3f}, recall {hits / len(want):.3f}, planted {len(want)}")
+    assert hits >= 0.9 * len(want) and hits >= 0.9 * len(found)
+
+
+def test_a_long_identifier_counts(spark):
+    rows = [(i, f"please write to mail u{i}@host{i}.org today") for i in range(20)] + [(50, f"please write to mail {'x' * 300}@intranet today")]
+    found = {r.doc_id: r.spans for r in pii.pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found[50] == "ctx_email:21:330"
+
+
 def test_ledger_scans_only_what_is_new(spark, tmp_path):
     ledger = str(tmp_path / "ledger")
     first = spark.createDataFrame([(1, "token = abcdef"), (2, "token = abcdef"), (3, None)], "doc_id long, text string")
