@@ -1,14 +1,19 @@
 """Operator 10: quality rules with adaptive thresholds; DataFrame functions only.
 
-A text's measures (see `measures`) are compared with thresholds of its language and source. These come from
-quantile sketches, which merge over partitions: a text fails where a measure lies above the upper quartile by FENCE
-times the distance between the quartiles and by a least gap that keeps groups of nearly equal texts. Groups
-with fewer than LEAST texts take the thresholds of their language, and those of all texts if that is small too.
-The thresholds join the texts on language and source (nulls are groups like others). Besides, texts of fewer than 50
-words, or with over half of their words in repeated windows of three, always fail.
-
-A null text counts as one without words and fails. Repeated rows are judged alike. Extra columns are kept by
-`keep_good` and ignored by `quality`.
+A text's measures (see `measures`) are compared with thresholds of its language and source. All of a threshold comes from
+quantile sketches, which merge over partitions: a text fails where a measure lies above the upper quartile of its group by FENCE
+deviations (the distance of the quartiles, as deviations of a normal distribution), or, if that is more, by what ALLOWED occurrences
+are in a text of the group's median size. The latter holds for measures that are zero in most texts, whose quartiles coincide. Up
+to a quarter of junk in a group moves neither much.
+
+Groups are not cut by size. The sketched values of a group of n texts count with weight n / (n + PRIOR), the rest is those
+of its language, which lean on all texts in the same way. The thresholds join the texts on language and source (nulls
+are groups like others). Besides, texts of fewer than 50 words, or with over half of their words in repeated windows of three, always
+fail, and do not enter the sketches. If all texts fail so, there is no threshold.
+
+Results in special cases. Null or empty text: no words, fails. Empty table: no rows. Very long texts: whole, in time near linear.
+Repeated rows and rows with equal or null doc_ids: each is judged, alike. Ties: a measure at its threshold passes. Extra columns,
+also of names used here, are kept by `keep_good` and ignored by `quality`.
 """
 
 from __future__ import annotations
@@ -18,9 +23,15 @@ from pyspark.sql import functions as F
 
 from .shared import bind, keeps_columns, split_words, stored, whole_text
 
-LEAST, FENCE = 100, 6.0
-#: The least distance of a threshold from the upper quartile, for each measure.
-GAPS = {"symbol_rate": 0.10, "dup_line_rate": 0.40, "repeat_rate": 0.35, "mark_rate": 0.12, "capital_rate": 0.25, "word_length": 3.0}
+FENCE, PRIOR = 8.0, 100.0
+#: For each measure how many occurrences of what it counts are always allowed in a text of median size, and by which count it divides.
+ALLOWED = {
+    "symbol_rate": (8, "n_words"), "dup_line_rate": (3, "n_lines"), "repeat_rate": (48, "n_words"), "mark_rate": (8, "word_chars"),
+    "capital_rate": (8, "word_chars"), "word_length": (8, "n_words"),
+}
+SIZES = ("n_words", "n_lines", "word_chars")
+#: Quantiles that are sketched, and how many deviations of a normal distribution lie between the first and the last.
+AT, QUARTILES = (0.25, 0.5, 0.75), 1.349
 
 
 def repeat_words(words: Column) -> Column:
@@ -70,7 +81,7 @@ def _measured(docs: DataFrame, keep: list[str]) -> DataFrame:
     rows = rows.select(*keep, "_lang", "_source", "_w.*", "_l.*", "n_symbols", "_marks", "_capitals")
     part = lambda a, b: F.col(a) / F.greatest(F.col(b), F.lit(1))
     return rows.select(
-        *keep, "_lang", "_source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        *keep, "_lang", "_source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines",
         part("n_symbols", "n_words").alias("symbol_rate"), part("n_dup_lines", "n_lines").alias("dup_line_rate"),
         part("n_repeat_words", "n_words").alias("repeat_rate"), part("_marks", "word_chars").alias("mark_rate"),
         part("_capitals", "word_chars").alias("capital_rate"), part("word_chars", "n_words").alias("word_length"),
@@ -78,28 +89,41 @@ def _measured(docs: DataFrame, keep: list[str]) -> DataFrame:
     )
 
 
+def _mixed(n: Column, own: Column, rest: Column) -> Column:
+    """The sketched values of n texts with those that they lean on."""
+    w = n / (n + PRIOR)
+    mix = lambda a, b: F.coalesce(w * a + (1 - w) * b, a, b)
+    return F.when(own.isNull(), rest).when(rest.isNull(), own).otherwise(F.zip_with(own, rest, mix))
+
+
 def thresholds(measured: DataFrame) -> DataFrame:
     """The highest values that pass, a row for each language and source."""
     # conditions within the aggregates: as a filter they would go down and compute the measures once more
     good = ~F.col("base_failed")
-    quartiles = [F.percentile_approx(F.when(good, F.col(m)), [0.25, 0.75], 1000).alias(m) for m in GAPS]
-    limit = lambda m: (F.col(m)[1] + F.greatest(F.lit(GAPS[m]), FENCE * (F.col(m)[1] - F.col(m)[0]))).alias(m)
+    sketched = [F.percentile_approx(F.when(good, F.col(m)).cast("double"), list(AT), 10_000).alias(m) for m in (*ALLOWED, *SIZES)]
 
     def of(*keys: str) -> DataFrame:
-        return measured.groupBy(*keys).agg(F.count(F.when(good, 1)).alias("n"), *quartiles).select(*keys, "n", F.struct(*map(limit, GAPS)).alias("t"))
+        return measured.groupBy(*keys).agg(F.count(F.when(good, 1)).alias("n"), *sketched)
+
+    tag = lambda df, x: df.withColumnsRenamed({c: f"{x}{c}" for c in df.columns})
+    fine, lang, top = tag(of("_lang", "_source"), "f"), tag(of("_lang"), "l"), tag(of(), "t")
+    rows = fine.join(lang, F.col("f_lang").eqNullSafe(F.col("l_lang")), "left").crossJoin(F.broadcast(top))  # top is one row
+    for m in (*ALLOWED, *SIZES):
+        rows = rows.withColumn(f"q{m}", _mixed(F.col("fn"), F.col(f"f{m}"), _mixed(F.col("ln"), F.col(f"l{m}"), F.col(f"t{m}"))))
+
+    def limit(m: str) -> Column:
+        low, high = F.col(f"q{m}")[0], F.col(f"q{m}")[2]
+        count, size = ALLOWED[m]
+        return (high + F.greatest(FENCE * (high - low) / QUARTILES, count / F.greatest(F.col(f"q{size}")[1], F.lit(1.0)))).alias(m)
 
-    fine, lang, top = of("_lang", "_source"), of("_lang"), of()
-    lang = lang.select(F.col("_lang").alias("_l"), F.col("n").alias("_ln"), F.col("t").alias("_lt"))
-    fine = fine.join(lang, F.col("_lang").eqNullSafe(F.col("_l")), "left").crossJoin(F.broadcast(top.select(F.col("t").alias("_all"))))  # one row
-    best = F.when(F.col("n") >= LEAST, F.col("t")).when(F.col("_ln") >= LEAST, F.col("_lt")).otherwise(F.col("_all"))
-    return fine.select(F.col("_lang").alias("_tl"), F.col("_source").alias("_ts"), best.alias("_t"))
+    return rows.select(F.col("f_lang").alias("_tl"), F.col("f_source").alias("_ts"), F.struct(*map(limit, ALLOWED)).alias("_t"))
 
 
 def _judged(measured: DataFrame, limits: DataFrame) -> DataFrame:
     joined = measured.join(limits, F.col("_lang").eqNullSafe(F.col("_tl")) & F.col("_source").eqNullSafe(F.col("_ts")), "left")
     # a sum that needs both sides of the join, so that no part of it is computed again below the join
     faults = F.when(F.col("base_failed"), 1).otherwise(0)
-    for m in GAPS:
+    for m in ALLOWED:
         faults = faults + F.when(F.col(m) > F.col("_t")[m], 1).otherwise(0)
     return joined.withColumn("kept", faults == 0)
 
@@ -113,7 +137,7 @@ def quality(docs: DataFrame) -> DataFrame:
 
 @keeps_columns
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of docs that pass. The measures are computed twice, once stored without the texts for the thresholds."""
+    """The rows of docs that pass. The rows are stored with their measures, so that each text is measured once."""
     whole = docs.withColumn("_row", F.struct(*docs.columns)).select("text", "lang", "source", "_row")
-    limits = stored(thresholds(stored(_measured(docs.select("text", "lang", "source"), []), "quality")), "quality-limits")
-    return _judged(_measured(whole, ["_row"]), limits).where("kept").select("_row.*")
+    measured = stored(_measured(whole, ["_row"]), "quality")
+    return _judged(measured, stored(thresholds(measured.drop("_row")), "quality-limits")).where("kept").select("_row.*")

@@ -551,6 +551,75 @@ def test_quality(spark, docs):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, r in found.items() if r.kept}
 
 
+def judged(rows):
+    """kept of each of (text, lang, source), one by one."""
+    made, base = [], []
+    for t, lang, source in rows:
+        t = t or ""
+        w, lines = SPACED.findall(t), [x for x in t.split("\n") if SPACED.search(x)]
+        windows = list(zip(w, w[1:], w[2:], strict=False))
+        seen = Counter(windows)
+        inside = {k + d for k, x in enumerate(windows) if seen[x] > 1 for d in range(3)}
+        chars = sum(map(len, w))
+        share = lambda a, b: a / max(b, 1)
+        made.append({
+            "n_words": len(w), "n_lines": len(lines), "word_chars": chars, "symbol_rate": share(len(re.findall(r"[#*$%&|<>]", t)), len(w)),
+            "dup_line_rate": share(len(lines) - len(set(lines)), len(lines)), "repeat_rate": share(len(inside), len(w)),
+            "mark_rate": share(len(re.findall(r"[!-/:-@\[-`{-~]", t)), chars), "capital_rate": share(len(re.findall("[A-Z]", t)), chars), "word_length": share(chars, len(w)),
+        })
+        base.append(len(w) < 50 or 100 * len(inside) > 50 * len(w))
+
+    def sketch(pick):
+        chosen = [m for m, b, r in zip(made, base, rows, strict=True) if not b and pick(r)]
+        at = lambda v, q: v[max(math.ceil(q * len(v)), 1) - 1]
+        return len(chosen), {m: [at(sorted(c[m] for c in chosen), q) for q in quality.AT] for m in made[0]} if chosen else None
+
+    def mixed(n, own, rest):
+        w = n / (n + quality.PRIOR)
+        return rest if own is None else own if rest is None else {m: [w * a + (1 - w) * b for a, b in zip(own[m], rest[m], strict=True)] for m in own}
+
+    top, out, limits = sketch(lambda r: True), [], {}
+    for m, b, (_, lang, source) in zip(made, base, rows, strict=True):
+        if (lang, source) not in limits:
+            of_lang = sketch(lambda r, lang=lang: r[1] == lang)
+            q = mixed(*sketch(lambda r, lang=lang, source=source: r[1:] == (lang, source)), mixed(*of_lang, top[1]))
+            limits[lang, source] = q and {
+                x: q[x][2] + max(quality.FENCE * (q[x][2] - q[x][0]) / quality.QUARTILES, count / max(q[size][1], 1.0)) for x, (count, size) in quality.ALLOWED.items()
+            }
+        t = limits[lang, source]
+        out.append(not b and not (t and any(m[x] > t[x] for x in t)))
+    return out, limits
+
+
+def various(n=400):
+    r = random.Random(3)
+    rows = []
+    for _ in range(n):
+        words = [r.choice(WORDS) for _ in range(r.randint(30, 300))]
+        kind = r.random()
+        if kind < 0.08:
+            words = [w + r.choice("#$%&") for w in words]
+        elif kind < 0.14:
+            words = [w.upper() for w in words]
+        elif kind < 0.2:
+            words[: len(words) // 2] = words[:5] * (len(words) // 10)
+        text = "".join(w + ("\n" if r.random() < 0.05 else " ") for w in words)
+        if kind > 0.95:
+            text = "the same line\n" * 9 + text
+        rows.append((text, r.choice(["en", "en", "de", None]), r.choice("aaaabc")))
+    return [*rows, (None, "en", "a"), ("", None, None), (rows[0][0] if rows else "x", "fr", "only here")]
+
+
+@pytest.mark.parametrize("rows", [various(), various(40), various(0)])
+def test_kept_equals_brute_force(spark, rows):
+    frame = spark.createDataFrame([(n, *r) for n, r in enumerate(rows)], "doc_id long, text string, lang string, source string").repartition(6)
+    found = {r.doc_id: r.kept for r in quality.quality(frame).collect()}
+    want, limits = judged(rows)
+    assert [found[n] for n in range(len(rows))] == want
+    if len(rows) > 100:
+        assert not all(want) and len({tuple(x.values()) for x in limits.values()}) > 3  # each group has its own
+
+
 def test_adaptive_thresholds_reject_what_stands_out(spark):
     rows = [(i, " ".join(f"word{(i * 7 + k * k) % 997}" for k in range(80)), "en", "a") for i in range(200)]
     rows += [(900, " ".join(f"w{k}###$$$" for k in range(80)), "en", "a")]
