@@ -4,15 +4,18 @@ A rank file lists byte strings by merge order. The library's BPE model works on
 mapped to a printable character (the byte table below), the merges are all splits of a token into two tokens, in rank
 order, and a piece that is itself a token is taken whole. Decoding maps ids to byte strings by the reversed
 table and joins them; a character that is split over tokens comes together again, and what is no valid UTF-8
-by itself becomes U+FFFD in the decoded *text* only, never in the decoded bytes.
+by itself becomes U+FFFD in the decoded *text* only, never in the decoded bytes. The offsets of the tokens are where each ends in its
+text, in code points.
 
-Null texts count as empty: no tokens, no bytes. Other columns are kept; `ids`, `n_tokens`, `token_ends` and
-`decoded` replace columns of these names.
+Results in special cases. Null or empty text: no tokens, no bytes. Empty table: no rows. Very long texts: whole, one at a time. Repeated rows, equal or
+null doc_ids: each row by itself. Other columns are kept; `ids`, `n_tokens`, `token_ends`, `decoded` and `decoded_text` replace
+columns of these names.
 """
 
 from __future__ import annotations
 
 import base64
+import json
 import os
 import re
 from array import array
@@ -28,8 +31,9 @@ from .shared import small
 
 #: Pieces whose ids a worker remembers; beyond that it forgets the newer ones.
 REMEMBERED = 300_000
-#: Texts of these characters only are split by a pattern that `re` runs fast; its classes equal those of the full
-#: pattern for these characters.
+#: The usual byte-level pattern. Texts of certain characters only are split by one that `re` runs fast, whose classes equal
+#: those of the full pattern for these characters. Any other pattern is used as it is.
+USUAL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _PLAIN = re.compile("[\t-\r -~À-ÖØ-öø-ɏ]*")
 _LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
 _PLAIN_PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[0-9]+| ?[^\s{_LETTER}0-9]+|\s+(?!\S)|\s+")
@@ -73,19 +77,24 @@ class _Known(dict):
 
 
 class PieceEncoder:
-    """Ids of texts as little-endian 32-bit integers; a piece goes to the library when it is new to this worker."""
+    """Ids of texts as little-endian 32-bit integers; a piece goes to the library when it is new to this worker.
 
-    def __init__(self, tokenizer, pieces=None):
-        self.tokenizer, self.pieces, self.known = tokenizer, pieces, _Known(tokenizer.model)
+    pieces: a compiled pattern; without one the tokenizer splits texts. quick: the pattern is the usual one. special: strings that the
+    tokenizer treats as one token each.
+    """
+
+    def __init__(self, tokenizer, pieces=None, quick: bool = False, special: tuple[str, ...] = ()):
+        self.tokenizer, self.pieces, self.quick, self.known = tokenizer, pieces, quick, _Known(tokenizer.model)
+        self.special = re.compile("|".join(map(re.escape, special))) if special else None
 
     def split(self, text: str) -> list[str] | None:
-        if _PLAIN.fullmatch(text):
+        if self.quick and _PLAIN.fullmatch(text) and not (self.special and self.special.search(text)):
             return _PLAIN_PIECES.findall(text)
         return self.pieces.findall(text) if self.pieces else None
 
     def ids(self, text: str) -> bytes:
         found = self.split(text)
-        if found is None:  # the tokenizer has a pattern of its own
+        if found is None:
             return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         if len(self.known) > REMEMBERED:  # frequent pieces came first, so the oldest third stays
             oldest = list(islice(self.known.items(), REMEMBERED // 3))
@@ -104,18 +113,21 @@ def rank_encoder(path: str, pattern: str) -> PieceEncoder:
     _one_thread()
     import regex
 
-    return PieceEncoder(rank_tokenizer(read_ranks(path)), regex.compile(pattern))
+    return PieceEncoder(rank_tokenizer(read_ranks(path)), regex.compile(pattern), pattern == USUAL)
 
 
 @lru_cache(maxsize=2)
 def file_encoder(path: str) -> PieceEncoder:
-    """For a tokenizer file whose own pattern is the usual byte-level one. Special tokens in a text are plain text."""
+    """The ids that the tokenizer file gives without adding special tokens; those that a text spells out are single tokens, as there."""
     _one_thread()
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    return PieceEncoder(tokenizer)
+    state = json.loads(tokenizer.to_str())
+    usual = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+    splits = {k: v for k, v in (state["pre_tokenizer"] or {}).items() if k in usual}
+    plain = not any(state[k] for k in ("normalizer", "truncation", "padding")) and state["model"]["type"] == "BPE" and not state["model"].get("dropout")
+    return PieceEncoder(tokenizer, None, plain and splits == usual, tuple(a["content"] for a in state["added_tokens"]))
 
 
 @lru_cache(maxsize=2)
@@ -163,21 +175,22 @@ def encode(docs: DataFrame, path: str, pattern: str, offsets: bool = False) -> D
     return docs.mapInArrow(run, schema)
 
 
-def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """encoded with decoded (bytes) for its ids."""
-    encoded = encoded.drop("decoded")
-    schema = encoded.selectExpr("*", "binary('') decoded").schema
+def decode(encoded: DataFrame, path: str, text: bool = False) -> DataFrame:
+    """encoded with decoded (bytes) for its ids, with text also decoded_text."""
+    encoded = encoded.drop("decoded", "decoded_text")
+    schema = encoded.selectExpr("*", "binary('') decoded", *(["'' decoded_text"] if text else [])).schema
 
     def run(batches):
         table = byte_strings(path)
         for batch in small(batches):
             data = [decode_ids(x or b"", table) for x in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(data, pa.binary())], [*batch.schema.names, "decoded"])
+            more = [pa.array(data, pa.binary())] + ([pa.array([x.decode("utf-8", "replace") for x in data], pa.string())] if text else [])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], schema.names)
 
     return encoded.mapInArrow(run, schema)
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """Ids and decoded bytes of each text; the texts themselves stay behind."""
-    encoded = encode(docs.select("doc_id", F.col("text").cast("string").alias("text")), path, pattern)
+def round_trip(docs: DataFrame, path: str, pattern: str, offsets: bool = False) -> DataFrame:
+    """Ids and decoded bytes of each text, with offsets also token_ends; the texts themselves stay behind."""
+    encoded = encode(docs.select("doc_id", F.col("text").cast("string").alias("text")), path, pattern, offsets)
     return decode(encoded.drop("text"), path)

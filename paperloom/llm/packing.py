@@ -8,8 +8,11 @@ row says: pieces of length L with ranks from a to b go to the bins from s on, q
 pieces within their length (pieces are sorted by ranges of length, then a hash, so a hot length fills as many partitions
 as it needs, and the partitions' counts give the offsets) and look their place up. The result is that of placing the pieces one by one.
 
-A null text counts as empty: one piece with the end token alone. Rows with equal or null doc_ids are packed like
-others. Documents longer than the capacity are cut so that all pieces but the first are full.
+Results in special cases. Null or empty text: one piece with the end token alone. Empty table: no rows. Very long texts: whole; documents
+longer than the capacity are cut so that all pieces but the first are full. Special tokens that a text spells out are single tokens, as the library has
+them. Repeated rows, equal or null doc_ids: each row is packed like others. Ties: pieces of equal length are ranked by a hash, and of
+equally tight bins the one opened or filled last is taken; neither changes how many sequences there are. Extra columns, also of names
+used here, are ignored.
 """
 
 from __future__ import annotations

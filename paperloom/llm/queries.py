@@ -43,8 +43,9 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    done = bpe.round_trip(documents(spark, sf_dir), _path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    done = bpe.round_trip(documents(spark, sf_dir), _path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, offsets=True)
+    ends = F.sha2(F.array_join("token_ends", ","), 256).alias("ends_sha256")
+    return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), ends)
 
 
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

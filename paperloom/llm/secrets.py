@@ -5,8 +5,10 @@ blob, nothing included. A scan hashes all paths, takes one copy of each blob for
 missing, runs just the missing rules on it, appends the findings to the ledger, and joins the ledger back to
 all paths. Changing a rule means a new version: only that rule runs again, and unchanged blobs never run twice.
 
-A null text counts as empty. Repeated rows share a blob and have equal findings. Rows with equal or null
-doc_ids are each a path. Extra columns are kept by `redact` and ignored by `secrets`.
+Results in special cases. Null text: counts as empty, no findings; `redact` leaves it null. Empty table: no rows. Very long texts: whole. Repeated
+rows share a blob and have equal findings, also where the ledger holds a blob and rule more than once. Rows with equal or null doc_ids
+are each a path. Ties: spans sort by start, then by the order of the rules. Extra columns, also of names used here, are kept by
+`redact` and ignored by `secrets`.
 """
 
 from __future__ import annotations
@@ -96,7 +98,8 @@ def find_secrets(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule,
     Without a ledger a new one is kept in the shared scratch folder.
     """
     found = scan(docs, ledger or scratch_path(docs.sparkSession, "ledger"), rules)
-    spans = found.where(F.size("spans") > 0).groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("_found"))
+    # a set, as scans at once or an append that ran twice leave equal rows of a blob and rule
+    spans = found.where(F.size("spans") > 0).groupBy("blob").agg(F.array_sort(F.flatten(F.collect_set("spans"))).alias("_found"))
     paths = docs.drop("_found", "_blob").withColumn("_blob", F.sha2(whole_text(), 256))
     empty = F.array().cast("array<struct<start:bigint,kind_no:int,kind:string,end:bigint,value:string>>")
     joined = paths.join(spans.withColumnRenamed("blob", "_blob"), "_blob", "left")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -15,11 +16,13 @@ SPACE = r"[\x20\x09-\x0D]"
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (in tests) a new local one."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, where all run in one process, a new local one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.conf.get("paperloom.scratch.dir", None)
         if not base:
+            if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
             spark.conf.set("paperloom.scratch.dir", base)
     if not spark.sparkContext.getCheckpointDir():
@@ -208,8 +211,8 @@ def keeps_columns(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """Connected components of (a, b) edges of longs: (node, root), root the smallest node reachable.
 
-    Alternates large-star and small-star steps; each round is checkpointed in the shared folder, and hot
-    nodes only ever meet in a min aggregate, which combines before its shuffle.
+    Alternates large-star and small-star steps; each round is checkpointed in the shared folder. The least neighbour of a node
+    comes from a min aggregate, which combines before its shuffle; a hot node's edges then meet it in a join, where Spark splits skewed partitions.
     """
     scratch_dir(edges.sparkSession)
     both = lambda e: e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
