@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from .functions import dates as D
 from .functions import mrz, rules
 from .functions import text as T
+from .functions.order import ranked, settled
 from .functions.rules import LANGUAGES, Settings
 from .operators import classify as C
-from .operators import extract, merge, naming, score, segment, validate
+from .operators import extract, merge, naming, review, score, segment, validate
 from .plans import analyse, demo
-from .sources import sinks
+from .sources import models, readers, sinks
 from .sources.readers import paged
 
 S = Settings()
@@ -58,11 +59,14 @@ def sql_values(name: str, columns: str, rows: list[tuple]) -> str:
 # --- keyword scores over documents, pages over conversations ---
 
 _HAY = r"trim(regexp_replace(lower(coalesce(text, '')), '\s+', ' ', 'g'))"
-_KEYWORDS = ", ".join(f"({n}, {q(t.key)}, {q(w)}, {k})" for n, t in enumerate(LANGUAGES) for w, k in t.keywords)
 
 
-def _scored(source: str, keys: str) -> str:
-    return f"""kw(ordinal, type_key, word, weight2) AS (VALUES {_KEYWORDS}),
+def _keywords(catalogue=LANGUAGES) -> str:
+    return ", ".join(f"({n}, {q(t.key)}, {q(w)}, {k})" for n, t in enumerate(catalogue) for w, k in t.keywords)
+
+
+def _scored(source: str, keys: str, catalogue=LANGUAGES) -> str:
+    return f"""kw(ordinal, type_key, word, weight2) AS (VALUES {_keywords(catalogue)}),
     hay AS (SELECT {keys}, {_HAY} AS h FROM {source}),
     scored AS (SELECT {keys}, type_key, ordinal, CAST(sum(weight2 * least((length(h) - length(replace(h, word, ''))) // length(word), 2)) AS INTEGER) AS score2
       FROM hay CROSS JOIN kw GROUP BY ALL HAVING score2 > 0),
@@ -91,6 +95,13 @@ def keyword_scores(spark, sf):
     return docs.select("doc_id", F.inline(C.scores(F.col("text"), LANGUAGES))).select("doc_id", "type_key", "score2")
 
 
+@query(f"WITH {_scored('documents', 'doc_id', rules.CATALOGUE)} SELECT doc_id, type_key, score2 FROM scored")
+def keyword_scores_full(spark, sf):
+    """The whole catalogue of 174 keywords over whole documents: what the analysis runs for each page and each segment."""
+    docs = table(spark, sf, "documents")
+    return docs.select("doc_id", F.inline(C.scores(F.col("text")))).select("doc_id", "type_key", "score2")
+
+
 @query(f"""WITH {_scored('documents', 'doc_id')} SELECT doc_id, best2, coalesce(second2, 0) AS second2,
     CASE WHEN best2 >= 5 THEN first_type ELSE 'unknown' END AS page_type, coalesce(second2, 0) * 10 > best2 * 8 AS ambiguous
     FROM documents LEFT JOIN top USING (doc_id)""")
@@ -118,7 +129,7 @@ _SEGMENTS = f"""WITH {_scored('conversations', 'conv_id, turn')},
 
 @query(_SEGMENTS + " SELECT doc_id, seg_no, seg_type, start_page, end_page, confidence FROM segs")
 def segments_islands(spark, sf):
-    return segment.segments(C.classify(turns(spark, sf), LANGUAGES)).drop("text")
+    return segment.segments(C.classify(turns(spark, sf), LANGUAGES)).drop("text", "headings")
 
 
 @query(_SEGMENTS + " SELECT doc_id, seg_no, text, md5(text) AS digest FROM segs")
@@ -203,18 +214,41 @@ def _demo(spark: SparkSession) -> DataFrame:
     return C.classify(demo.pages(spark)).withColumnRenamed("page_type", "document_type")
 
 
-@query()
+_PAGES = sql_values("pages", "doc_id, page_no, text", [r[:3] for r in demo.PAGES])
+_TYPED = f"""{_PAGES}, {_scored('pages', 'doc_id, page_no', rules.CATALOGUE)},
+    typed AS (SELECT p.*, CASE WHEN best2 >= 5 THEN first_type ELSE 'unknown' END AS document_type FROM pages p LEFT JOIN top USING (doc_id, page_no))"""
+_BLEED = "(?i)(?:(?:^|\\s)[:,.]*(?:" + "|".join(rules.LABEL_WORDS) + ")[:,.]*)+$"
+
+
+def _found(pattern: str, source: str = "text") -> str:
+    """The first group of a pattern without what begins the next label. The demo texts are plain enough for classes of ASCII."""
+    got = f"trim(regexp_replace(trim(regexp_extract({source}, {q('(?i)' + pattern)}, 1)), '\\s+', ' ', 'g'))"
+    return f"nullif(regexp_replace({got}, {q(_BLEED)}, ''), '')"
+
+
+@query(f"WITH {_PAGES} SELECT doc_id, page_no, " + ", ".join(f"{_found(p)} AS {f}" for f, p in rules.LABELS.items()) + " FROM pages")
 def label_extract(spark, sf):
     return _demo(spark).select("doc_id", "page_no", *(extract.label(F.col("text"), f).alias(f) for f in rules.LABELS))
 
 
-@query()
+_ANCHORED = ("full_name", "city", "dependent_name", "period", "company")
+
+
+@query(f"WITH {_TYPED} SELECT doc_id, page_no, document_type, " + ", ".join(
+    "CASE document_type " + " ".join(f"WHEN {q(k)} THEN {_found(r[f])}" for k, r in rules.ANCHORS.items() if f in r) + f" END AS {f}" for f in _ANCHORED) + " FROM typed")
 def type_anchor_extract(spark, sf):
-    fields = ("full_name", "city", "dependent_name", "period", "company")
-    return _demo(spark).select("doc_id", "page_no", "document_type", *(extract.anchor(F.col("text"), F.col("document_type"), f).alias(f) for f in fields))
+    return _demo(spark).select("doc_id", "page_no", "document_type", *(extract.anchor(F.col("text"), F.col("document_type"), f).alias(f) for f in _ANCHORED))
 
 
-@query()
+def _firms(source: str) -> str:
+    """Names with a legal form, in order; what follows a name is part of the match, as this engine cannot look ahead."""
+    return f"list_transform(regexp_extract_all({source}, {q(rules.COMPANY.replace('(?!' + chr(92) + 'w)', '(?:' + chr(92) + 'W|$)'))}, 1), lambda c: trim(regexp_replace(c, '\\s+', ' ', 'g')))"
+
+
+@query(f"""WITH {_TYPED}, cut AS (SELECT *, coalesce({', '.join(
+    f"CASE WHEN document_type = '03_cv' AND instr(lower(text), {q(m)}) > 0 THEN ({_firms(f'substr(text, instr(lower(text), {q(m)}), 600)')})[1] END" for m in rules.EMPLOYER_SECTIONS)},
+    ({_firms('text')})[1]) AS company, {_firms('text')} AS every FROM typed)
+    SELECT doc_id, page_no, company, array_to_string(list_filter(every, lambda c, i: list_position(every, c) = i), '; ') AS companies FROM cut""")
 def company_legal_form(spark, sf):
     found = _demo(spark).select("doc_id", "page_no", extract.company(F.col("text"), F.col("document_type")).alias("company"), extract.companies(F.col("text")).alias("every"))
     return found.select("doc_id", "page_no", "company", F.array_join("every", "; ").alias("companies"))
@@ -254,10 +288,27 @@ def mrz_check_digit(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", mrz.check_digit(s).cast("int").alias("digit"))
 
 
-@query()
+_ZONES = [("good", demo.MRZ), ("broken", demo.BROKEN_MRZ), ("first line only", demo.MRZ.split("\n")[0]), ("none", "nothing here"), ("spaced", " ".join(demo.MRZ))]
+_DIGIT = lambda s: f"list_sum(list_transform(range(1, length({s}) + 1), lambda i: [7, 3, 1][(i - 1) % 3 + 1] * greatest(instr('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', substr({s}, i, 1)) - 1, 0))) % 10"
+_DAY = lambda s, century: f"CASE WHEN CAST(substr({s}, 3, 2) AS INTEGER) BETWEEN 1 AND 12 AND CAST(substr({s}, 5, 2) AS INTEGER) BETWEEN 1 AND 31 THEN substr({s}, 5, 2) || '.' || substr({s}, 3, 2) || '.' || {century} || substr({s}, 1, 2) END"
+_TITLED = lambda s: f"nullif(array_to_string(list_transform(string_split(replace({s}, '<', ' '), ' '), lambda w: upper(substr(w, 1, 1)) || lower(substr(w, 2))), ' '), '')"
+
+
+@query("WITH " + sql_values("v", "name, text", _ZONES) + f""", flat AS (SELECT name, regexp_replace(upper(text), '[ \\t]', '', 'g') AS x FROM v),
+    one AS (SELECT name, x, regexp_extract(x, {q(rules.MRZ_1)}, ['s', 'g']) AS n, regexp_matches(x, {q(rules.MRZ_1)}) AS hit, regexp_extract(x, {q(rules.MRZ_1)}) AS l1 FROM flat),
+    two AS (SELECT *, substr(x, instr(x, l1) + length(l1)) AS after FROM one),
+    line AS (SELECT *, regexp_extract(CASE WHEN regexp_matches(after, {q(rules.MRZ_2)}) THEN after ELSE x END, {q(rules.MRZ_2)}, ['a','b','c','d','e','f','g','h','i','j','k']) AS m,
+      regexp_matches(x, {q(rules.MRZ_2)}) AS there FROM two),
+    c AS (SELECT *, {_DIGIT('m.a')} = try_cast(m.b AS INTEGER) AS c1, {_DIGIT('m.d')} = try_cast(m.e AS INTEGER) AS c2, {_DIGIT('m.g')} = try_cast(m.h AS INTEGER) AS c3,
+      {_DIGIT('(m.a || m.b || m.d || m.e || m.g || m.h || m.i || m.j)')} = try_cast(m.k AS INTEGER) AS c4 FROM line)
+    SELECT name, CASE WHEN hit THEN {_TITLED('n.s')} END AS surname, CASE WHEN hit THEN string_split({_TITLED('n.g')}, ' ')[1] END AS given_name,
+      CASE WHEN hit THEN nullif(replace(m.a, '<', ''), '') END AS document_number, CASE WHEN hit THEN nullif(replace(m.c, '<', ''), '') END AS nationality,
+      CASE WHEN hit AND there THEN {_DAY('m.d', f"CASE WHEN CAST(substr(m.d, 1, 2) AS INTEGER) > {S.as_of[2:4]} THEN '19' ELSE '20' END")} END AS birth_date,
+      CASE WHEN hit AND there THEN {_DAY('m.g', "'20'")} END AS expiry_date, CASE WHEN hit THEN coalesce(there AND c1 AND c2 AND c3 AND c4, false) END AS verified,
+      CASE WHEN hit AND there THEN array_to_string(list_filter([CASE WHEN NOT c2 THEN 'birth_date' END, CASE WHEN NOT c4 THEN 'composite' END, CASE WHEN NOT c1 THEN 'document_number' END,
+        CASE WHEN NOT c3 THEN 'expiry_date' END], lambda f: f IS NOT NULL), ',') END AS failed FROM c""")
 def mrz_parse_verify(spark, sf):
-    rows = [("good", demo.MRZ), ("broken", demo.BROKEN_MRZ), ("first line only", demo.MRZ.split("\n")[0]), ("none", "nothing here"), ("spaced", " ".join(demo.MRZ))]
-    x = values(spark, "name string, text string", rows).select("name", mrz.parse_mrz(F.col("text"), S.as_of).alias("m"))
+    x = values(spark, "name string, text string", _ZONES).select("name", mrz.parse_mrz(F.col("text"), S.as_of).alias("m"))
     failed = F.array_join(F.array_sort(F.map_keys(F.map_filter("m.checks", lambda k, v: ~v))), ",")
     return x.select("name", "m.surname", "m.given_name", "m.document_number", "m.nationality", "m.birth_date", "m.expiry_date", "m.verified", failed.alias("failed"))
 
@@ -303,7 +354,8 @@ def period_normalise(spark, sf):
     x = table(spark, sf, "lineitem").withColumn("d", F.col("l_shipdate").cast("date"))
     text = lambda *fs: F.coalesce(*(F.when(F.col("l_linenumber") % 4 == n, F.date_format("d", f)) for n, f in enumerate(fs)))
     x = x.withColumn("text", text("MM/yyyy", "yyyy-MM", "dd.MM.yyyy", "yyyy-MM-dd"))
-    return x.select("l_orderkey", "l_linenumber", D.normalise_period(F.col("text")).alias("period")).where("period is not null")
+    # exploded instead of filtered: a filter would go below and compute every period twice
+    return x.select("l_orderkey", "l_linenumber", F.explode(F.array_compact(F.array(D.normalise_period(F.col("text"))))).alias("period"))
 
 
 _EXPIRY = [("Valid until: 30.09.2028, issued 01.01.2020", "30.09.2028", "label"), ("issued 01.01.2020, ends 02.03.2031", "02.03.2031", "guessed"), ("expires soon. date of expiry 05.06.2027", "05.06.2027", "label"),
@@ -459,16 +511,21 @@ def split_manifest(spark, sf):
     return sinks.split_manifest(segment.segments(C.classify(pages, LANGUAGES)), counts)
 
 
+def _filed(spark: SparkSession, sf: str) -> DataFrame:
+    """Turns as documents of the client that their role stands for."""
+    none = F.lit(None).cast("string")
+    x = table(spark, sf, "conversations").select("conv_id", "turn", F.struct("conv_id", "turn").alias("doc_ordinal"), F.lit("03_cv").alias("document_type"), F.col("role").alias("last_name"),
+                                                 (F.length("text") < 60).alias("requires_review"), none.alias("error"))
+    x = x.withColumns({c: none for c in ("first_name", "company", "valid_until", "city", "period", "title", "relationship", "dependent_name")} | {"child_index": F.lit(None).cast("int")})
+    return sinks.export_manifest(x, S)
+
+
 @query("""WITH r AS (SELECT conv_id, turn, coalesce(nullif(trim(regexp_replace(role, '[<>:"/|?*_]', ' ', 'g')), ''), 'UNKNOWN') AS role, length(text) >= 60 AS ok FROM conversations),
     m AS (SELECT *, CASE WHEN ok THEN 'Clients' ELSE 'review' END || '/' || replace(role, ' ', '') || '_UNKNOWN' AS target_dir, '03_CV_' || role || '_UNKNOWN_UNKNOWN' AS stem FROM r),
     k AS (SELECT *, row_number() OVER (PARTITION BY target_dir, stem ORDER BY conv_id, turn) AS k FROM m)
     SELECT conv_id, turn, target_dir, stem || CASE WHEN k > 1 THEN ' (' || k || ')' ELSE '' END || '.pdf' AS unique_name FROM k""")
 def export_manifest(spark, sf):
-    none = F.lit(None).cast("string")
-    x = table(spark, sf, "conversations").select("conv_id", "turn", F.struct("conv_id", "turn").alias("doc_ordinal"), F.lit("03_cv").alias("document_type"), F.col("role").alias("last_name"),
-                                                 (F.length("text") < 60).alias("requires_review"), none.alias("error"))
-    x = x.withColumns({c: none for c in ("first_name", "company", "valid_until", "city", "period", "title", "relationship", "dependent_name")} | {"child_index": F.lit(None).cast("int")})
-    return sinks.export_manifest(x, S).select("conv_id", "turn", "target_dir", "unique_name")
+    return _filed(spark, sf).select("conv_id", "turn", "target_dir", "unique_name")
 
 
 # --- model answers ---
@@ -476,9 +533,10 @@ def export_manifest(spark, sf):
 
 @query("""WITH n AS (SELECT conv_id AS doc_id, count(*) AS n FROM conversations GROUP BY 1),
     m AS (SELECT doc_id, a AS start_page, least(a + 1, n) AS end_page FROM n, unnest(range(1, n + 1, 2)) AS t(a)),
-    r AS (SELECT doc_id, b AS start_page, least(b + 2, n) AS end_page, 'R' || b AS last_name FROM n, unnest(range(2, n + 1, 3)) AS t(b) WHERE (doc_id + b) % 2 = 0)
-    SELECT m.doc_id, CAST(m.start_page AS INTEGER) AS start_page, CAST(m.end_page AS INTEGER) AS end_page, coalesce(arg_min(r.last_name, r.start_page), 'M') AS last_name,
-      CAST(CASE WHEN count(r.last_name) > 0 THEN 0.95 ELSE 0.5 END AS DOUBLE) AS confidence
+    r AS (SELECT doc_id, b AS start_page, least(b + 2, n) AS end_page, 'R' || b AS last_name, CASE WHEN b = 2 THEN 0.95 ELSE 0.91 END AS confidence
+      FROM n, unnest(range(2, n + 1, 3)) AS t(b) WHERE doc_id % 2 = 0 OR b % 2 = 0)
+    SELECT m.doc_id, CAST(m.start_page AS INTEGER) AS start_page, CAST(m.end_page AS INTEGER) AS end_page, coalesce(arg_max(r.last_name, r.start_page), 'M') AS last_name,
+      CAST(greatest(0.5, coalesce(max(r.confidence), 0)) AS DOUBLE) AS confidence
     FROM m LEFT JOIN r ON r.doc_id = m.doc_id AND m.start_page <= r.end_page AND r.start_page <= m.end_page GROUP BY 1, 2, 3""")
 def segment_overlap_merge(spark, sf):
     n = table(spark, sf, "conversations").groupBy(F.col("conv_id").alias("doc_id")).agg(F.count("*").cast("int").alias("n"))
@@ -486,7 +544,7 @@ def segment_overlap_merge(spark, sf):
     cut = lambda first, step, size: n.where(F.col("n") >= first).select("doc_id", "n", F.explode(F.sequence(F.lit(first), F.col("n"), F.lit(step))).alias("start_page")).withColumn("end_page", F.least(F.col("start_page") + size - 1, "n"))
     model = cut(1, 2, 2).select("doc_id", "start_page", "end_page", F.lit("03_cv").alias("document_type"), F.lit("M").alias("last_name"), F.lit("x").alias("first_name"), none.alias("valid_until"), F.lit(0.5).alias("confidence"))
     ruled = cut(2, 3, 3).select("doc_id", "start_page", "end_page", F.lit("01_passport").alias("document_type"), F.concat(F.lit("R"), F.col("start_page").cast("string")).alias("last_name"), F.lit("x").alias("first_name"),
-                                none.alias("valid_until"), F.lit(0.95).alias("confidence"), ((F.col("doc_id") + F.col("start_page")) % 2 == 0).alias("verified"))
+                                none.alias("valid_until"), F.when(F.col("start_page") == 2, 0.95).otherwise(0.91).alias("confidence"), ((F.col("doc_id") % 2 == 0) | (F.col("start_page") % 2 == 0)).alias("verified"))
     return merge.verified_over(model, ruled).select("doc_id", "start_page", "end_page", "last_name", "confidence")
 
 
@@ -507,10 +565,22 @@ _ANSWERS = [
     ("bare", 6, '{"document_type": "mystery", "title": "Bank Statement", "confidence": "0.8", "relationship": "wife", "child_index": "x"}'),
     ("list", 6, "[]"), ("empty", 6, ""), ("number", 2, '{"documents": [{"document_type": "unknown", "confidence": "abc", "start_page": 0, "end_page": 9}]}'),
 ]
-_PARSED = [("fenced", 1, 2, "03_cv", "Ada", None, None, 1.0), ("prose", 5, 5, "other", None, None, None, 0.4), ("bare", 1, 1, "other", None, "Bank Statement", "spouse", 0.4), ("number", 1, 2, "unknown", None, None, None, 0.0)]
-
-
-@query("WITH " + sql_values("v", "doc_id, start_page, end_page, document_type, first_name, title, relationship, confidence", _PARSED) + " SELECT * REPLACE (CAST(confidence AS DOUBLE) AS confidence) FROM v")
+_JSON = r"try_cast(nullif(regexp_extract({0}, '(?s)\{{.*\}}'), '') AS JSON)"
+_WORD = lambda f, e="e": f"CASE WHEN lower(trim(json_extract_string({e}, '$.{f}'))) NOT IN ('null', 'none', 'n/a', 'unknown', '-', '') THEN trim(json_extract_string({e}, '$.{f}')) END"
+_KNOWN = ", ".join(q(t.key) for t in rules.CATALOGUE)
+_ENTRY = lambda e="e": f"""CASE WHEN {_WORD('document_type', e)} IN ({_KNOWN}, 'other') THEN {_WORD('document_type', e)} WHEN {_WORD('title', e)} IS NOT NULL THEN 'other' ELSE 'unknown' END AS document_type,
+    least(greatest(coalesce(try_cast(json_extract_string({e}, '$.confidence') AS DOUBLE), 0), 0), 1) AS sure,
+    coalesce(CASE WHEN {_WORD('document_type', e)} = 'other' THEN {_WORD('title', e)} IS NULL ELSE {_WORD('document_type', e)} NOT IN ({_KNOWN}) END, true) AS doubt"""
+_RELATION = lambda e="e": "nullif(CASE lower(" + _WORD("relationship", e) + ") " + " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in rules.RELATIONSHIPS.items()) + " END, '')"
+
+
+@query("WITH " + sql_values("v", "doc_id, page_count, answer", _ANSWERS) + f""", b AS (SELECT doc_id, page_count, {_JSON.format('answer')} AS body FROM v),
+    x AS (SELECT doc_id, page_count, unnest(CASE WHEN json_array_length(body, '$.documents') > 0 THEN from_json(json_extract(body, '$.documents'), '["JSON"]')
+      WHEN json_extract_string(body, '$.document_type') IS NOT NULL THEN [body] ELSE [] END) AS e FROM b),
+    p AS (SELECT *, greatest(least(coalesce(try_cast(json_extract_string(e, '$.start_page') AS INTEGER), 1), page_count), 1) AS a FROM x),
+    z AS (SELECT *, greatest(least(coalesce(try_cast(json_extract_string(e, '$.end_page') AS INTEGER), a), page_count), 1) AS z FROM p),
+    r AS (SELECT doc_id, least(a, z) AS start_page, greatest(a, z) AS end_page, {_ENTRY()}, {_WORD('first_name')} AS first_name, {_WORD('title')} AS title, {_RELATION()} AS relationship FROM z)
+    SELECT doc_id, start_page, end_page, document_type, first_name, title, relationship, CAST(CASE WHEN doubt THEN least(sure, 0.4) ELSE sure END AS DOUBLE) AS confidence FROM r""")
 def model_payload_parse(spark, sf):
     found = merge.model_segments(values(spark, "doc_id string, page_count int, answer string", _ANSWERS))
     return found.select("doc_id", "start_page", "end_page", "document_type", "first_name", "title", "relationship", "confidence")
@@ -522,14 +592,188 @@ def props_parse(spark, sf):
     return x.select("event_id", F.from_json("props", F.lit("struct<k: string>"))["k"].try_cast("int").alias("k"))
 
 
-_HELP = [("guessed", '{"document_type": "15_visa", "first_name": "Eva", "company": "null", "confidence": 0.97}'), ("unknown", "no idea"), ("untitled", '{"documents": [{"document_type": "other", "title": "Tax Assessment", "confidence": 0.7}]}')]
-_HELPED = [("guessed", "15_visa", "Eva", "Lumen", None, 0.97, "model"), ("unknown", "unknown", None, None, None, 0.3, "rules"), ("untitled", "other", "Ada", "Lumen", "Tax Assessment", 0.7, "model")]
+_HELP = [
+    ("guessed", '{"document_type": "15_visa", "first_name": "Eva", "company": "null", "confidence": 0.97}'), ("unknown", "no idea"),
+    ("untitled", '{"documents": [{"document_type": "other", "title": "Tax Assessment", "confidence": 0.7}]}'),
+    ("no company", '{"document_type": "03_cv", "first_name": "Eve", "last_name": "Wrong", "company": "Lumen", "valid_until": "09.09.2099", "relationship": "wife", "confidence": 0.5}'),
+    ("child", '{"document_type": "10_birth_certificate", "relationship": "daughter", "dependent_name": "Nora", "child_index": 2, "confidence": 0.93}'), ("no city", ""),
+]
+_MINE = ("first_name", "last_name", "company", "valid_until", "city", "period")
+_KEEP = ("document_type", "first_name", "last_name", "valid_until")
+
+
+def _improved(f: str) -> str:
+    """A field after the model's answer: what was verified, else the answer, else for some fields the rules' value."""
+    answer = {"document_type": "r.document_type", "confidence": "CASE WHEN doubt THEN least(sure, 0.4) ELSE sure END", "relationship": _RELATION(), "child_index": "try_cast(json_extract_string(e, '$.child_index') AS INTEGER)"}.get(f) or _WORD(f)
+    merged = f"coalesce({answer}, v.{f})" if f in _MINE else answer
+    sure = f"coalesce(v.{f}, {merged})" if f in _KEEP else f"greatest({merged}, v.{f})" if f == "confidence" else merged
+    return f"CASE WHEN e IS NULL THEN v.{f} WHEN contains(found, 'verified') THEN {sure} ELSE {merged} END AS {f}"
 
 
-@query("WITH " + sql_values("v", "id, document_type, first_name, company, title, confidence, source", _HELPED) + " SELECT * REPLACE (CAST(confidence AS DOUBLE) AS confidence) FROM v")
+@query("WITH " + sql_values("v", _NAMES, _ROWS) + ", " + sql_values("h", "id, answer", _HELP) + f""", b AS (SELECT id, {_JSON.format('answer')} AS body FROM h),
+    x AS (SELECT id, CASE WHEN json_array_length(body, '$.documents') > 0 THEN json_extract(body, '$.documents[0]') WHEN json_extract_string(body, '$.document_type') IS NOT NULL THEN body END AS e FROM b),
+    r AS (SELECT id, e, {_ENTRY()} FROM x)
+    SELECT v.id, {", ".join(_improved(f) for f in ("document_type", "first_name", "last_name", "company", "valid_until", "title", "relationship", "dependent_name", "child_index"))},
+      {_improved("confidence").replace(" AS confidence", "")}::DOUBLE AS confidence, CASE WHEN e IS NULL THEN v.source ELSE 'model' END AS source
+    FROM v LEFT JOIN r USING (id) WHERE v.document_type = 'unknown' OR v.confidence < 0.9 OR {_SHORT.replace("document_type", "v.document_type")}""")
 def weak_segment_improve(spark, sf):
-    weak = _rows(spark).where(merge.needs_help(_rows(spark), S)).where(F.col("id").isin("guessed", "unknown", "untitled"))
-    return merge.improve(weak, values(spark, "id string, answer string", _HELP)).select("id", "document_type", "first_name", "company", "title", "confidence", "source")
+    weak = _rows(spark).where(merge.needs_help(_rows(spark), S))
+    x = merge.improve(weak, values(spark, "id string, answer string", _HELP))
+    return x.select("id", "document_type", "first_name", "last_name", "company", "valid_until", "title", "relationship", "dependent_name", "child_index", "confidence", "source")
+
+
+# --- names next to stored ones, archives, exports ---
+
+_TAKEN = [("A", "x.pdf"), ("A", "x (3).pdf"), ("B", "z (2).pdf"), ("C", "other.pdf")]
+_PLACED = [(1, "A", "x.pdf"), (2, "A", "x.pdf"), (3, "A", "x (2).pdf"), (4, "A", "x.pdf"), (5, "B", "x.pdf"), (6, "B", "x.pdf"), (7, "B", "x (5).pdf"), (8, "B", "z.pdf"), (9, "B", "z.pdf"), (10, "B", "x.pdf"),
+           (11, "C", "y (2).pdf"), (12, "C", "y.pdf"), (13, "C", "y.pdf"), (14, "C", "y (2).pdf"), (15, "D", "n.pdf"), (16, "D", "n.pdf"), (17, "D", "bare"), (18, "D", "bare"), (19, "A", "x (02).pdf")]
+
+
+@query("WITH RECURSIVE " + sql_values("v", "id, folder, name", _PLACED) + ", " + sql_values("t", "folder, name", _TAKEN) + """,
+    o AS (SELECT id, folder, regexp_replace(name, '\\.[^.]*$', '') AS stem, regexp_extract(name, '(\\.[^.]*)$', 1) AS ext FROM v),
+    fold(i, taken, pick) AS (SELECT 0, (SELECT list(folder || '/' || name) FROM t), '' UNION ALL
+      SELECT id, list_append(taken, free), free FROM (SELECT o.id, f.taken, list_filter(list_transform(range(1, 60), lambda k: o.folder || '/' || o.stem || CASE WHEN k > 1 THEN ' (' || k || ')' ELSE '' END || o.ext),
+        lambda c: NOT list_contains(f.taken, c))[1] AS free FROM fold f JOIN o ON o.id = f.i + 1))
+    SELECT i AS id, pick AS placed FROM fold WHERE i > 0""")
+def unique_names_beside_stored(spark, sf):
+    """Names that look numbered, and folders that hold names already: each takes the first name that is free, in order."""
+    x = naming.numbered(values(spark, "id int, folder string, name string", _PLACED), "folder", "name", "id", values(spark, "folder string, name string", _TAKEN))
+    return x.select("id", F.concat_ws("/", "folder", "unique_name").alias("placed"))
+
+
+_FILED = """m AS (SELECT conv_id, turn, trim(regexp_replace(role, '[<>:"/|?*_]', ' ', 'g')) AS role FROM conversations WHERE length(text) >= 60),
+    k AS (SELECT *, row_number() OVER (PARTITION BY role ORDER BY conv_id, turn) AS k FROM m),
+    f AS (SELECT replace(role, ' ', '') || '_UNKNOWN' AS client_key, '03_CV_' || role || '_UNKNOWN_UNKNOWN' || CASE WHEN k > 1 THEN ' (' || k || ')' ELSE '' END || '.pdf' AS name FROM k)"""
+
+
+@query(f"WITH {_FILED} SELECT client_key, client_key || '/' || name AS entry FROM f")
+def archive_entries(spark, sf):
+    return sinks.archive_manifest(_filed(spark, sf))
+
+
+@query(f"WITH {_FILED} SELECT client_key, name AS entry FROM f WHERE client_key = 'user_UNKNOWN'")
+def archive_of_one_client(spark, sf):
+    return sinks.archive_manifest(_filed(spark, sf), "user_UNKNOWN")
+
+
+@query(f"WITH {_FILED} SELECT client_key, count(*) AS n_documents, min(name) AS first_name FROM f GROUP BY 1")
+def client_folders(spark, sf):
+    """The listing of client folders over the paths of what is filed."""
+    found = _filed(spark, sf).where(F.col("target_dir").startswith("Clients/")).select(F.concat_ws("/", "target_dir", "unique_name").alias("path"), F.col("unique_name").alias("name"))
+    return readers.by_client(found).select("client_key", "n_documents", F.col("names")[0].alias("first_name"))
+
+
+@query(f"WITH {_FILED} SELECT 'Clients/' || client_key || '/' || name AS path FROM f WHERE name LIKE '%(2).pdf'")
+def listed_paths(spark, sf):
+    """Paths that are asked for and exist."""
+    found = _filed(spark, sf).where(F.col("target_dir").startswith("Clients/")).select(F.concat_ws("/", "target_dir", "unique_name").alias("path"))
+    asked = found.where(F.col("path").endswith("(2).pdf")).unionByName(values(spark, "path string", [("Clients/nobody/none.pdf",)]))
+    return sinks.listed_paths(found, asked.unionByName(asked))
+
+
+def _judged_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """Labels as a stand-in for a batch: toxic documents failed, low quality needs a review, every fifth was exported before."""
+    x = table(spark, sf, "labels").select("doc_id", F.when(F.col("toxic") == 1, "toxic").alias("error"), (F.col("quality") == 0).alias("requires_review"))
+    return x.withColumns({"exported_path": F.when(F.col("doc_id") % 5 == 0, "Clients/before.pdf"), "target_dir": F.lit("Clients/a"), "unique_name": F.concat(F.col("doc_id").cast("string"), F.lit(".pdf")), "source_name": F.lit("s")})
+
+
+@query("""SELECT CASE WHEN toxic = 1 THEN 'failed' WHEN doc_id % 5 = 0 THEN 'exported' WHEN quality = 0 THEN 'pending' ELSE 'exportable' END AS part, count(*) AS n FROM labels GROUP BY 1""")
+def batch_parts(spark, sf):
+    return _judged_labels(spark, sf).groupBy(review.part().alias("part")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT doc_id, CASE WHEN toxic = 1 THEN NULL WHEN doc_id % 5 = 0 THEN 'Clients/before.pdf' ELSE 'Clients/a/' || doc_id || '.pdf' END AS exported_path,
+    CASE WHEN toxic = 1 THEN 's failed earlier: toxic' END AS failure FROM labels""")
+def export_status(spark, sf):
+    return sinks.export_status(_judged_labels(spark, sf)).select("doc_id", "exported_path", "failure")
+
+
+@query("SELECT count(*) FILTER (toxic = 0) AS exported, count(*) FILTER (toxic = 1) AS failures FROM labels")
+def export_tally(spark, sf):
+    return sinks.export_tally(sinks.export_status(_judged_labels(spark, sf)))
+
+
+# --- what reviewers see ---
+
+
+@query("WITH " + sql_values("v", _NAMES, _ROWS) + f""" SELECT CASE WHEN e OR confidence < 0.9 THEN 'REVIEW REQUIRED' ELSE 'READY' END AS "Status", id AS "Source", 'p1-2' AS "Pages", document_type AS "Type",
+    CAST(round_even(confidence * 100, 0) AS INTEGER) || '%' AS "Confidence", id || '.pdf' AS "File name", CASE WHEN len(i) = 0 THEN 'no issues' ELSE array_to_string(i, '; ') END AS "Issues"
+    FROM (SELECT *, {_ISSUES} AS i, {_ERROR} AS e FROM v)""")
+def review_table(spark, sf):
+    none = F.lit(None).cast("string")
+    x = validate.validate(_rows(spark), S).withColumns({"error": none, "exported_path": none, "source_name": F.col("id"), "start_page": F.lit(1), "end_page": F.lit(2), "file_name": F.concat("id", F.lit(".pdf"))})
+    return review.table(x.orderBy(*review.order()))
+
+
+@query("""SELECT doc_id, row_number() OVER (ORDER BY doc_id % 5 = 0, CASE WHEN toxic = 1 THEN 2 WHEN quality = 0 THEN 0 ELSE 1 END, doc_id || '.pdf') AS place FROM labels""")
+def review_order(spark, sf):
+    """Not yet exported first, then what needs a review, then what is ready, then by name."""
+    status = F.when(F.col("requires_review"), "REVIEW REQUIRED").otherwise("READY")
+    x = _judged_labels(spark, sf).withColumns({"status": status, "file_name": F.col("unique_name")})
+    x = x.withColumns({f"_o{n}": c for n, c in enumerate(review.order())})
+    return ranked(x, [], ["_o0", "_o1", "_o2"], "place").select("doc_id", "place")
+
+
+_LABELS = sql_values("l", "type_key, label, description, extras", [(t.key, t.label, rules.DESCRIPTIONS[t.key], ", ".join(models.EXTRAS[n] for n in models.EXTRAS if n in t.needs)) for t in rules.CATALOGUE])
+
+
+@query(f"""WITH {_LABELS}, o AS (SELECT type_key, CASE type_key WHEN 'unknown' THEN 0 WHEN 'other' THEN 1 ELSE 2 END AS p, label FROM (SELECT type_key, label FROM l UNION ALL VALUES ('unknown', ''), ('other', '')))
+    SELECT CAST(row_number() OVER (ORDER BY p, label) - 1 AS INTEGER) AS place, type_key FROM o""")
+def type_choices(spark, sf):
+    return review.type_choices(spark)
+
+
+@query(f"""WITH {_LABELS} SELECT type_key, '- "' || type_key || '": ' || description || CASE WHEN extras <> '' THEN ' [' || extras || ']' ELSE '' END AS line, split_part(label, '_', 1) AS sort_key FROM l""")
+def prompt_lines(spark, sf):
+    rows = [(t.key, t.label, rules.DESCRIPTIONS[t.key], [x for n, x in models.EXTRAS.items() if n in t.needs]) for t in rules.CATALOGUE]
+    x = values(spark, "type_key string, label string, description string, extras array<string>", rows)
+    return x.select("type_key", models.prompt_line(F.col("type_key"), F.col("description"), F.col("extras")).alias("line"), models.label_order(F.col("label")).alias("sort_key"))
+
+
+@query(r"""SELECT conv_id AS doc_id, 'File name: ' || conv_id || chr(10) || 'Total pages: ' || count(*) || chr(10) || 'OCR used: ' || CASE WHEN conv_id % 2 = 0 THEN 'yes' ELSE 'no' END || chr(10) || chr(10)
+    || 'Document text (page markers included):' || chr(10) || substr(string_agg('[PAGE ' || (turn + 1) || ']' || chr(10) || rtrim(text), chr(10) ORDER BY turn), 1, 12000) AS question FROM conversations GROUP BY conv_id""")
+def model_questions(spark, sf):
+    x = turns(spark, sf).groupBy("doc_id").agg(F.count("*").alias("n"), segment.ordered_text(mark=True).alias("snippet"))
+    return x.select("doc_id", models.whole_question(F.col("doc_id").cast("string"), F.col("n"), F.col("doc_id") % 2 == 0, F.col("snippet")).alias("question"))
+
+
+@query("WITH " + sql_values("v", _NAMES, _ROWS) + " SELECT id, " + " || ".join(
+    [f"""'{"{" if n == 0 else ", "}"{f}": ' || """.replace(", \"", ",\"").replace('": ', '":') + (
+        "CAST(round(confidence, 4) AS DOUBLE)" if f == "confidence" else "coalesce(CAST(child_index AS VARCHAR), 'null')" if f == "child_index" else f"to_json(coalesce({f}, ''))") for n, f in enumerate(review.SCHEMA)]) + " || '}' AS fields FROM v")
+def extraction_json(spark, sf):
+    return _rows(spark).select("id", review.as_json().alias("fields"))
+
+
+@query("""SELECT doc_id, CASE WHEN octet_length(encode(text)) >= 1048576 THEN 1 ELSE 0 END AS large, printf('%.0f KB', octet_length(encode(text)) / 1024.0) AS kb, printf('%.1f MB', octet_length(encode(text)) / 1048576.0) AS mb FROM documents""")
+def sizes(spark, sf):
+    n = F.octet_length("text")
+    return table(spark, sf, "documents").select("doc_id", (n >= 1048576).cast("int").alias("large"), T.size_kb(n).alias("kb"), T.size_mb(n).alias("mb"))
+
+
+@query(_SEGMENTS + " SELECT doc_id, seg_no, end_page - start_page + 1 AS n_pages, seg_type = 'unknown' AS unknown, bool_or(seg_type = 'unknown') OVER (PARTITION BY doc_id) AS uncertain FROM segs")
+def page_ranges(spark, sf):
+    """Ranges that are checked, and whether the grouping of a document is in doubt."""
+    x = segment.checked_ranges(segment.segments(C.classify(turns(spark, sf), LANGUAGES)))
+    doubt = models.grouping_uncertain(x.withColumnRenamed("seg_type", "document_type"))
+    return x.join(doubt, "doc_id").select("doc_id", "seg_no", "n_pages", (F.col("seg_type") == "unknown").alias("unknown"), "uncertain")
+
+
+@query("SELECT conv_id AS doc_id, CAST(turn + 1 AS INTEGER) AS page_no, text FROM conversations WHERE turn % 3 = 0")
+def page_lookup(spark, sf):
+    pages = turns(spark, sf)
+    return segment.looked_up(pages.where((F.col("page_no") - 1) % 3 == 0).select("doc_id", "page_no"), pages)
+
+
+@query("""SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS ordinal, (row_number() OVER (ORDER BY o_orderkey) - 1) / CAST(count(*) OVER () AS DOUBLE) AS fraction FROM orders""")
+def batch_progress(spark, sf):
+    return review.with_progress(table(spark, sf, "orders").select("o_orderkey"), "o_orderkey")
+
+
+@query("""SELECT 'f' || doc_id AS source_name, 'unknown' AS document_type, 'REVIEW REQUIRED' AS status, 'toxic' AS error,
+    'document_type: document type could not be determined; last_name: missing; first_name: missing; company: missing; confidence: 0% is below the 90% threshold' AS summary FROM labels WHERE toxic = 1""")
+def failed_rows(spark, sf):
+    errors = table(spark, sf, "labels").where("toxic = 1").select(F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("source_name"), F.lit("toxic").alias("error"))
+    return review.failed(errors, S).select("source_name", "document_type", "status", "error", "summary")
 
 
 # --- the whole analysis ---
@@ -542,6 +786,24 @@ def analyse_demo(spark, sf):
     return analyse.analysed(pages, batches, S).select("doc_id", "seg_no", "start_page", "end_page", "document_type", "last_name", "first_name", "company", "confidence", "status", "target_dir", "unique_name", "summary")
 
 
+@query()
+def analyse_with_model(spark, sf):
+    """The demo documents with a model that answers from a table: about whole documents with an unknown segment, and about single weak segments."""
+    model = models.TableModel(demo.ANSWERS, demo.FAILURES)
+    pages = demo.pages(spark)
+    found = settled(score.score(extract.extract(analyse.segmented(pages), S), S))
+    x = models.with_model(found, pages, model, S, models.system_prompt("Allowed types:\n{{DOCUMENT_TYPES}}"), wait=models.no_wait)
+    return x.select("doc_id", "seg_no", "start_page", "end_page", "document_type", "last_name", "first_name", "company", "valid_until", "relationship", "confidence", "source")
+
+
+@query()
+def conversations_analysed(spark, sf):
+    """The whole analysis over a table: conversations as paged documents, a batch for each third of them."""
+    pages = turns(spark, sf)
+    batches = pages.select("doc_id").distinct().select("doc_id", (F.col("doc_id") % 3).alias("batch_id"), F.col("doc_id").alias("upload_no"))
+    return analyse.analysed(pages, batches, S).select("doc_id", "seg_no", "start_page", "end_page", "document_type", "last_name", "company", "confidence", "status", "target_dir", "unique_name")
+
+
 @query(_SEGMENTS + f""", again AS (WITH {_AGAIN} SELECT * FROM top),
     seen AS (SELECT s.*, CASE WHEN best2 >= 5 THEN first_type ELSE 'unknown' END AS whole_type FROM segs s LEFT JOIN again USING (doc_id, seg_no)),
     named AS (SELECT doc_id, seg_no, start_page, end_page, CASE WHEN seg_type = 'unknown' THEN whole_type ELSE seg_type END AS document_type FROM seen)
@@ -549,10 +811,8 @@ def analyse_demo(spark, sf):
 def flagship(spark, sf):
     """Conversations as paged documents: classified, segmented, reviewed as a whole and numbered by type."""
     found = segment.reclassified(segment.segments(C.classify(turns(spark, sf), LANGUAGES)), LANGUAGES)
-    return found.select(
-        "doc_id", "seg_no", "start_page", "end_page", "document_type", F.count("*").over(Window.partitionBy("doc_id")).alias("n_segments"),
-        F.row_number().over(Window.partitionBy("document_type").orderBy("doc_id", "seg_no")).alias("type_no"),
-    )
+    found = found.select("doc_id", "seg_no", "start_page", "end_page", "document_type", F.count("*").over(Window.partitionBy("doc_id")).alias("n_segments"))
+    return ranked(found, ["document_type"], ["doc_id", "seg_no"], "type_no")
 
 
 def queries() -> dict[str, Query]:

@@ -39,8 +39,10 @@ def parse_date(c: Column) -> Column:
         return F.coalesce(*(F.when(v.rlike(r), F.to_date(F.try_to_timestamp(v, F.lit(f)))) for r, f in _FORMATS[:1]), _short_year(v),
                           *(F.when(v.rlike(r), F.to_date(F.try_to_timestamp(v, F.lit(f)))) for r, f in _FORMATS[1:]))
 
-    clean = _months(squeeze(F.regexp_replace(c, r"[\x00-\x1f]", " ")))
-    return let(clean, lambda v: F.coalesce(tried(v), let(squeeze(F.replace(v, F.lit(","), F.lit(" "))), tried)))
+    # most values are short numbers: what only some need is done for those alone
+    tidy = F.when(c.rlike(r"^[0-9./-]*$"), c).otherwise(squeeze(F.regexp_replace(c, r"[\x00-\x1f]", " ")))
+    clean = let(tidy, lambda v: F.when(v.rlike(r"\p{L}"), _months(v)).otherwise(v))
+    return let(clean, lambda v: F.coalesce(tried(v), F.when(F.contains(v, F.lit(",")), let(squeeze(F.replace(v, F.lit(","), F.lit(" "))), tried))))
 
 
 def show_date(d: Column) -> Column:
@@ -62,7 +64,8 @@ def normalise_period(c: Column) -> Column:
     month_first = r"(?U)\b(0?[1-9]|1[0-2])\s?[./-]\s?(20\d{2})\b|\b(20\d{2})\s?[./-]\s?(0?[1-9]|1[0-2])\b"
     group = lambda n: F.regexp_extract(c, month_first, n)
     return F.coalesce(
-        F.when(c.rlike(r"^20\d{2}-(0[1-9]|1[0-2])$"), c), F.date_format(parse_date(c), "yyyy-MM"), parts(group(2), group(1)), parts(group(3), group(4))
+        F.when(c.rlike(r"^20\d{2}-(0[1-9]|1[0-2])$"), c), F.when(~c.rlike(r"^\d{1,2}[./-]\d{4}$"), F.date_format(parse_date(c), "yyyy-MM")),
+        parts(group(2), group(1)), parts(group(3), group(4)),
     )
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .rules import LABEL_WORDS, NOT_A_PERSON, TITLES
 
 #: All white space, also the separators that a Unicode class leaves out.
-WS = r"(?U)[\s\x1c-\x1f]+"
+WS = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 ANY = "(?iuU)"
 
 
@@ -34,8 +34,9 @@ def haystack(c: Column) -> Column:
 
 
 def occurrences(text: Column, word: str) -> Column:
-    """Non-overlapping occurrences of a fixed string."""
-    return ((F.length(text) - F.length(F.replace(text, F.lit(word), F.lit("")))) / len(word)).cast("int")
+    """Non-overlapping occurrences of a fixed string; texts without it are only searched."""
+    count = ((F.length(text) - F.length(F.replace(text, F.lit(word), F.lit("")))) / len(word)).cast("int")
+    return F.when(F.contains(text, F.lit(word)), count).otherwise(0)
 
 
 def strip(c: Column, chars: str) -> Column:
@@ -132,6 +133,15 @@ def percent(c: Column) -> Column:
     return F.concat(F.bround(c * 100, 0).cast("int").cast("string"), F.lit("%"))
 
 
+def size_mb(n_bytes: Column) -> Column:
+    """Megabytes with one decimal place; halves go to the even neighbour."""
+    return F.concat(F.format_string("%.1f", F.bround(n_bytes / 1048576, 1)), F.lit(" MB"))
+
+
+def size_kb(n_bytes: Column, places: int = 0) -> Column:
+    return F.concat(F.format_string(f"%.{places}f", F.bround(n_bytes / 1024, places)), F.lit(" KB"))
+
+
 def find(c: Column, pattern: str, group: int = 1, flags: str = ANY) -> Column:
     """The group of the first match, trimmed; null without one."""
     return blank_to_null(F.trim(F.regexp_extract(c, flags + pattern, group)))

@@ -82,7 +82,7 @@ def extract(found: DataFrame, settings: Settings) -> DataFrame:
     text, kind, heads = F.col("text"), F.col("document_type"), F.col("headings")
     x = found.withColumn("headings", F.coalesce("headings", F.array().cast("array<string>"))).withColumn("text", F.coalesce("text", F.lit("")))
     x = x.withColumns({
-        "_mrz": F.when(kind == "01_passport", parse_mrz(text, settings.as_of)), "_full": split_name(anchor(text, kind, "full_name")),
+        "_mrz": parse_mrz(text, settings.as_of), "_full": split_name(anchor(text, kind, "full_name")),
         "_person": person(heads, text), "_title": title(heads, text), "_child": anchor(text, kind, "dependent_name"),
     })
     x = x.withColumns({
@@ -108,11 +108,12 @@ def extract(found: DataFrame, settings: Settings) -> DataFrame:
     note = lambda f: F.when(F.col(f"_{f}").isNotNull(), F.struct(F.lit(f).alias("field"), F.col(f"_{f}.kind").alias("kind")))
     evidence = F.filter(F.array(*map(note, FIELDS)), lambda e: e.isNotNull())
     child = F.col("_child")
-    x = x.withColumns({f: F.col(f"_{f}.value") for f in FIELDS} | {"evidence": evidence})
+    x = x.withColumns({f: F.col(f"_{f}.value") for f in FIELDS} | {"evidence": evidence, "dependent_name": F.coalesce(split_name(child)["first"], child)})
+    named = [t.key for t in CATALOGUE if t.relationship_in_label]
+    of_label = F.when(kind.isin(*named), F.when(kind.endswith("spouse"), "spouse").otherwise("child"))
     x = x.withColumns({
         "document_type": F.when((kind == "unknown") & F.col("title").isNotNull(), "other").otherwise(kind),
-        "dependent_name": F.coalesce(split_name(child)["first"], child),
-        "relationship": F.when(kind.isin("10_birth_certificate", "08_poa_child"), "child").when(kind == "08_poa_spouse", "spouse"),
-        "child_index": F.when(kind == "10_birth_certificate", 1), "source": F.lit("rules"),
+        "relationship": F.coalesce(of_label, F.when(F.col("dependent_name").isNotNull(), "child")),
+        "child_index": F.lit(None).cast("int"), "source": F.lit("rules"),
     })
     return x.drop(*(c for c in x.columns if c.startswith("_")))

@@ -51,27 +51,32 @@ def result_of(entry: Column) -> Column:
 
 
 def model_segments(answers: DataFrame) -> DataFrame:
-    """Segments (doc_id, start_page, end_page, fields) of answers (doc_id, page_count, answer); pages are forced into the document."""
+    """Segments (doc_id, start_page, end_page, fields) of answers (doc_id, page_count, answer). Pages are forced into the document; the first
+    one is the default of the last, and a range that runs backwards is turned round."""
     x = answers.select("doc_id", "page_count", F.explode(entries(F.col("answer"))).alias("e"))
-    n = F.col("page_count")
-    page = lambda c, default: F.least(F.greatest(F.coalesce(c.try_cast("int"), default), F.lit(1)), n)
-    x = x.withColumns({"_a": page(F.col("e.start_page"), F.lit(1)), "_b": page(F.col("e.end_page"), F.lit(1))})
-    return x.select("doc_id", F.col("_a").alias("start_page"), F.greatest("_a", "_b").alias("end_page"), result_of(F.col("e")).alias("r")).select("doc_id", "start_page", "end_page", "r.*")
+    page = lambda c, default: F.greatest(F.least(F.coalesce(c.try_cast("int"), default), F.col("page_count")), F.lit(1))
+    x = x.withColumn("_a", page(F.col("e.start_page"), F.lit(1))).withColumn("_b", page(F.col("e.end_page"), F.col("_a")))
+    return x.select("doc_id", F.least("_a", "_b").alias("start_page"), F.greatest("_a", "_b").alias("end_page"), result_of(F.col("e")).alias("r")).select("doc_id", "start_page", "end_page", "r.*")
 
 
 def verified_over(model: DataFrame, rules: DataFrame) -> DataFrame:
-    """Model segments, where a verified rule segment of the same document overlaps, with its type, names and validity.
+    """Model segments with what verified rule segments of the same document that overlap them hold.
 
-    rules: doc_id, start_page, end_page, document_type, last_name, first_name, valid_until, confidence, verified. An equi-join on
-    the document with the range as a residual condition; the first rule segment in page order counts.
+    rules: doc_id, start_page, end_page, document_type, last_name, first_name, valid_until, confidence, verified; evidence, if both have
+    it, is united. The rule segments count in page order, each over those before it; the highest confidence stays. An
+    equi-join on the document with the range as a residual condition; what is gathered are one document's segments.
     """
-    r = rules.where("verified").select("doc_id", F.struct("start_page", "end_page", "document_type", "last_name", "first_name", "valid_until", "confidence").alias("v"))
+    fields = ("document_type", "last_name", "first_name", "valid_until")
+    both = "evidence" in model.columns and "evidence" in rules.columns
+    r = rules.where("verified").select("doc_id", F.struct("start_page", "end_page", *fields, "confidence", *(["evidence"] if both else [])).alias("v"))
     m = model.withColumn("_m", F.struct("start_page", "end_page"))
-    hit = m.select("doc_id", "_m").join(r, "doc_id").where((F.col("_m.start_page") <= F.col("v.end_page")) & (F.col("v.start_page") <= F.col("_m.end_page")))
-    best = hit.groupBy("doc_id", "_m").agg(F.min("v").alias("v"))
-    x = m.join(best, ["doc_id", "_m"], "left")
-    take = {f: F.coalesce(F.col(f"v.{f}"), F.col(f)) for f in ("document_type", "last_name", "first_name", "valid_until")}
-    return x.withColumns(take | {"confidence": F.greatest("confidence", F.col("v.confidence"))}).drop("v", "_m")
+    hit = m.select("doc_id", "_m").distinct().join(r, "doc_id").where((F.col("_m.start_page") <= F.col("v.end_page")) & (F.col("v.start_page") <= F.col("_m.end_page")))
+    x = m.join(hit.groupBy("doc_id", "_m").agg(F.array_sort(F.collect_list("v")).alias("_v")), ["doc_id", "_m"], "left")
+    last = lambda f: F.try_element_at(F.filter(F.transform("_v", lambda v: v[f]), lambda c: c.isNotNull()), F.lit(-1))
+    take = {f: F.coalesce(last(f), F.col(f)) for f in fields} | {"confidence": F.greatest("confidence", F.array_max(F.transform("_v", lambda v: v["confidence"])))}
+    if both:
+        take["evidence"] = F.when(F.col("_v").isNull(), F.col("evidence")).otherwise(F.array_distinct(F.concat("evidence", F.flatten(F.transform("_v", lambda v: v["evidence"])))))
+    return x.withColumns(take).drop("_v", "_m")
 
 
 def needs_help(rows: DataFrame, settings: Settings) -> Column:
@@ -83,10 +88,22 @@ def needs_help(rows: DataFrame, settings: Settings) -> Column:
 
 
 def improve(weak: DataFrame, answers: DataFrame) -> DataFrame:
-    """Weak rows with the model's fields over theirs; six fields fall back on the rules where the model is silent."""
-    a = answers.select("id", result_of(F.try_element_at(entries(F.col("answer")), F.lit(1))).alias("r"), entries(F.col("answer")).isNotNull().alias("_ok"))
+    """Weak rows with the model's fields over theirs; six fields fall back on the rules where the model is silent.
+
+    What check digits have verified stays: type, names and validity, and the confidence if it is the higher one. A row
+    whose answer has no entry stays as it is.
+    """
+    a = answers.select("id", result_of(F.try_element_at(entries(F.col("answer")), F.lit(1))).alias("r"), (F.size(entries(F.col("answer"))) > 0).alias("_ok"))
     x = weak.join(a, "id", "left")
     ok = F.coalesce("_ok", F.lit(False))
-    fallback = {f: F.when(ok, F.coalesce(F.col(f"r.{f}"), F.col(f))).otherwise(F.col(f)) for f in ("first_name", "last_name", "company", "valid_until", "city", "period")}
-    plain = {f: F.when(ok, F.col(f"r.{f}")).otherwise(F.col(f)) for f in ("document_type", "title", "confidence")}
-    return x.withColumns(fallback | plain | {"source": F.when(ok, "model").otherwise(F.col("source"))}).drop("r", "_ok")
+    sure = F.exists("evidence", lambda e: e["kind"] == "verified")
+    of = lambda f: F.col(f"r.{f}")
+    made = {f: of(f) for f in (*TEXTS, "child_index")}
+    made |= {f: F.coalesce(of(f), F.col(f)) for f in ("first_name", "last_name", "company", "valid_until", "city", "period")}
+    made |= {f: F.when(sure, F.coalesce(F.col(f), made[f])).otherwise(made[f]) for f in ("document_type", "first_name", "last_name", "valid_until")}
+    note = F.array(F.struct(F.lit("fields").alias("field"), F.lit("model").alias("kind")))
+    made |= {
+        "confidence": F.when(sure, F.greatest(of("confidence"), F.col("confidence"))).otherwise(of("confidence")),
+        "evidence": F.array_distinct(F.concat("evidence", note)), "source": F.lit("model"),
+    }
+    return x.withColumns({f: F.when(ok, v).otherwise(F.col(f)) for f, v in made.items()}).drop("r", "_ok")

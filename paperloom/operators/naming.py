@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.order import ranked, settled
 from ..functions.rules import CATALOGUE, OTHER, UNKNOWN, DocType, Settings
 from ..functions.text import file_part
 
@@ -51,17 +54,69 @@ def display_name(key: Column) -> Column:
     return F.when(F.contains(key, F.lit("_")), F.concat_ws(", ", F.substring_index(key, "_", 1), F.regexp_extract(key, "^[^_]*_(.*)$", 1))).otherwise(key)
 
 
-def numbered(rows: DataFrame, folder: str, name: str, order: str) -> DataFrame:
-    """rows with unique_name: the second of a name in a folder gets " (2)", and so on.
+def _free_names(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Names in order, family by family: the first free one of a name, "name (2)", "name (3)" and so on.
 
-    Names that already look numbered are told apart by their full text, so "x.pdf" twice next to an own "x (2).pdf" gives
-    "x (2).pdf" once more only after renumbering: the number starts above the largest of such names.
+    What is remembered of a family are its next numbers and its names that were taken as they are.
     """
-    stem, dot = F.regexp_replace(name, r"\.[^.]*$", ""), F.regexp_extract(name, r"(\.[^.]*)$", 1)
-    root = F.regexp_replace(stem, r" \(\d+\)$", "")
-    x = rows.withColumns({"_root": F.concat(root, dot), "_own": F.coalesce(F.regexp_extract(stem, r" \((\d+)\)$", 1).try_cast("int"), F.lit(1))})
-    x = x.withColumn("_k", F.row_number().over(Window.partitionBy(folder, name).orderBy(order)))
-    taken = Window.partitionBy(folder, "_root")
-    x = x.withColumn("_top", F.max("_own").over(taken)).withColumn("_more", F.sum((F.col("_k") > 1).cast("int")).over(Window.partitionBy(folder, "_root").orderBy(order, name)))
-    suffix = F.concat(F.lit(" ("), (F.col("_top") + F.col("_more")).cast("string"), F.lit(")"))
-    return x.withColumn("unique_name", F.when(F.col("_k") == 1, F.col(name)).otherwise(F.concat(F.regexp_replace("_root", r"\.[^.]*$", ""), suffix, dot))).drop("_root", "_own", "_k", "_top", "_more")
+    family, following, taken = None, {}, set()
+
+    def is_taken(folder_name: str) -> bool:
+        match = re.fullmatch(r"(?s)(.*) \((\d+)\)(\.[^.]*|)", folder_name)
+        made = match and (match[2] == str(int(match[2]))) and int(match[2]) < following.get(match[1] + match[3], 2) and int(match[2]) >= 2
+        return folder_name in taken or bool(made)
+
+    for batch in batches:
+        found = []
+        for group, name, there in zip(batch["_family"], batch["_name"], batch["_there"], strict=True):
+            if group != family:
+                family, following, taken = group, {}, set()
+            if there or not is_taken(name):
+                taken.add(name)
+                found.append(name)
+                continue
+            dot = name.rfind(".") if "." in name else len(name)
+            stem, end, k = name[:dot], name[dot:], following.get(name, 2)
+            while is_taken(f"{stem} ({k}){end}"):
+                k += 1
+            following[name] = k + 1
+            found.append(f"{stem} ({k}){end}")
+        batch["unique_name"] = found
+        yield batch
+
+
+def numbered(rows: DataFrame, folder: str, name: str, order: str, there: DataFrame | None = None) -> DataFrame:
+    """rows with unique_name: a name that its folder has already gets " (2)", " (3)" and so on, the first that is free. order is unique.
+
+    there: (folder, name) of what is stored. A family are the names of a folder that are one without numbers at their ends. In
+    families of one name only, and nothing stored, the numbers are ranks, which need no key in one place. In others each name depends on those
+    before it: they pass in order through one task each, which remembers numbers and no rows.
+    """
+    keep = rows.columns
+    stem, end = F.regexp_replace(F.col(name), r"\.[^.]*$", ""), F.regexp_extract(F.col(name), r"(\.[^.]*)$", 1)
+    family = lambda c, stem, end: F.concat_ws("\x01", c, F.concat(F.regexp_replace(stem, r"( \(\d+\))+$", ""), end))
+    x = rows.withColumns({"_family": family(F.col(folder), stem, end), "_name": F.col(name)})
+    names = x.select("_family", "_name", F.lit(0).alias("_old"))
+    if there is not None:
+        s, e = F.regexp_replace("name", r"\.[^.]*$", ""), F.regexp_extract("name", r"(\.[^.]*)$", 1)
+        there = there.select(family(F.col("folder"), s, e).alias("_family"), F.col("name").alias("_name")).distinct()
+        there = there.join(x.select("_family").distinct(), "_family", "left_semi")
+        names = names.unionByName(there.withColumn("_old", F.lit(1)))
+    mixed = names.groupBy("_family").agg(F.min("_name").alias("_lo"), F.max("_name").alias("_hi"), F.max("_old").alias("_o")).where("_lo <> _hi or _o = 1").select("_family", F.lit(True).alias("_mixed"))
+    x = settled(x.join(mixed, "_family", "left").withColumn("_mixed", F.coalesce("_mixed", F.lit(False))))
+
+    plain = ranked(x.where("not _mixed"), ["_family"], [order], "_k")
+    numbered_ = F.when(F.col("_k") == 1, F.col(name)).otherwise(F.concat(stem, F.lit(" ("), F.col("_k").cast("string"), F.lit(")"), end))
+    plain = plain.select(*keep, numbered_.alias("unique_name"))
+
+    line = x.where("_mixed").select("_family", "_name", F.lit(False).alias("_there"), F.struct(F.lit(1).alias("o"), F.col(order).alias("v")).alias("_order"), F.struct(*keep).alias("_row"))
+    if there is not None:
+        kind = dict((f.name, f.dataType) for f in line.schema)
+        old = there.select("_family", "_name", F.lit(True).alias("_there"), F.struct(F.lit(0).alias("o"), F.lit(None).cast(kind["_order"]["v"].dataType).alias("v")).alias("_order"), F.lit(None).cast(kind["_row"]).alias("_row"))
+        line = line.unionByName(old)
+    line = line.withColumn("_id", F.monotonically_increasing_id())
+    line = settled(line)
+    sorted_ = line.select("_family", "_name", "_there", "_id", "_order").repartition("_family").sortWithinPartitions("_family", "_order").drop("_order")
+    free = sorted_.mapInPandas(_free_names, "_family string, _name string, _there boolean, _id long, unique_name string")
+    named = line.where("not _there").select("_id", "_row").join(free.select("_id", "unique_name"), "_id")
+    return plain.unionByName(named.select("_row.*", "unique_name"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rules import CATALOGUE, Settings
@@ -41,20 +41,25 @@ def score(rows: DataFrame, settings: Settings) -> DataFrame:
 def propagate(rows: DataFrame, settings: Settings) -> DataFrame:
     """Fill missing companies from the same person's first document with one, else from the only company of a batch with one person.
 
-    Columns batch_id and doc_ordinal. Windows by person; what concerns a whole batch is an aggregate joined back.
+    Columns batch_id and doc_ordinal; rows with an error neither give nor get. Persons and batches are aggregates that combine before
+    their shuffle, joined back; rows without a name carry keys of their own, so that they do not meet in one task.
     A result that a model gave keeps its confidence if that is higher.
     """
-    person = Window.partitionBy("batch_id", F.lower("last_name"), F.lower("first_name")).orderBy("doc_ordinal").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    fine = F.col("error").isNull() if "error" in rows.columns else F.lit(True)
     named = F.col("last_name").isNotNull() & F.col("first_name").isNotNull()
-    people = F.when(named, F.concat_ws("\x01", F.lower("last_name"), F.lower("first_name")))
-    batch = rows.groupBy("batch_id").agg(F.count_distinct("company").alias("_companies"), F.count_distinct(people).alias("_people"), F.min("company").alias("_only"))
-    x = rows.withColumn("_own", F.when(named, F.first("company", ignorenulls=True).over(person))).join(batch, "batch_id", "left")
-    single = F.when(named & (F.col("_companies") == 1) & (F.col("_people") <= 1), F.col("_only"))
-    x = x.withColumn("_fill", F.when(F.col("company").isNull(), F.coalesce("_own", single)))
+    person = F.concat_ws("\x01", F.lower("last_name"), F.lower("first_name"))
+    rows = rows.withColumn("_who", F.when(fine & named, person))
+    given = rows.where(fine)
+    batch = given.groupBy("batch_id").agg(F.count_distinct("company").alias("_companies"), F.count_distinct("_who").alias("_people"), F.min("company").alias("_only"))
+    own = given.where(F.col("_who").isNotNull() & F.col("company").isNotNull()).groupBy("batch_id", F.col("_who").alias("_key")).agg(F.min_by("company", "doc_ordinal").alias("_own"))
+    apart = F.concat(F.lit("\x02"), F.xxhash64("doc_ordinal").cast("string"))
+    x = rows.withColumn("_key", F.coalesce("_who", apart)).join(own, ["batch_id", "_key"], "left").join(batch, "batch_id", "left")
+    single = F.when((F.col("_companies") == 1) & (F.col("_people") <= 1), F.col("_only"))
+    x = x.withColumn("_fill", F.when(F.col("_who").isNotNull() & F.col("company").isNull(), F.coalesce("_own", single)))
     note = F.array(F.struct(F.lit("company").alias("field"), F.lit("batch").alias("kind")))
     x = x.withColumn("evidence", F.when(F.col("_fill").isNotNull(), F.array_distinct(F.concat("evidence", note))).otherwise(F.col("evidence")))
     x = x.withColumn("company", F.coalesce("company", "_fill"))
     changed, before = F.col("_fill").isNotNull(), F.col("_before")
     x = score(x.withColumn("_before", F.col("confidence")), settings)
     kept = F.when(~changed, before).when(F.col("source") != "rules", F.greatest("confidence", before)).otherwise(F.col("confidence"))
-    return x.withColumn("confidence", kept).drop("_own", "_companies", "_people", "_only", "_fill", "_before")
+    return x.withColumn("confidence", kept).drop("_who", "_key", "_own", "_companies", "_people", "_only", "_fill", "_before")

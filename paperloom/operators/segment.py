@@ -30,10 +30,12 @@ def ordered_text(text: str = "text", page: str = "page_no", mark: bool = False)
 
 
 def segments(pages: DataFrame) -> DataFrame:
-    """A row for each segment of classified pages with its range, text and confidence."""
+    """A row for each segment of classified pages with its range, text and confidence, and its headings if pages have them."""
+    in_order = lambda c: F.transform(F.sort_array(F.collect_list(F.struct("page_no", c))), lambda s: s[c])
+    heads = [F.flatten(in_order("headings")).alias("headings")] if "headings" in pages.columns else []
     return islands(pages).groupBy("doc_id", "seg_no").agg(
         F.max("seg_type").alias("seg_type"), F.min("page_no").alias("start_page"), F.max("page_no").alias("end_page"),
-        F.max("page_confidence").alias("confidence"), ordered_text().alias("text"),
+        F.max("page_confidence").alias("confidence"), ordered_text().alias("text"), *heads,
     )
 
 
@@ -75,6 +77,20 @@ def repaired(proposed: DataFrame, pages: DataFrame) -> DataFrame:
     return out.select("doc_id", F.posexplode("s").alias("_n", "x")).select("doc_id", (F.col("_n") + 1).alias("seg_no"), "x.*")
 
 
+def checked_ranges(ranges: DataFrame) -> DataFrame:
+    """ranges (start_page, end_page) with n_pages. A range that starts before page 1 or ends before it starts is an error when rows are read."""
+    good = (F.col("start_page") >= 1) & (F.col("end_page") >= F.col("start_page"))
+    wrong = F.concat(F.lit("invalid page range "), F.col("start_page").cast("string"), F.lit("-"), F.col("end_page").cast("string"))
+    return ranges.withColumn("n_pages", F.when(good, F.col("end_page") - F.col("start_page") + 1).otherwise(F.raise_error(wrong).cast("int")))
+
+
+def looked_up(wanted: DataFrame, pages: DataFrame) -> DataFrame:
+    """The pages that wanted (doc_id, page_no) names. One that is missing is an error when rows are read."""
+    found = wanted.join(pages.select("doc_id", "page_no", F.coalesce("text", F.lit("")).alias("text")), ["doc_id", "page_no"], "left")
+    missing = F.concat(F.lit("no page "), F.col("page_no").cast("string"), F.lit(" in "), F.col("doc_id").cast("string"))
+    return found.withColumn("text", F.when(F.col("text").isNotNull(), F.col("text")).otherwise(F.raise_error(missing).cast("string")))
+
+
 def headings(lines: DataFrame, most: int = 6) -> DataFrame:
     """Headings of each page from (doc_id, page_no, line_no, font_size, text).
 

@@ -8,24 +8,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.order import settled
 from ..functions.rules import CATALOGUE, DocType, Settings
 from ..operators.classify import classify
 from ..operators.extract import extract
 from ..operators.score import propagate, score
-from ..operators.segment import islands, reclassified, segments
-from ..operators.validate import validate
+from ..operators.segment import reclassified, segments
+from ..operators.validate import normalise, validate
 from ..sources.sinks import export_manifest
 
 
 def segmented(pages: DataFrame, catalogue: tuple[DocType, ...] = CATALOGUE) -> DataFrame:
     """Segments of pages (doc_id, page_no, text, headings) with their second classification and headings."""
-    typed = classify(pages, catalogue)
-    heads = islands(typed).groupBy("doc_id", "seg_no").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("page_no", "headings"))), lambda s: s["headings"])).alias("headings"))
-    return reclassified(segments(typed), catalogue).join(heads, ["doc_id", "seg_no"])
+    return reclassified(segments(classify(pages, catalogue)), catalogue)
+
+
+def finished(found: DataFrame, settings: Settings) -> DataFrame:
+    """Scored segments of whole batches: tidied, completed within their batch, validated and named, in this order, so that two spellings that
+    tidying makes one count as one. Rows with an error stay out of the counts and of the manifest. What was extracted is settled, without the
+    texts, before it is used for several aggregates, and once more before the names."""
+    tidy = settled(normalise(settled(found.drop("text", "headings"))))
+    return export_manifest(settled(validate(propagate(tidy, settings), settings)), settings)
 
 
 def analysed(pages: DataFrame, batches: DataFrame, settings: Settings, catalogue: tuple[DocType, ...] = CATALOGUE) -> DataFrame:
     """Documents of pages. batches: doc_id, batch_id, upload_no."""
     found = score(extract(segmented(pages, catalogue), settings), settings).join(batches, "doc_id")
     found = found.withColumn("doc_ordinal", F.struct("upload_no", "seg_no")).withColumn("error", F.lit(None).cast("string"))
-    return export_manifest(validate(propagate(found, settings), settings), settings)
+    return finished(found, settings)

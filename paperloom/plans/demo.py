@@ -26,3 +26,13 @@ PAGES = [
 
 def pages(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(PAGES, "doc_id string, page_no int, text string, headings array<string>")
+
+
+#: What a model answers about the demo documents, by a string that its question holds; the first call about one of them fails.
+ANSWERS = {
+    "Name of the child: Nora": '{"documents": [{"document_type": "10_birth_certificate", "first_name": "Theo", "last_name": "Brook", "company": "Lumen Optik GmbH", "relationship": "daughter", "dependent_name": "Nora", "child_index": 1, "confidence": 0.93}]}',
+    "Heiratsurkunde": '```json\n{"documents": [{"document_type": "09_marriage_certificate", "company": "Lumen Optik GmbH", "confidence": 0.96}]}\n```',
+    "K7M20319Q1": '{"document_type": "01_passport", "first_name": "Ada", "last_name": "Brook", "company": "Lumen Optik", "valid_until": "22.05.2031", "confidence": 0.91}',
+    "K7M20319Q": '{"document_type": "03_cv", "first_name": "Eve", "last_name": "Wrong", "company": "Lumen Optik", "confidence": 0.5}',
+}
+FAILURES = {"Heiratsurkunde": 1}

@@ -4,7 +4,7 @@ run on executors, batch by batch. Their stand-ins here are deterministic, as the
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 from typing import Protocol
 
 import pandas as pd
@@ -22,11 +22,21 @@ class PageReader(Protocol):
 
 
 class Ocr(Protocol):
+    """An engine that reads page by page."""
+
     name: str
 
     def text(self, doc_id: str, page_no: int) -> str | None: ...
 
 
+class FileOcr(Protocol):
+    """An engine that reads a document at once: texts by page number."""
+
+    name: str
+
+    def texts(self, doc_id: str) -> dict[int, str]: ...
+
+
 class PlainTextReader:
     """Pages of UTF-8 text, parted by form feeds. Undecodable content is an error of that file alone."""
 
@@ -34,6 +44,18 @@ class PlainTextReader:
         return content.decode("utf-8").split("\f")
 
 
+class LayoutOcr:
+    """A whole-file engine over a service that answers with lines, words and content for each page: lines, else words, else content, is the
+    text of a page."""
+
+    def __init__(self, call: Callable[[str], list[dict]], name: str = "layout"):
+        self.call, self.name = call, name
+
+    def texts(self, doc_id: str) -> dict[int, str]:
+        text = lambda p: "\n".join(p.get("lines") or ()) or " ".join(p.get("words") or ()) or p.get("content") or ""
+        return {int(p["page"]): text(p) for p in self.call(doc_id)}
+
+
 class NoOcr:
     name = "empty"
 
@@ -70,20 +92,49 @@ def read_pages(found: DataFrame, reader: PageReader, settings: Settings) -> Data
     return read.unionByName(large)
 
 
-def fill_by_ocr(pages: DataFrame, engine: Ocr, settings: Settings) -> DataFrame:
-    """pages with texts of the engine where there is too little text. Only such pages reach the engine: Spark would run a
-    Python function inside a condition for all rows, so the two kinds part ways and meet again."""
+def fill_by_ocr(pages: DataFrame, engine: Ocr, settings: Settings, first: FileOcr | None = None) -> DataFrame:
+    """pages with texts of engines where there is too little text, in one pass over them.
+
+    Only documents with such pages reach an engine, and only such pages change. `first` reads a document at once and counts if it
+    fills any of them; otherwise, and without it, `engine` reads them one by one. What no engine reads stays as it is; an engine that fails reads nothing.
+    """
     poor = needs_ocr(F.col("text"), settings.ocr_min_chars) & F.col("error").isNull()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        whole: dict[str, dict[int, str]] = {}
+
+        def of_file(doc_id: str) -> dict[int, str]:
+            if doc_id not in whole:
+                whole.clear()  # pages of a document follow each other
+                try:
+                    whole[doc_id] = {n: t.strip() for n, t in first.texts(doc_id).items() if t and t.strip()}
+                except Exception:  # the next engine has its turn
+                    whole[doc_id] = {}
+            return whole[doc_id]
+
+        def read(doc_id: str, page_no: int, wanted: Sequence[int]) -> tuple[str, str] | None:
+            found = of_file(doc_id) if first else {}
+            if any(n in found for n in wanted):
+                return (found[page_no], first.name) if page_no in found else None
+            try:
+                text = engine.text(doc_id, page_no)
+            except Exception:
+                return None
+            return (text.strip(), engine.name) if text and text.strip() else None
+
         for batch in batches:
-            read = [engine.text(d, int(n)) for d, n in zip(batch["doc_id"], batch["page_no"], strict=True)]
-            got = [bool(t and t.strip()) for t in read]
-            batch["text"] = [t.strip() if ok else old for t, ok, old in zip(read, got, batch["text"], strict=True)]
-            batch["source"] = [engine.name if ok else old for ok, old in zip(got, batch["source"], strict=True)]
-            yield batch
+            got = [read(d, int(n), list(w)) if p else None for d, n, p, w in zip(batch["doc_id"], batch["page_no"].fillna(0), batch["_poor"], batch["_wanted"], strict=True)]
+            batch["text"] = [g[0] if g else old for g, old in zip(got, batch["text"], strict=True)]
+            batch["source"] = [g[1] if g else old for g, old in zip(got, batch["source"], strict=True)]
+            yield batch.drop(columns=["_poor", "_wanted"])
 
-    return pages.where(~poor).unionByName(pages.where(poor).mapInPandas(run, pages.schema))
+    x = pages.withColumn("_poor", F.coalesce(poor, F.lit(False)))
+    if first:  # whether a whole-file answer counts depends on all poor pages of a document
+        wanted = x.where("_poor").groupBy("doc_id").agg(F.collect_list("page_no").alias("_wanted"))
+        x = x.join(wanted, "doc_id", "left").repartition("doc_id").sortWithinPartitions("doc_id", "page_no").select(*pages.columns, "_poor", F.coalesce("_wanted", F.array().cast("array<int>")).alias("_wanted"))
+    else:
+        x = x.withColumn("_wanted", F.array().cast("array<int>"))
+    return x.mapInPandas(run, pages.schema)
 
 
 def paged(table: DataFrame, doc: str, page: str, text: str, first: int = 0) -> DataFrame:
@@ -94,5 +145,10 @@ def paged(table: DataFrame, doc: str, page: str, text: str, first: int = 0) -> D
 def listing(spark: SparkSession, folder: str, recursive: bool = True) -> DataFrame:
     """Files by client folder: client_key, n_documents, names in order."""
     found = files(spark, folder, "*", recursive).select("path", "name")
+    return by_client(found)
+
+
+def by_client(found: DataFrame) -> DataFrame:
+    """Files (path, name) by the folder that they are in: client_key, n_documents, names in order."""
     keyed = found.withColumn("client_key", F.element_at(F.split("path", "/"), -2))
     return keyed.groupBy("client_key").agg(F.count("*").alias("n_documents"), F.sort_array(F.collect_list("name")).alias("names"))
