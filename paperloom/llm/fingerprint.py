@@ -6,8 +6,12 @@ densification: it tries bins by hashes of its own number and of the attempt, the
 equal sets agree in every bin. A bin stores the low eight bits of a hash of its value and its number. Two
 values agree by chance in 1 of 256 cases, for which `likeness` corrects.
 
-A null text counts as empty. Equal texts have equal fingerprints; two texts without words have likeness 1.
-Extra columns are ignored.
+Texts are hashed before the next text is looked up, so each is hashed once as it is and once as edited.
+
+Results in special cases. Null or empty text: the fingerprint of the empty shingle; two texts without words have likeness 1. Empty table: no rows. Very
+long texts: whole. Repeated rows: equal fingerprints. Rows with equal or null doc_ids are put in order by shared.with_row_ids (nulls first in
+descending order); equal rows are neighbours in any order, which no result can tell apart. A single row is its own next. Extra columns,
+also of names used here, are ignored.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ from .shared import bind, partitions, split_words, whole_text, with_row_ids
 
 WORDS, BIN_BITS, LOW_BITS, TRIES = 5, 7, 8, 12
 BINS = 1 << BIN_BITS
-#: Rows that are meant to stand in one stretch of ids, and the most stretches.
+#: Rows that are meant to stand in one stretch of ids, and how many stretches there may be beyond the shuffle partitions.
 STRETCH, STRETCHES = 1024, 4096
 
 
@@ -74,17 +78,17 @@ def likeness(a: Column, b: Column) -> Column:
     return F.greatest(F.lit(0.0), (same / BINS - chance) / (1 - chance))
 
 
-def with_next(rows: DataFrame, carried: str) -> DataFrame:
+def with_next(rows: DataFrame, *carried: str) -> DataFrame:
     """rows, by descending _rid, with _next: the struct of `carried` columns of the next row; after the last: the first.
 
-    Rows are dealt into stretches of ids by approximate quantiles, at most STRETCHES numbers. The first row of a stretch
+    Rows are dealt into stretches of ids by approximate quantiles, some for each shuffle partition. The first row of a stretch
     also goes to the stretch before it, so a window within each stretch sees all neighbours and one shuffle suffices.
     """
     spark = rows.sparkSession
     total, low, high = rows.agg(F.count("_rid"), F.min("_rid"), F.max("_rid")).first()
     if not total:
-        return rows.withColumn("_next", F.struct(carried))
-    n = min(STRETCHES, -(-total // STRETCH), max(1, 8 * partitions(spark)))
+        return rows.withColumn("_next", F.struct(*carried))
+    n = min(max(STRETCHES, partitions(spark)), -(-total // STRETCH), max(1, 8 * partitions(spark)))
     bounds = []
     if n > 1:
         bounds = rows.agg(F.percentile_approx("_rid", [i / n for i in range(1, n)], 10_000)).first()[0]
@@ -98,22 +102,20 @@ def with_next(rows: DataFrame, carried: str) -> DataFrame:
     own = F.struct(F.col("_s").alias("to"), F.lit(False).alias("guest"))
     dealt = dealt.withColumn("_to", F.explode(F.when(F.col("_also").isNull(), F.array(own)).otherwise(F.array(own, guest))))
     order = Window.partitionBy(F.col("_to.to")).orderBy(F.col("_to.guest"), F.col("_rid").desc())
-    dealt = dealt.select(*rows.columns, "_to").withColumn("_next", F.lead(F.struct(carried)).over(order))
+    dealt = dealt.select(*rows.columns, "_to").withColumn("_next", F.lead(F.struct(*carried)).over(order))
     return dealt.where(~F.col("_to.guest")).drop("_to")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
     rows = with_row_ids(docs.drop("_rid").select("doc_id", "text")).select("_rid", "doc_id", whole_text().alias("_text"))
-    rows = with_next(rows, "_text")
+    rows = with_next(rows.withColumn("_codes", codes(F.col("_text"))), "_text", "_codes")
     n = F.length("_text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substr(F.col("_text"), F.lit(1), n - half), F.substr(F.col("_next._text"), F.lit(1), half))
-    rows = rows.select("doc_id", n.cast("bigint").alias("n_chars"), F.col("_text"), F.col("_next._text").alias("_after"), edited.alias("_edited"))
-    rows = rows.select(
-        "doc_id", "n_chars", F.sha2("_edited", 256).alias("edited_sha256"), *(codes(F.col(c)).alias(f"c{c}") for c in ("_text", "_edited", "_after"))
-    )
+    rows = rows.select("doc_id", n.cast("bigint").alias("n_chars"), "_codes", F.col("_next._codes").alias("_after"), edited.alias("_edited"))
+    rows = rows.select("doc_id", "n_chars", "_codes", "_after", F.sha2("_edited", 256).alias("edited_sha256"), codes(F.col("_edited")).alias("_changed"))
     return rows.select(
-        "doc_id", "n_chars", "edited_sha256", packed(F.col("c_text")).alias("fingerprint"), packed(F.col("c_edited")).alias("edited_fingerprint"),
-        likeness(F.col("c_text"), F.col("c_edited")).alias("near_edited"), likeness(F.col("c_text"), F.col("c_after")).alias("near_next"),
+        "doc_id", "n_chars", "edited_sha256", packed(F.col("_codes")).alias("fingerprint"), packed(F.col("_changed")).alias("edited_fingerprint"),
+        likeness(F.col("_codes"), F.col("_changed")).alias("near_edited"), likeness(F.col("_codes"), F.col("_after")).alias("near_next"),
     )

@@ -354,6 +354,7 @@ def test_near_copies_go_from_the_pipeline(spark, monkeypatch):
     want = {rows[k][0] for k in set(first)}
     assert {x.doc_id for x in corpus_pipeline.near_dedup(spark, docs, "").collect()} == want
     monkeypatch.setattr(near, "SMALL", 10)
+    monkeypatch.setattr(near, "BLOCK", 16)
     assert {x.doc_id for x in near.one_of_each(docs).collect()} == want
 
 
