@@ -553,39 +553,52 @@ def test_repeated_and_null_ids(spark):
     assert simhash.simhash(x).count() == 4 and fingerprint.fingerprints(x).count() == 4 and packing.pack(x, P.path("byte_bpe_50k.json")).count() == 4
 
 
-def test_language_model(spark, docs):
-    narrow = docs.select("doc_id", "text")
-    model = lm.train(narrow)
-    found = {r.doc_id: r for r in lm.score(narrow, model).collect()}
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_language_model(spark, docs, order):
+    again = docs.union(docs.where("doc_id in (3, 6, 9, 5000)")).union(docs.where("doc_id = 12").withColumn("doc_id", F.lit(None).cast("long")))
+    rows = [*ROWS, *((i, t) for i, t in ROWS if i in (3, 6, 9, 5000)), *((None, t) for i, t in ROWS if i == 12)]
+    narrow = again.select("doc_id", "text")
+    model = lm.train(narrow, order)
+    found = defaultdict(list)
+    for r in lm.score(narrow, model).collect():
+        found[r.doc_id].append(r)
     tokens = lambda t: [*(t or "").encode().translate(lm.LOWER).split(), b"\n"]
-    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
-    words, pairs = Counter(), Counter()
-    for i, t in ROWS:
+    held = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 7 == 2
+    padded = lambda t: [None] * (order - 1) + tokens(t)
+    words, level = Counter(), {order: Counter()}
+    for i, t in rows:
         if not held(i):
             words.update(tokens(t))
-            pairs.update(zip([None, *tokens(t)], tokens(t), strict=False))
+            w = padded(t)
+            level[order].update(tuple(w[k : k + order]) for k in range(len(w) - order + 1))
+    for k in range(order - 1, 0, -1):  # lower orders count different first words
+        level[k] = Counter(g[1:] for g in level[k + 1])
     total, size = sum(words.values()), len(words)
-    follow = Counter(w for _, w in pairs)
-    of = lambda c: (0.0, *lm.discounts(*(Counter(c.values())[k] for k in (1, 2, 3, 4))))
-    high, low = of(pairs), of(follow)
-    context, kinds = Counter(), defaultdict(Counter)
-    for (v, _), c in pairs.items():
-        context[v] += c
-        kinds[v][min(c, 3)] += 1
-    rest = sum(low[min(c, 3)] for c in follow.values()) / len(pairs)
-
-    def p(v, w):
-        out = (follow[w] - low[min(follow[w], 3)]) / len(pairs) + rest / (size + 1)
-        if v in context:
-            out = (pairs[v, w] - high[min(pairs[v, w], 3)]) / context[v] + sum(high[k] * kinds[v][k] for k in (1, 2, 3)) / context[v] * out
+    discount = {k: (0.0, *lm.discounts(*(Counter(c.values())[n] for n in (1, 2, 3, 4)))) for k, c in level.items()}
+    context, kinds = defaultdict(Counter), defaultdict(Counter)
+    for k, c in level.items():
+        for g, n in c.items():
+            context[k][g[:-1]] += n
+            kinds[k, g[:-1]][min(n, 3)] += 1
+
+    def p(g):
+        out = 1 / (size + 1)
+        for k in range(1, order + 1):
+            v, n = g[-k:][:-1], level[k][g[-k:]]
+            if v in context[k]:
+                left = sum(discount[k][d] * kinds[k, v][d] for d in (1, 2, 3)) / context[k][v]
+                out = (n - discount[k][min(n, 3)]) / context[k][v] + left * out
         return out
 
-    assert sum(p(tokens(ROWS[0][1])[0], w) for w in [*words, b"never seen"]) == pytest.approx(1)
-    for i, t in ROWS:
-        w, r = tokens(t), found[i]
+    before = tuple(padded(ROWS[0][1])[: order - 1])
+    assert sum(p((*before, w)) for w in [*words, b"never seen"]) == pytest.approx(1)
+    for i, t in rows:
+        w, g = tokens(t), padded(t)
+        want = sum(math.log10(p(tuple(g[k : k + order]))) for k in range(len(w)))
+        r = min(found[i], key=lambda r: abs(r.score - want))
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held(i), len(w), sum(words[x] > 0 for x in w), total)
         assert r.base_score == pytest.approx(sum(math.log10((words[x] + 1) / (total + size + 1)) for x in w))
-        assert r.score == pytest.approx(sum(math.log10(p(v, x)) for v, x in zip([None, *w], w, strict=False)))
+        assert r.score == pytest.approx(want)
 
 
 @pytest.mark.parametrize("kind", ["<u8", "<i8", "u1"])
