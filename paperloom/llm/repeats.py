@@ -12,13 +12,16 @@ an earlier start). The work is cut so that no task ever holds more than a bounde
    all of their bytes, are asked for again: their windows may match in part.
 3. *Windows.* The bytes of these runs meet by anchor in shards. Each shard builds a run-compressed Burrows-Wheeler
    transform with samples at the ends of its runs, streams matching statistics from it over the bytes, and marks
-   all but the earliest of the windows that long matches join. An anchor with very many different runs (a
+   all but the earliest of the windows that long matches join; the index alone decides. An anchor with very many different runs (a
    frequent short line) spreads over all shards by the hash of each window instead, again with only the first
    of a task sent on.
 4. *Removal.* Marks join the documents by id.
 
-Nulls and empty texts have nothing to remove. Rows with equal or null doc_ids are told apart by
-shared.with_row_ids (order: doc_id, nulls last, then text). Other columns are kept as they are.
+There are as many shards as SHARD_BYTES of text need, the shuffle partitions at least; a task takes one shard at a time.
+
+Results in special cases. Null or empty text: nothing to remove. Empty table: no rows. Very long texts: whole, hashed in parts of bounded
+size. Repeated rows: all but the first are removed. Rows with equal or null doc_ids are told apart by shared.with_row_ids (order: doc_id, nulls
+last, then text), and so are ties. Other columns, also of names used here, are kept as they are.
 """
 
 from __future__ import annotations
@@ -39,6 +42,8 @@ CHUNK, PART = 1 << 20, 1 << 19
 #: Records that a task gathers before it sends them on; different runs of an anchor in one such block, or in
 #: one shard, from which its windows are dealt out singly.
 BLOCK, HOT_BLOCK, HOT_SHARD = 400_000, 32, 4096
+#: Bytes of texts whose records and windows one shard is meant for.
+SHARD_BYTES = 64 << 20
 _BASE = 0x9E3779B97F4A7C15
 _WORD = (1 << 64) - 1
 
@@ -362,18 +367,23 @@ def matching_statistics(buf: np.ndarray, index: RunIndex) -> tuple[np.ndarray, n
 
 
 def later_windows(buf: np.ndarray, fits: np.ndarray, width: int) -> np.ndarray:
-    """Places of the windows among `fits` whose `width` bytes also start at an earlier one of them."""
-    order = suffix_order(buf)
-    length, _ = matching_statistics(buf, run_length_index(buf, order))
-    # a match of `width` bytes or more joins a suffix to the one before it
-    cls = np.cumsum(length[order] < width)
-    inside = fits[order]
-    order, cls = order[inside], cls[inside]
-    if not len(order):
-        return order
-    lead = np.flatnonzero(_fresh(cls))
-    earliest = np.repeat(np.minimum.reduceat(order, lead), np.diff(np.append(lead, len(cls))))
-    return order[order != earliest]
+    """Places of the windows among `fits` whose `width` bytes also start at an earlier one of them.
+
+    The order of suffixes is there until the index has its samples. All that follows comes from the index: a match of `width` bytes or
+    more joins a place to the one that it matches, and the places that lead to the same one share their bytes.
+    """
+    index = run_length_index(buf, suffix_order(buf))
+    length, other = matching_statistics(buf, index)
+    to = np.where(length >= width, other, np.arange(len(buf)))
+    while True:
+        further = to[to]
+        if (further == to).all():
+            break
+        to = further
+    places = np.flatnonzero(fits)
+    earliest = np.full(len(buf), len(buf))
+    np.minimum.at(earliest, to[places], places)
+    return places[places != earliest[to[places]]]
 
 
 def _compare_windows(width: int):
@@ -440,7 +450,8 @@ def remove_repeats(docs: DataFrame, width: int = 100, as_text: bool = False) ->
     from pyspark.sql.pandas.types import to_arrow_schema
 
     spark = docs.sparkSession
-    shards = partitions(spark)
+    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    shards = max(partitions(spark), -(-size // SHARD_BYTES))
     docs = with_row_ids(docs.drop("_removed", "_spans", "_kept", "_marks", "_asks", "_rid"))
     runs = docs.select("_rid", "text").mapInArrow(_send_anchors(width, shards), TO_SHARD)
     found = stored(runs.groupBy("shard").applyInArrow(_compare_runs(width), TO_FOUND), "repeats")
