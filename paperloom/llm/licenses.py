@@ -7,8 +7,11 @@ text, each of its lines, so that a notice line within prose is found too, and ru
 longer text is. Paragraphs end at lines without letters or digits; those that are empty in canonical form do not count. A run
 has as many paragraphs as some known text that begins with the same one; it is neither the whole document nor a single line,
 as these are units already, and a document that is a known text as a whole has none. Licences that share a paragraph with other text are not found. A document's result has a row for each
-licence and kind of unit with the number of units. Null texts and units without letters or digits match nothing.
-Repeated rows are counted each. Extra columns are ignored.
+licence and kind of unit with the number of units.
+
+Results in special cases. Null or empty text, and units without letters or digits: match nothing. Empty table: no rows. Very long texts: whole, each line
+is a unit. Repeated rows, and rows with equal or null doc_ids: counted each, in one row of their doc_id. Ties, a text that is known under two
+names: a row for each. Extra columns, also of names used here, are ignored.
 
 `known` may be any table (license, text); the built-in one has KNOWN and the files of licence_texts and is broadcast, a larger one
 is left to Spark's own choice of join. The hashes of the paragraphs of each known text go to the driver.
@@ -36,6 +39,15 @@ Permission is hereby granted, free of charge, to any person obtaining a copy of
 The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
 
 THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    ],
+    "BSD-2-Clause": [
+        """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
     ],
     "ISC": [
         """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.

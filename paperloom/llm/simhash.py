@@ -9,9 +9,10 @@ fingerprints are compared within; each sends a spanning forest, not its pairs. A
 anew: its members differ in the ignored bits only, so two of them link exactly if they agree after clearing some
 pair of these bits, and such a group has four members at most.
 
-Null and empty texts, and texts without words, have fingerprint zero and link like any other. Fewer words
-than a shingle has: the whole sequence is the shingle. Rows with equal or null doc_ids are kept apart by
-shared.with_row_ids. component_id is the smallest non-null doc_id of the component. Extra columns are ignored.
+Results in special cases. Null, empty and blank texts: fingerprint zero, which links like any other. Fewer words than a shingle has: the whole
+sequence is the shingle. Empty table: no rows. Very long texts: whole, their bits are counted in parts. Repeated rows: one fingerprint.
+Rows with equal or null doc_ids are kept apart by shared.with_row_ids; component_id is the smallest non-null doc_id of the component, null if there is
+none. Ties, a bit that is set in exactly half of the hashes: not set. Extra columns, also of names used here, are ignored.
 """
 
 from __future__ import annotations

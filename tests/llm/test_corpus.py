@@ -484,6 +484,32 @@ def test_licenses(spark):
     assert found == Counter([(1, "MIT", "line", 1), (2, "MIT", "text", 1), (5, "all-rights-reserved", "text", 2), (5, "all-rights-reserved", "line", 2)])
 
 
+def test_licenses_of_odd_rows(spark):
+    """Null and equal ids, clashing columns, a very long text, and a text under two names."""
+    bsd = licenses.KNOWN["BSD-2-Clause"][0]
+    rows = [(None, bsd), (None, "All rights reserved."), (7, bsd), (7, "x " * 200_000 + "\nAll rights reserved.\n"), (8, ""), (9, None)]
+    docs = spark.createDataFrame([(i, t, "a", 1) for i, t in rows], "doc_id long, text string, license string, unit int")
+    found = {tuple(r) for r in licenses.licenses(docs).collect() if r.unit != "paragraphs"}
+    assert found == {(None, "BSD-2-Clause", "text", 1), (None, "all-rights-reserved", "text", 1), (None, "all-rights-reserved", "line", 1), (7, "BSD-2-Clause", "text", 1), (7, "all-rights-reserved", "line", 1)}
+    known = spark.createDataFrame([("A", "same text"), ("B", "Same, text")], "license string, text string")
+    assert {tuple(r) for r in licenses.licenses(spark.createDataFrame([(1, "same text!")], "doc_id long, text string"), known).collect() if r.unit == "text"} == {(1, "A", "text", 1), (1, "B", "text", 1)}
+
+
+def test_odd_rows_of_quality_and_packing(spark):
+    """Null and equal ids, clashing columns, ties at a threshold, and a very long text."""
+    long = " ".join(f"w{k % 5000}" for k in range(60_000))
+    rows = [(None, long), (None, long), (5, "a b"), (5, None), (6, "")]
+    docs = spark.createDataFrame([(i, t, None, "s", "x", 1, 2) for i, t in rows], "doc_id long, text string, lang string, source string, kept string, _row int, length int")
+    out = quality.quality(docs).collect()
+    assert Counter((r.doc_id, r.kept) for r in out) == {(None, False): 2, (5, False): 2, (6, False): 1}
+    assert quality.keep_good(docs).columns == docs.columns
+    pieces = packing.pack(docs, P.path("byte_bpe_50k.json")).collect()
+    total = Counter()
+    for r in pieces:
+        total[r.sequence_id] += r.length
+    assert max(total.values()) <= 1024 and {r.doc_id for r in pieces} == {None, 5, 6} and sum(r.piece == 0 for r in pieces) == 5
+
+
 def test_whole_licenses(spark):
     from pathlib import Path
 
