@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from .rules import LABEL_WORDS, NOT_A_PERSON, TITLES
 
 #: All white space, also the separators that a Unicode class leaves out.
-WS = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+_OTHER = r"\t-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+WS = rf"[ {_OTHER}]+"
+#: Runs that are not one plain space: what squeezing has to change, which in most texts is little.
+_UNEVEN = rf"[{_OTHER}][ {_OTHER}]*+|\x20[ {_OTHER}]++"
 ANY = "(?iuU)"
 
 
@@ -25,7 +28,7 @@ def blank_to_null(c: Column) -> Column:
 
 def squeeze(c: Column) -> Column:
     """White space runs become one space; none at the ends."""
-    return F.trim(F.regexp_replace(c, WS, " "))
+    return F.trim(F.regexp_replace(c, _UNEVEN, " "))
 
 
 def haystack(c: Column) -> Column:
