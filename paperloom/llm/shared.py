@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import re
 import tempfile
+import threading
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,8 +32,31 @@ def scratch_dir(spark: SparkSession) -> str:
     return base
 
 
+_made = threading.local()
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if getattr(_made, "paths", None) is not None:
+        _made.paths.append(path)
+    return path
+
+
+@contextmanager
+def recorded_scratch() -> Iterator[list[str]]:
+    """The paths of the scratch tables that this thread makes within."""
+    before, _made.paths = getattr(_made, "paths", None), []
+    try:
+        yield _made.paths
+    finally:
+        _made.paths = before
+
+
+def drop_scratch(spark: SparkSession, paths: list[str]) -> None:
+    """Delete scratch tables. What was computed from them must be written before."""
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
