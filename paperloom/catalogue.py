@@ -448,7 +448,22 @@ def confidence_gate_summary(spark, sf):
 _CORRECTIONS = [("no company", {"company": " Lumen ", "child_index": "0"}, True), ("unknown", {"document_type": "03_cv", "last_name": "Brook", "first_name": ""}, False), ("child", {"dependent_name": "nora", "child_index": "2"}, None)]
 
 
-@query()
+_SET = lambda f: f"CASE WHEN bool_or(x.field = {q(f)}) THEN nullif(trim(max(CASE WHEN x.field = {q(f)} THEN x.value END)), '') ELSE any_value(v.{f}) END AS {f}"
+_NAMED = lambda f: f"CASE WHEN {f} = lower({f}) THEN upper(substr({f}, 1, 1)) || substr({f}, 2) ELSE {f} END"
+
+
+@query("WITH " + sql_values("v", _NAMES, _ROWS) + ", " + sql_values("x", "id, field, value", [(i, f, c) for i, m, _ in _CORRECTIONS for f, c in m.items()])
+       + ", " + sql_values("y", "id, approved", [(i, str(bool(a)).lower()) for i, _, a in _CORRECTIONS]) + f""",
+    c AS (SELECT id, {", ".join(_SET(f) for f in ("document_type", "first_name", "last_name", "company", "valid_until", "city", "relationship", "period", "title"))},
+      {_SET("dependent_name").replace(" AS dependent_name", "")} AS dependent, CASE WHEN bool_or(x.field = 'child_index') THEN nullif(try_cast(max(CASE WHEN x.field = 'child_index' THEN x.value END) AS INTEGER), 0) ELSE any_value(v.child_index) END AS number,
+      any_value(v.confidence) AS confidence, CASE WHEN count(x.id) > 0 THEN 'manual' ELSE any_value(v.source) END AS source FROM v LEFT JOIN x USING (id) GROUP BY id),
+    n AS (SELECT *, CASE WHEN relationship = 'child' THEN {_NAMED("dependent")} END AS dependent_name, CASE WHEN relationship = 'child' THEN coalesce(number, 1) END AS child_index FROM c),
+    l AS (SELECT n.*, coalesce(y.approved = 'true', false) AS ok, {_ERROR} AS bad, CASE document_type WHEN '01_passport' THEN '01_passport_valid ' || valid_until WHEN '15_visa' THEN '15_visa_valid ' || valid_until
+      WHEN '03_cv' THEN '03_CV' WHEN 'other' THEN coalesce(title, 'UNKNOWN') WHEN '10_birth_certificate' THEN '10_birth certificate' WHEN '12_payslip' THEN concat_ws('_', '12_payslip', period)
+      WHEN '16_town_hall_registration' THEN concat_ws('_', '16_town hall registration', city) ELSE '00_unclassified' END AS label,
+      CASE relationship WHEN 'spouse' THEN 'spouse' WHEN 'child' THEN concat_ws('_', 'child ' || child_index, dependent_name) END AS relation FROM n LEFT JOIN y USING (id))
+    SELECT id, document_type, company, dependent_name, child_index, source, CAST(confidence AS DOUBLE) AS confidence, CASE WHEN (bad OR confidence < 0.9) AND NOT ok THEN 'REVIEW REQUIRED' ELSE 'READY' END AS status,
+      concat_ws('_', label, relation, coalesce(last_name, 'UNKNOWN'), coalesce(first_name, 'UNKNOWN'), coalesce(company, 'UNKNOWN')) || '.pdf' AS file_name FROM l""")
 def review_apply(spark, sf):
     fixes = spark.createDataFrame(_CORRECTIONS, "id string, changes map<string,string>, approved boolean")
     x = validate.review(_rows(spark), fixes, S).withColumn("file_name", naming.file_name(S))
