@@ -1,13 +1,14 @@
-"""The operators' queries: each applies its operator with production parameters to the whole of `documents`."""
+"""The operators' queries: each applies its operator with production parameters to the whole of its table."""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, licenses, lm, packing, pii, quality, repeats, secrets, simhash
+from . import bpe, fingerprint, licenses, lm, packing, pii, quality, repeats, resample, secrets, simhash, tokenids, vectors
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,11 +67,27 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(documents(spark, sf_dir))
 
 
+def op11_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = vectors.compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    entries = ",".join(str(c) for part in found.books.tolist() for entry in part for c in entry)
+    books = F.lit(hashlib.sha256(entries.encode()).hexdigest()).alias("codebooks_sha256")
+    return vectors.with_label_error(found.rows).select("vec_id", vectors.hexed(F.col("codes")).alias("code"), "error", "label_error", books)
+
+
+def op12_tokenids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = tokenids.written(documents(spark, sf_dir), _path("word_bpe_49k.json"))
+    return tokenids.checked(tokenids.read(spark, folder))
+
+
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resampled(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_pii, op2_simhash, op3_fingerprints, op4_packing, op5_secrets, op6_bpe, op7_licenses, op8_repeats, op9_perplexity, op10_quality)
+    ops = (op1_pii, op2_simhash, op3_fingerprints, op4_packing, op5_secrets, op6_bpe, op7_licenses, op8_repeats, op9_perplexity, op10_quality, op11_vectors, op12_tokenids, op13_resample)
     return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
     """Only what DuckDB can express; the tests compare the others with brute force."""
-    return {"op7_licenses": licenses.oracle()}
+    return {"op7_licenses": licenses.oracle(), "op11_vectors": vectors.oracle(), "op13_resample": resample.oracle()}

@@ -63,7 +63,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back, which cuts its lineage for good."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def done_with(*tables: DataFrame) -> None:
+    """Delete what `stored` wrote for these tables. Only for tables that no DataFrame still to be computed reads."""
+    for t in tables:
+        drop_scratch(t.sparkSession, [t._stored_at])
 
 
 def partitions(spark: SparkSession) -> int:

@@ -770,4 +770,4 @@ def test_pipeline_equals_its_stages_by_hand(spark, tmp_path):
 
 
 def test_queries_are_named_by_number():
-    assert [int(n[2:].split("_")[0]) for n in queries.queries()] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in queries.queries()] == list(range(1, 14))
