@@ -358,6 +358,53 @@ def test_near_copies_go_from_the_pipeline(spark, monkeypatch):
     assert {x.doc_id for x in near.one_of_each(docs).collect()} == want
 
 
+def test_stages_can_be_composed_before_they_are_written(spark):
+    """Also twice in one thread, and with a stage between that another result still needs."""
+    import corpus_pipeline as c
+
+    rows = [(i, text_of(80) if i % 4 else PASSAGES[i % 8] + " " + text_of(60)) for i in range(60)] + [(100 + i, text_of(70)) for i in range(5)]
+    docs = spark.createDataFrame([(*r, "en", "a", 1) for r in [*rows, *((200 + i, t) for i, t in rows[:20])]], "doc_id long, text string, lang string, source string, n_chars long")
+    good = c.quality_rules(spark, docs, "")
+    one = c.near_dedup(spark, good, "")
+    other = c.near_dedup(spark, c.quality_rules(spark, docs, ""), "")
+    cut = c.repeated_passages(spark, one, "")
+    last = c.best_fit_packing(spark, c.secret_scan(spark, cut, ""), "")
+    kept = {r.doc_id for r in one.collect()}
+    assert kept == {r.doc_id for r in other.collect()} == {r.doc_id for r in last.collect()} and {r[0] for r in rows} == kept
+    assert good.count() == len(rows) + 20 and cut.count() == len(rows)
+
+
+@pytest.mark.parametrize("swaps", [8, 9, 10])
+def test_recall_just_above_the_least_similarity(spark, swaps):
+    """Pairs of one text of 400 words with scattered words swapped, at 0.77 to 0.86: exactly those of 0.8 or more are found."""
+    r = random.Random(swaps)
+    rows = []
+    for i in range(150):
+        w = [f"w{r.randrange(10**6)}" for _ in range(400)]
+        v = list(w)
+        for at in r.sample(range(5, 395, 8), swaps - r.randrange(3)):
+            v[at] = f"n{r.randrange(10**6)}"
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(v))]
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for _, t in rows if (w := t.split())]
+    alike = [len(a & b) / len(a | b) for a, b in zip(sets[::2], sets[1::2])]
+    want = {2 * i for i in range(150)} | {2 * i + 1 for i, x in enumerate(alike) if x < 0.8}
+    assert min(alike) < 0.86 and {x.doc_id for x in near.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
+
+
+def test_large_buckets_of_unlike_texts(spark, monkeypatch):
+    """Texts that share most of their shingles with many others, so that prefixes decide, in blocks of a few."""
+    monkeypatch.setattr(near, "SMALL", 4)
+    monkeypatch.setattr(near, "BLOCK", 8)
+    r = random.Random(5)
+    parts = [[f"p{k}x{j}" for j in range(12)] for k in range(9)]
+    bases = [sum(r.sample(parts, 5), []) for _ in range(90)]
+    rows = [(i, " ".join(r.choice(bases) + [f"u{i % 40}"] * r.randint(0, 2))) for i in range(260)]
+    first, linked = near_groups([t for _, t in rows])
+    assert linked > 20 and len(set(first)) > 40
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {x.doc_id for x in near.one_of_each(docs).collect()} == {rows[k][0] for k in set(first)}
+
+
 def test_pipeline_ends_with_token_ids(spark):
     import corpus_pipeline
 
