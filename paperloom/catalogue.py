@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import dates as D
-from .functions import mrz, rules
+from .functions import keywords, mrz, rules
 from .functions import text as T
 from .functions.order import ranked, settled
 from .functions.rules import LANGUAGES, Settings
@@ -95,11 +96,51 @@ def keyword_scores(spark, sf):
     return docs.select("doc_id", F.inline(C.scores(F.col("text"), LANGUAGES))).select("doc_id", "type_key", "score2")
 
 
-@query(f"WITH {_scored('documents', 'doc_id', rules.CATALOGUE)} SELECT doc_id, type_key, score2 FROM scored")
+#: All keywords of the catalogue, in its order, which `keyword_scores_full` adds to texts by their doc_id: number 7 * doc_id and 11 * doc_id + 3, the first once
+#: more in every third text.
+_WORDS = [w for t in rules.CATALOGUE for w, _ in t.keywords]
+_FED = f"""fed AS (SELECT doc_id, concat_ws(' ', text, w[doc_id * 7 % {len(_WORDS)} + 1], w[(doc_id * 11 + 3) % {len(_WORDS)} + 1], CASE WHEN doc_id % 3 = 0 THEN w[doc_id * 7 % {len(_WORDS)} + 1] END) AS text
+    FROM documents, (SELECT [{", ".join(map(q, _WORDS))}] AS w))"""
+
+
+def _fed(docs: DataFrame) -> Column:
+    words = F.from_json(F.lit(json.dumps(_WORDS)), "array<string>")
+    word = lambda step, shift: F.get(words, ((F.col("doc_id") * step + shift) % len(_WORDS)).cast("int"))
+    return F.concat_ws(" ", "text", word(7, 0), word(11, 3), F.when(F.col("doc_id") % 3 == 0, word(7, 0)))
+
+
+@query(f"WITH {_FED}, {_scored('fed', 'doc_id', rules.CATALOGUE)} SELECT doc_id, type_key, score2 FROM scored")
 def keyword_scores_full(spark, sf):
-    """The whole catalogue of 174 keywords over whole documents: what the analysis runs for each page and each segment."""
+    """The whole catalogue of 174 keywords over whole documents with keywords among them: what the analysis runs for each page and each segment."""
     docs = table(spark, sf, "documents")
-    return docs.select("doc_id", F.inline(C.scores(F.col("text")))).select("doc_id", "type_key", "score2")
+    return docs.select("doc_id", F.inline(C.scores(_fed(docs)))).select("doc_id", "type_key", "score2")
+
+
+_RULES = """kw AS (SELECT c_nationkey AS type_no, 'nation ' || c_nationkey AS type_key, lower(c_name) AS word, CAST(c_custkey % 6 + 1 AS INTEGER) AS weight2 FROM customer
+    UNION ALL SELECT DISTINCT 100, 'range', substr(lower(c_name), 1, 16), 2 FROM customer)"""
+
+
+def _rules_table(spark: SparkSession, sf: str) -> DataFrame:
+    """A catalogue as a table: names of customers tell their nation, the beginnings of their names a range."""
+    x, name = table(spark, sf, "customer"), F.lower("c_name")
+    own = x.select(F.col("c_nationkey").alias("type_no"), F.concat(F.lit("nation "), F.col("c_nationkey").cast("string")).alias("type_key"), name.alias("keyword"), (F.col("c_custkey") % 6 + 1).alias("weight2"))
+    return own.unionByName(x.select(F.lit(100).alias("type_no"), F.lit("range").alias("type_key"), F.substring(name, 1, 16).alias("keyword"), F.lit(2).alias("weight2")).distinct())
+
+
+@query(f"""WITH {_RULES}, n AS (SELECT count(*) AS n FROM customer), c AS (SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS k, c_name FROM customer),
+    hay AS (SELECT doc_id, {_HAY.replace("coalesce(text, '')", "concat_ws(' ', text, a.c_name, b.c_name)")} AS h FROM documents, n JOIN c a ON a.k = doc_id * 7 % n JOIN c b ON b.k = doc_id * 13 % n),
+    hits AS (SELECT doc_id, h, type_no, type_key, word, weight2 FROM hay JOIN kw ON contains(h, word))
+    SELECT doc_id, type_key, CAST(sum(weight2 * least((length(h) - length(replace(h, word, ''))) // length(word), 2)) AS INTEGER) AS score2 FROM hits GROUP BY ALL""")
+def keyword_scores_by_table(spark, sf):
+    """The same by rules that come from a table, thousands of keywords, over documents that name two customers each."""
+    people = table(spark, sf, "customer").select("c_custkey", "c_name")
+    n = people.count()
+    named = ranked(people, [], ["c_custkey"], "_k").select((F.col("_k") - 1).alias("k"), "c_name")
+    docs = table(spark, sf, "documents").select("doc_id", "text", (F.col("doc_id") * 7 % n).alias("a"), (F.col("doc_id") * 13 % n).alias("b"))
+    for c in "ab":
+        docs = docs.join(named.select(F.col("k").alias(c), F.col("c_name").alias(f"n{c}")), c)
+    catalogue = keywords.catalogue_of(_rules_table(spark, sf))
+    return docs.select("doc_id", F.inline(C.scores(F.concat_ws(" ", "text", "na", "nb"), catalogue))).select("doc_id", "type_key", "score2")
 
 
 @query(f"""WITH {_scored('documents', 'doc_id')} SELECT doc_id, best2, coalesce(second2, 0) AS second2,

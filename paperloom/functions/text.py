@@ -36,12 +36,6 @@ def haystack(c: Column) -> Column:
     return squeeze(F.lower(F.coalesce(c, F.lit(""))))
 
 
-def occurrences(text: Column, word: str) -> Column:
-    """Non-overlapping occurrences of a fixed string; texts without it are only searched."""
-    count = ((F.length(text) - F.length(F.replace(text, F.lit(word), F.lit("")))) / len(word)).cast("int")
-    return F.when(F.contains(text, F.lit(word)), count).otherwise(0)
-
-
 def strip(c: Column, chars: str) -> Column:
     """c without any of the characters at its ends."""
     quoted = "".join("\\" + x if x in r"\]^-[" else x for x in chars)

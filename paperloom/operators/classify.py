@@ -5,27 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import keywords
 from ..functions.rules import AMBIGUOUS, AMBIGUOUS_TOP, CATALOGUE, CONFIDENCE, CONFIDENCE_TOP, DocType
-from ..functions.text import haystack, let, occurrences
+from ..functions.text import haystack
 
 
 def scores(text: Column, catalogue: tuple[DocType, ...] = CATALOGUE) -> Column:
     """Structs (score2, rank, type_key) of the types with hits, best first; score2 is in half points.
 
-    A keyword counts twice at most. Equal scores follow the catalogue.
+    A keyword counts twice at most. Equal scores follow the catalogue. All keywords are looked for in one pass (`functions.keywords`).
     """
-
-    def score(h: Column, t: DocType) -> Column:
-        total = F.lit(0)
-        for word, weight in t.keywords:
-            total = total + F.least(occurrences(h, word), F.lit(2)) * weight
-        return total
-
-    def ranked(h: Column) -> Column:
-        every = F.array(*(F.struct(score(h, t).alias("score2"), F.lit(-n).alias("rank"), F.lit(t.key).alias("type_key")) for n, t in enumerate(catalogue)))
-        return F.sort_array(F.filter(every, lambda s: s["score2"] > 0), asc=False)
-
-    return let(haystack(text), ranked)
+    return keywords.scores(haystack(text), catalogue)
 
 
 def confidence(best2: Column, second2: Column, cap: float = 0.55) -> Column:

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from paperloom.functions import dates, mrz, rules
+from paperloom.functions import dates, keywords, mrz, rules
 from paperloom.functions import text as T
 from paperloom.functions.rules import CATALOGUE, LANGUAGES, Settings
 from paperloom.operators import classify, naming, segment
@@ -38,6 +38,34 @@ def test_scores_count_twice_at_most_and_break_ties_by_rank(spark):
     assert one(spark, classify.scores(F.lit(None).cast("string"))) == []
 
 
+def plain_scores(text, catalogue):
+    hay = " ".join((text or "").lower().split())
+    found = [(sum(min(hay.count(w), 2) * k for w, k in t.keywords), -n, t.key) for n, t in enumerate(catalogue)]
+    return sorted((x for x in found if x[0] > 0), reverse=True)
+
+
+@pytest.mark.parametrize("n", [3, 40, 5000])
+def test_keywords_in_one_pass_equal_single_searches(spark, n):
+    """Beginnings of each other, overlaps with themselves and each other, characters that patterns treat specially; thousands of them."""
+    rnd = random.Random(n)
+    letters = "ab" if n < 1000 else "abcdefgh"
+    word = lambda: "".join(rnd.choice(letters + " +(.é") for _ in range(rnd.randint(1, 8))).strip() or "a"
+    words = [" ".join(word().split()) for _ in range(n)]
+    catalogue = tuple(rules.DocType(f"t{k}", "", tuple((w, rnd.randint(0, 5)) for w in words[k::7])) for k in range(min(7, n)))
+    texts = [None, "", "aaaa", "ABAB  aba\taba"] + [" ".join(rnd.choice([word(), rnd.choice(words)]) for _ in range(rnd.randint(1, 60))) for _ in range(60)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    got = {r.i: [tuple(x) for x in r.s] for r in frame.select("i", classify.scores(F.col("text"), catalogue).alias("s")).collect()}
+    assert got == {i: plain_scores(t, catalogue) for i, t in enumerate(texts)}
+
+
+def test_a_catalogue_from_a_table(spark):
+    rows = [(2, "b", "Dog", 3), (1, "a", "cat", 2), (1, "a", "cat", 4), (2, "b", None, 1), (None, "x", "y", 1), (2, "b", "", 1), (1, "a", "bird", None)]
+    catalogue = keywords.catalogue_of(spark.createDataFrame(rows, "type_no int, type_key string, keyword string, weight2 int"))
+    assert [(t.key, t.keywords) for t in catalogue] == [("a", (("bird", 0), ("cat", 4))), ("b", (("dog", 3),))]
+    assert keywords.catalogue_of(spark.createDataFrame([], "type_no int, type_key string, keyword string, weight2 int")) == ()
+    assert one(spark, classify.scores(F.lit("cat"), ())) == []
+
+
 def test_islands(spark):
     def run(types):
         rows = [("d", n, t) for n, t in enumerate(types, 1)]
