@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 
@@ -54,69 +55,108 @@ def display_name(key: Column) -> Column:
     return F.when(F.contains(key, F.lit("_")), F.concat_ws(", ", F.substring_index(key, "_", 1), F.regexp_extract(key, "^[^_]*_(.*)$", 1))).otherwise(key)
 
 
-def _free_names(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Names in order, family by family: the first free one of a name, "name (2)", "name (3)" and so on.
+#: A number that numbering makes: at least 2, without leading zeros.
+_NUMBER = r"(?:[2-9]|[1-9][0-9]{1,17})"
+
+
+def _stem(name: Column) -> Column:
+    return F.regexp_replace(name, r"\.[^.]*$", "")
+
+
+def _end(name: Column) -> Column:
+    return F.regexp_extract(name, r"(\.[^.]*)$", 1)
 
-    What is remembered of a family are its next numbers and its names that were taken as they are.
-    """
-    family, following, taken = None, {}, set()
 
-    def is_taken(folder_name: str) -> bool:
-        match = re.fullmatch(r"(?s)(.*) \((\d+)\)(\.[^.]*|)", folder_name)
-        made = match and (match[2] == str(int(match[2]))) and int(match[2]) < following.get(match[1] + match[3], 2) and int(match[2]) >= 2
-        return folder_name in taken or bool(made)
+def with_number(name: Column, k: Column) -> Column:
+    """The name itself for 1, else "name (k)" before its extension."""
+    return F.when(k == 1, name).otherwise(F.concat(_stem(name), F.lit(" ("), k.cast("string"), F.lit(")"), _end(name)))
 
+
+def _claim(name: Column) -> list[Column]:
+    """Whose numbers a name that looks numbered is one of (`_of`, null for others), and which (`_m`)."""
+    looks = rf"(?s)^(.*) \(({_NUMBER})\)$"
+    numbered_ = _stem(name).rlike(looks)
+    of = F.concat(F.regexp_extract(_stem(name), looks, 1), _end(name))
+    return [F.when(numbered_, of).alias("_of"), F.when(numbered_, F.regexp_extract(_stem(name), looks, 2).cast("long")).alias("_m")]
+
+
+def _settle_claims(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Which names that look numbered get what they ask for. They come by family, then depth, then whose numbers they are, stored ones first, then in order.
+
+    A name's rows take its free numbers upwards, so a claim on number m holds if there were so many free ones below that the rows before it did not reach m. What is
+    remembered are the numbers of one name, and the names of one family whose claims failed, whose own first place is taken then.
+    """
+    family = of = None
+    failed: set[str] = set()
+    held: list[int] = []
+    seen = first = 0
     for batch in batches:
-        found = []
-        for group, name, there in zip(batch["_family"], batch["_name"], batch["_there"], strict=True):
+        won = []
+        for group, parent, name, m, place, stored, parent_stored in batch[["_family", "_of", "_nm", "_m", "_pos", "_old", "_of_old"]].itertuples(index=False):
             if group != family:
-                family, following, taken = group, {}, set()
-            if there or not is_taken(name):
-                taken.add(name)
-                found.append(name)
-                continue
-            dot = name.rfind(".") if "." in name else len(name)
-            stem, end, k = name[:dot], name[dot:], following.get(name, 2)
-            while is_taken(f"{stem} ({k}){end}"):
-                k += 1
-            following[name] = k + 1
-            found.append(f"{stem} ({k}){end}")
-        batch["unique_name"] = found
-        yield batch
+                family, of, failed = group, None, set()
+            if parent != of:
+                of, held, seen = parent, [], 0
+                first = int(parent_stored or parent in failed)
+            if stored:
+                won.append(True)
+            else:
+                seen += 1
+                won.append(m - 1 - bisect.bisect_left(held, m) - first >= place - seen)
+            if won[-1]:
+                bisect.insort(held, m)
+            else:
+                failed.add(name)
+        yield batch[["_f", "_of", "_nm", "_m", "_old"]].assign(_won=won)
 
 
 def numbered(rows: DataFrame, folder: str, name: str, order: str, there: DataFrame | None = None) -> DataFrame:
-    """rows with unique_name: a name that its folder has already gets " (2)", " (3)" and so on, the first that is free. order is unique.
+    """rows with unique_name: a name that its folder has already gets " (2)", " (3)" and so on, the first that is free, as if rows were named one by one in
+    order, which is unique. there: (folder, name) of what is stored.
 
-    there: (folder, name) of what is stored. A family are the names of a folder that are one without numbers at their ends. In
-    families of one name only, and nothing stored, the numbers are ranks, which need no key in one place. In others each name depends on those
-    before it: they pass in order through one task each, which remembers numbers and no rows.
+    The numbers of a name that other names hold are its taken ones. The k-th row of a name gets the k-th number that is free, which is its place among the name's
+    rows and the taken numbers, these put where so many free ones lie below. Both ranks are range sorts, so no name's rows meet in one task. Only whether a name that looks
+    numbered gets its own name depends on those before it: the first rows of such names, and no others, pass in order through a task for each family, that is
+    names that are one without the numbers at their ends.
     """
     keep = rows.columns
-    stem, end = F.regexp_replace(F.col(name), r"\.[^.]*$", ""), F.regexp_extract(F.col(name), r"(\.[^.]*)$", 1)
-    family = lambda c, stem, end: F.concat_ws("\x01", c, F.concat(F.regexp_replace(stem, r"( \(\d+\))+$", ""), end))
-    x = rows.withColumns({"_family": family(F.col(folder), stem, end), "_name": F.col(name)})
-    names = x.select("_family", "_name", F.lit(0).alias("_old"))
-    if there is not None:
-        s, e = F.regexp_replace("name", r"\.[^.]*$", ""), F.regexp_extract("name", r"(\.[^.]*)$", 1)
-        there = there.select(family(F.col("folder"), s, e).alias("_family"), F.col("name").alias("_name")).distinct()
-        there = there.join(x.select("_family").distinct(), "_family", "left_semi")
-        names = names.unionByName(there.withColumn("_old", F.lit(1)))
-    mixed = names.groupBy("_family").agg(F.min("_name").alias("_lo"), F.max("_name").alias("_hi"), F.max("_old").alias("_o")).where("_lo <> _hi or _o = 1").select("_family", F.lit(True).alias("_mixed"))
-    x = settled(x.join(mixed, "_family", "left").withColumn("_mixed", F.coalesce("_mixed", F.lit(False))))
-
-    plain = ranked(x.where("not _mixed"), ["_family"], [order], "_k")
-    numbered_ = F.when(F.col("_k") == 1, F.col(name)).otherwise(F.concat(stem, F.lit(" ("), F.col("_k").cast("string"), F.lit(")"), end))
-    plain = plain.select(*keep, numbered_.alias("unique_name"))
-
-    line = x.where("_mixed").select("_family", "_name", F.lit(False).alias("_there"), F.struct(F.lit(1).alias("o"), F.col(order).alias("v")).alias("_order"), F.struct(*keep).alias("_row"))
-    if there is not None:
-        kind = dict((f.name, f.dataType) for f in line.schema)
-        old = there.select("_family", "_name", F.lit(True).alias("_there"), F.struct(F.lit(0).alias("o"), F.lit(None).cast(kind["_order"]["v"].dataType).alias("v")).alias("_order"), F.lit(None).cast(kind["_row"]).alias("_row"))
-        line = line.unionByName(old)
-    line = line.withColumn("_id", F.monotonically_increasing_id())
-    line = settled(line)
-    sorted_ = line.select("_family", "_name", "_there", "_id", "_order").repartition("_family").sortWithinPartitions("_family", "_order").drop("_order")
-    free = sorted_.mapInPandas(_free_names, "_family string, _name string, _there boolean, _id long, unique_name string")
-    named = line.where("not _there").select("_id", "_row").join(free.select("_id", "unique_name"), "_id")
-    return plain.unionByName(named.select("_row.*", "unique_name"))
+    x = rows.withColumns({"_f": F.coalesce(F.col(folder).cast("string"), F.lit("")), "_nm": F.col(name), "_o": F.col(order)})
+    x = ranked(x, ["_f", "_nm"], ["_o"], "_k")
+    names = x.where("_k = 1").select("_f", "_nm", "_o", *_claim(F.col("_nm")))
+    old = there.select(F.coalesce(F.col("folder").cast("string"), F.lit("")).alias("_f"), F.col("name").alias("_nm")).distinct() if there is not None else None
+    asked = names.where("_of is not null")
+    if old is not None:
+        old = settled(old)
+        names = names.join(old.withColumn("_old", F.lit(True)), ["_f", "_nm"], "left").withColumn("_old", F.col("_old").isNotNull())
+        asked = names.where("_of is not null and not _old").drop("_old")
+        asked = asked.withColumn("_old", F.lit(False)).unionByName(old.select("_f", "_nm", F.lit(None).cast(names.schema["_o"].dataType).alias("_o"), *_claim(F.col("_nm")), F.lit(True).alias("_old")).where("_of is not null"))
+    else:
+        names, asked = names.withColumn("_old", F.lit(False)), asked.withColumn("_old", F.lit(False))
+    own = names.select("_f", F.col("_nm").alias("_of"), F.col("_old").alias("_of_old"))
+    asked = settled(asked.join(own, ["_f", "_of"]))  # only of names that have rows
+    taken = names.where("_old").select("_f", "_nm", F.lit(1).cast("long").alias("_t"))
+    if not asked.isEmpty():
+        counted = asked.select("_f", F.col("_of").alias("_nm")).distinct()
+        line = x.join(counted, ["_f", "_nm"], "left_semi").select("_f", "_nm", "_o", F.lit(None).cast("string").alias("_c"))
+        line = line.unionByName(asked.where("not _old").select("_f", F.col("_of").alias("_nm"), "_o", F.col("_nm").alias("_c")))
+        place = ranked(line, ["_f", "_nm"], ["_o"], "_pos").where("_c is not null").select("_f", F.col("_c").alias("_nm"), "_pos")
+        base = F.concat(F.regexp_replace(_stem(F.col("_nm")), rf"( \({_NUMBER}\))+$", ""), _end(F.col("_nm")))
+        depth = F.size(F.regexp_extract_all(F.regexp_extract(_stem(F.col("_nm")), rf"((?: \({_NUMBER}\))+)$", 1), F.lit(r" \("), F.lit(0)))
+        asked = asked.join(place, ["_f", "_nm"], "left").withColumns({"_family": F.concat_ws("\x01", "_f", base), "_depth": depth, "_pos": F.coalesce("_pos", F.lit(0))})
+        asked = asked.repartition("_family").sortWithinPartitions("_family", "_depth", "_of", F.col("_old").desc(), "_o")
+        passed = asked.select("_f", "_family", "_of", "_nm", "_m", "_pos", "_old", "_of_old").mapInPandas(_settle_claims, "_f string, _of string, _nm string, _m long, _old boolean, _won boolean")
+        passed = settled(passed)
+        taken = taken.unionByName(passed.where("_won").select("_f", F.col("_of").alias("_nm"), F.col("_m").alias("_t")))
+        lost = passed.where("not _won").select("_f", "_nm", F.lit(1).cast("long").alias("_t"))
+        taken = taken.unionByName(lost)
+    elif old is None:
+        return x.select(*keep, with_number(F.col(name), F.col("_k")).alias("unique_name"))
+    taken = ranked(taken, ["_f", "_nm"], ["_t"], "_i")
+    plain = x.join(taken.select("_f", "_nm").distinct(), ["_f", "_nm"], "left_anti").withColumn("_pos", F.col("_k"))
+    mixed = x.join(taken.select("_f", "_nm").distinct(), ["_f", "_nm"], "left_semi")
+    # a taken number stands after as many rows as there are free numbers below it
+    line = mixed.select("_f", "_nm", F.struct(F.col("_k").cast("long").alias("v"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("t")).alias("_v"), F.struct(*keep).alias("_row"))
+    gaps = taken.select("_f", "_nm", F.struct((F.col("_t") - F.col("_i")).cast("long").alias("v"), F.lit(1).alias("kind"), F.col("_t").alias("t")).alias("_v"), F.lit(None).cast(line.schema["_row"].dataType).alias("_row"))
+    line = ranked(line.unionByName(gaps), ["_f", "_nm"], ["_v"], "_pos").where("_v.kind = 0").select("_row.*", "_pos")
+    every = plain.select(*keep, "_pos").unionByName(line)
+    return every.select(*keep, with_number(F.col(name), F.col("_pos")).alias("unique_name"))

@@ -5,6 +5,9 @@ Everything up to the scores is by document: one shuffle on doc_id. Only `propaga
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +18,7 @@ from ..operators.extract import extract
 from ..operators.score import propagate, score
 from ..operators.segment import reclassified, segments
 from ..operators.validate import normalise, validate
+from ..sources.models import Model, with_model
 from ..sources.sinks import export_manifest
 
 
@@ -31,8 +35,19 @@ def finished(found: DataFrame, settings: Settings) -> DataFrame:
     return export_manifest(settled(validate(propagate(tidy, settings), settings)), settings)
 
 
-def analysed(pages: DataFrame, batches: DataFrame, settings: Settings, catalogue: tuple[DocType, ...] = CATALOGUE) -> DataFrame:
-    """Documents of pages. batches: doc_id, batch_id, upload_no."""
-    found = score(extract(segmented(pages, catalogue), settings), settings).join(batches, "doc_id")
+def analysed(
+    pages: DataFrame, batches: DataFrame, settings: Settings, catalogue: tuple[DocType, ...] = CATALOGUE, *,
+    segmenter: Callable[[DataFrame, tuple[DocType, ...]], DataFrame] = segmented, ocr: Callable[[DataFrame], DataFrame] | None = None,
+    model: Model | None = None, system: str = "", model_first: bool = False, ledger: str | None = None, wait: Callable[[float], None] = time.sleep,
+) -> DataFrame:
+    """Documents of pages. batches: doc_id, batch_id, upload_no.
+
+    segmenter: pages to segments; ocr: pages to pages, before everything else; model, system, model_first, ledger and wait: as `with_model` has them.
+    """
+    pages = ocr(pages) if ocr else pages
+    found = score(extract(segmenter(pages, catalogue), settings), settings)
+    if model is not None:
+        found = with_model(settled(found), pages, model, settings, system, wait, model_first, ledger)
+    found = found.join(batches, "doc_id")
     found = found.withColumn("doc_ordinal", F.struct("upload_no", "seg_no")).withColumn("error", F.lit(None).cast("string"))
     return finished(found, settings)

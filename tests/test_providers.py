@@ -111,6 +111,36 @@ def test_names_equal_a_loop(spark):
         assert {x.n: x.unique_name for x in naming.numbered(frame, "folder", "name", "n", old).collect()} == want
 
 
+def test_plain_names_of_a_mixed_family_are_spread(spark, monkeypatch):
+    """A third of all rows has one name, in a folder with stored and numbered ones: their numbers come from range sorts, not from one task."""
+    rows = spark.range(6000).select(F.col("id").cast("int").alias("n"), F.lit("A").alias("folder"), F.when(F.col("id") % 3 == 0, "hot.pdf").when(F.col("id") % 500 == 1, F.concat(F.lit("hot ("), (F.col("id") % 37 * 50 + 2).cast("string"), F.lit(").pdf"))).otherwise(F.concat("id", F.lit(".pdf"))).alias("name"))
+    there = spark.createDataFrame([("A", f"hot ({k}).pdf") for k in (2, 3, 700)] + [("A", "hot.pdf")], "folder string, name string")
+    taken, want = {("A", r.name) for r in there.collect()}, {}
+    low = {}
+    for r in rows.orderBy("n").collect():
+        stem, free, k = r.name[:-4], r.name, low.get(r.name, 1)
+        while ("A", free) in taken:
+            k += 1
+            free = f"{stem} ({k}).pdf"
+        low[r.name] = k
+        taken.add(("A", free))
+        want[r.n] = free
+    passed = spark.sparkContext.accumulator(0)
+    settle = naming._settle_claims
+
+    def counted(batches):
+        def each():
+            for b in batches:
+                passed.add(len(b))
+                yield b
+
+        yield from settle(each())
+
+    monkeypatch.setattr(naming, "_settle_claims", counted)
+    assert {r.n: r.unique_name for r in naming.numbered(rows, "folder", "name", "n", there).collect()} == want
+    assert 10 < passed.value < 60  # only names that look numbered, each once
+
+
 def test_exports_never_overwrite(spark, tmp_path):
     folder = str(tmp_path / "filed")
     none = F.lit(None).cast("string")
