@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
 import json
+import re
+import uuid
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,12 +15,12 @@ from pyspark.sql import functions as F
 from .functions import dates as D
 from .functions import keywords, mrz, rules
 from .functions import text as T
-from .functions.order import ranked, settled
+from .functions.order import ranked, settled, shared_dir
 from .functions.rules import LANGUAGES, Settings
 from .operators import classify as C
 from .operators import extract, merge, naming, review, score, segment, validate
 from .plans import analyse, demo
-from .sources import models, readers, sinks
+from .sources import ledger, models, readers, sinks, store
 from .sources.readers import paged
 
 S = Settings()
@@ -404,16 +408,66 @@ _EXPIRY = [("Valid until: 30.09.2028, issued 01.01.2020", "30.09.2028", "label")
 _PERIOD = [("Abrechnungsmonat: 07/2026", "2026-07", "label"), ("pay period 2026-3", "2026-03", "label"), ("paid on 12.03.2026", "2026-03", "guessed"), ("month 13/2026", None, None), ("nothing", None, None)]
 
 
-@query("WITH " + sql_values("v", "text, value, kind", _EXPIRY) + " SELECT * FROM v")
+_HITS = lambda t: f"regexp_extract_all({t}, {q(rules.DATES)})"
+_PARSED = lambda t: f"list_filter(list_transform({_HITS(t)}, lambda x: coalesce({', '.join(f'try_strptime(x, {q(f)})' for f in ('%d.%m.%Y', '%d.%m.%y', '%Y-%m-%d', '%d/%m/%Y', '%d-%m-%Y', '%Y/%m/%d', '%d %m %Y', '%m/%d/%Y'))})), lambda d: d IS NOT NULL)"
+_WINDOW = lambda h, n: f"CASE WHEN instr(lower(text), {q(h)}) > 0 THEN substr(text, instr(lower(text), {q(h)}), {n}) ELSE '' END"
+
+
+def _expiry_sql(source: str, keys: str) -> str:
+    """Each hint's window read by itself."""
+    hinted = ", ".join(f"({_PARSED(_WINDOW(h, 120))})[1]" for h in rules.EXPIRY_HINTS)
+    return f"""x AS (SELECT {keys}, coalesce({hinted}) AS h, list_max(list_filter({_PARSED('text')}, lambda d: year(d) >= 2000)) AS l FROM {source})
+    SELECT {keys}, strftime(coalesce(h, l), '%d.%m.%Y') AS value, CASE WHEN h IS NOT NULL THEN 'label' WHEN l IS NOT NULL THEN 'guessed' END AS kind FROM x"""
+
+
+def _period_sql(source: str, keys: str) -> str:
+    shape = r"\b(0?[1-9]|1[0-2])\s?[./-]\s?(20\d{2})\b|\b(20\d{2})\s?[./-]\s?(0?[1-9]|1[0-2])\b"
+    group = lambda h: f"regexp_extract({_WINDOW(h, 60)}, {q(shape)}, ['a', 'b', 'c', 'd'])"
+    one = lambda h: f"CASE WHEN {group(h)}.b <> '' THEN {group(h)}.b || '-' || lpad({group(h)}.a, 2, '0') WHEN {group(h)}.c <> '' THEN {group(h)}.c || '-' || lpad({group(h)}.d, 2, '0') END"
+    return f"""x AS (SELECT {keys}, coalesce({', '.join(map(one, rules.PERIOD_HINTS))}) AS h, strftime(({_PARSED('text')})[1], '%Y-%m') AS l FROM {source})
+    SELECT {keys}, coalesce(h, l) AS value, CASE WHEN h IS NOT NULL THEN 'label' WHEN l IS NOT NULL THEN 'guessed' END AS kind FROM x"""
+
+
+@query("WITH " + sql_values("v", "text", [(r[0],) for r in _EXPIRY]) + ", " + _expiry_sql("v", "text"))
 def expiry_by_hint(spark, sf):
     return values(spark, "text string", [(r[0],) for r in _EXPIRY]).select("text", D.find_expiry(F.col("text")).alias("x")).select("text", "x.value", "x.kind")
 
 
-@query("WITH " + sql_values("v", "text, value, kind", _PERIOD) + " SELECT * FROM v")
+@query("WITH " + sql_values("v", "text", [(r[0],) for r in _PERIOD]) + ", " + _period_sql("v", "text"))
 def period_by_hint(spark, sf):
     return values(spark, "text string", [(r[0],) for r in _PERIOD]).select("text", D.find_period(F.col("text")).alias("x")).select("text", "x.value", "x.kind")
 
 
+#: What `expiry_in_documents` and `period_in_documents` add to texts by their doc_id: a hint, of every twelfth and thirteenth none, and a date in one of three shapes.
+_HINTED = """hinted AS (SELECT doc_id, text || ' ' || coalesce({hints}[CAST(doc_id % {n} + 1 AS INTEGER)], 'no hint') || ': ' || CASE doc_id % 3 {shapes} END AS text
+    FROM documents, (SELECT DATE '2015-01-01' AS first))"""
+
+
+def _hinted_sql(hints: tuple[str, ...], shapes: tuple[str, str, str]) -> str:
+    return _HINTED.format(hints=f"[{', '.join(map(q, hints))}]", n=len(hints) + 2, shapes=" ".join(f"WHEN {n} THEN strftime(first + CAST(doc_id * 37 % 6000 AS INTEGER), {q(f)})" for n, f in enumerate(shapes)))
+
+
+def _hinted(docs: DataFrame, hints: tuple[str, ...], shapes: tuple[str, str, str]) -> Column:
+    hint = F.coalesce(F.get(F.array(*map(F.lit, hints)), (F.col("doc_id") % (len(hints) + 2)).cast("int")), F.lit("no hint"))
+    day = F.date_add(F.lit("2015-01-01").cast("date"), (F.col("doc_id") * 37 % 6000).cast("int"))
+    shown = F.coalesce(*(F.when(F.col("doc_id") % 3 == n, F.date_format(day, f)) for n, f in enumerate(shapes)))
+    return F.concat("text", F.lit(" "), hint, F.lit(": "), shown)
+
+
+@query("WITH " + _hinted_sql(rules.EXPIRY_HINTS, ("%d.%m.%Y", "%Y-%m-%d", "%d/%m/%Y")) + ", " + _expiry_sql("hinted", "doc_id"))
+def expiry_in_documents(spark, sf):
+    docs = table(spark, sf, "documents")
+    found = D.find_expiry(_hinted(docs, rules.EXPIRY_HINTS, ("dd.MM.yyyy", "yyyy-MM-dd", "dd/MM/yyyy")))
+    return docs.select("doc_id", found.alias("x")).select("doc_id", "x.value", "x.kind")
+
+
+@query("WITH " + _hinted_sql(rules.PERIOD_HINTS, ("%m/%Y", "%Y-%m", "%m.%Y")) + ", " + _period_sql("hinted", "doc_id"))
+def period_in_documents(spark, sf):
+    docs = table(spark, sf, "documents")
+    found = D.find_period(_hinted(docs, rules.PERIOD_HINTS, ("MM/yyyy", "yyyy-MM", "MM.yyyy")))
+    return docs.select("doc_id", found.alias("x")).select("doc_id", "x.value", "x.kind")
+
+
 # --- confidence, validation, review ---
 
 _FIELDS = "id string, document_type string, first_name string, last_name string, company string, valid_until string, city string, relationship string, dependent_name string, child_index int, period string, title string, keyword_confidence double, confidence double, source string, found string"
@@ -528,6 +582,20 @@ def file_name_build(spark, sf):
     return x.select("o_orderkey", naming.file_name(S).alias("file_name"), naming.client_key(S).alias("client_key"))
 
 
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN '99_rest' WHEN c_custkey % 2 = 0 THEN trim(regexp_replace(n_name, '[_ ]+', ' ', 'g')) || '_at ' || c_mktsegment ELSE trim(regexp_replace(n_name, '[_ ]+', ' ', 'g')) END
+    || '_' || trim(replace(c_name, '#', ' ')) || '_UNKNOWN_UNKNOWN.pdf' AS file_name FROM customer JOIN nation ON n_nationkey = c_nationkey""")
+def file_names_by_table(spark, sf):
+    """Names by types that come from a table: a nation's customers have its label, with the segment as city for every other one; every third has a type that the table has not."""
+    none = F.lit(None).cast("string")
+    label = F.concat(F.trim(F.regexp_replace("n_name", "[_ ]+", " ")), F.lit("_at {city}"))
+    types = table(spark, sf, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("type_key"), label.alias("label"), F.lit(False).alias("relationship_in_label"))
+    types = types.unionByName(values(spark, "type_key string, label string, relationship_in_label boolean", [("unknown", "99_rest", False)]))
+    x = table(spark, sf, "customer").select("c_custkey", F.when(F.col("c_custkey") % 3 == 0, "mystery").otherwise(F.concat(F.lit("n"), F.col("c_nationkey").cast("string"))).alias("document_type"), F.replace("c_name", F.lit("#"), F.lit("_")).alias("last_name"),
+                                            F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment")).alias("city"))
+    x = x.withColumns({c: none for c in ("first_name", "company", "valid_until", "period", "title", "relationship", "dependent_name")} | {"child_index": F.lit(None).cast("int")})
+    return naming.named(x, types, S).select("c_custkey", "file_name")
+
+
 @query("""WITH n AS (SELECT o_orderkey, o_orderpriority AS folder, o_orderstatus AS stem, row_number() OVER (PARTITION BY o_orderpriority, o_orderstatus ORDER BY o_orderkey) AS k FROM orders)
     SELECT o_orderkey, folder, stem || CASE WHEN k > 1 THEN ' (' || k || ')' ELSE '' END || '.pdf' AS unique_name FROM n""")
 def unique_names(spark, sf):
@@ -567,13 +635,16 @@ def split_manifest(spark, sf):
     return sinks.split_manifest(segment.segments(C.classify(pages, LANGUAGES)), counts)
 
 
-def _filed(spark: SparkSession, sf: str) -> DataFrame:
+def _to_file(spark: SparkSession, sf: str) -> DataFrame:
     """Turns as documents of the client that their role stands for."""
     none = F.lit(None).cast("string")
     x = table(spark, sf, "conversations").select("conv_id", "turn", F.struct("conv_id", "turn").alias("doc_ordinal"), F.lit("03_cv").alias("document_type"), F.col("role").alias("last_name"),
                                                  (F.length("text") < 60).alias("requires_review"), none.alias("error"))
-    x = x.withColumns({c: none for c in ("first_name", "company", "valid_until", "city", "period", "title", "relationship", "dependent_name")} | {"child_index": F.lit(None).cast("int")})
-    return sinks.export_manifest(x, S)
+    return x.withColumns({c: none for c in ("first_name", "company", "valid_until", "city", "period", "title", "relationship", "dependent_name")} | {"child_index": F.lit(None).cast("int")})
+
+
+def _filed(spark: SparkSession, sf: str) -> DataFrame:
+    return sinks.export_manifest(_to_file(spark, sf), S)
 
 
 @query("""WITH r AS (SELECT conv_id, turn, coalesce(nullif(trim(regexp_replace(role, '[<>:"/|?*_]', ' ', 'g')), ''), 'UNKNOWN') AS role, length(text) >= 60 AS ok FROM conversations),
@@ -606,15 +677,37 @@ def segment_overlap_merge(spark, sf):
 
 _PROPOSED = [("gap", 1, 1), ("gap", 5, 6), ("overlap", 1, 3), ("overlap", 2, 4), ("inside", 1, 5), ("inside", 2, 3), ("beyond", 3, 99)]
 _COUNTS = [("gap", 6), ("overlap", 4), ("inside", 5), ("beyond", 4)]
-_REPAIRED = [("gap", 1, 1, 3), ("gap", 2, 4, 6), ("overlap", 1, 1, 3), ("overlap", 2, 4, 4), ("inside", 1, 1, 5), ("beyond", 1, 1, 4)]
-
-
-@query("WITH " + sql_values("v", "doc_id, seg_no, start_page, end_page", _REPAIRED) + " SELECT * FROM v")
+_REPAIR = """o AS (SELECT doc_id, page_count AS n, row_number() OVER (PARTITION BY doc_id ORDER BY start_page, end_page) AS i, greatest(1, least(start_page, page_count)) AS a,
+      greatest(1, least(start_page, page_count), least(end_page, page_count)) AS z FROM p JOIN c USING (doc_id)),
+    kept(doc_id, i, s) AS (SELECT doc_id, 0, [] :: STRUCT(a BIGINT, z BIGINT)[] FROM c UNION ALL
+      SELECT o.doc_id, kept.i + 1, CASE WHEN len(s) > 0 AND o.a <= s[len(s)].z THEN CASE WHEN s[len(s)].z + 1 > o.z THEN s ELSE list_append(s, {'a': s[len(s)].z + 1, 'z': o.z}) END
+        ELSE list_append(s, {'a': o.a, 'z': o.z}) END FROM kept JOIN o ON o.doc_id = kept.doc_id AND o.i = kept.i + 1),
+    first AS (SELECT doc_id, arg_max(s, i) AS s FROM kept GROUP BY doc_id HAVING max(i) > 0),
+    stray AS (SELECT doc_id, s, list_filter(range(1, page_count + 1), lambda p: len(list_filter(s, lambda x: p BETWEEN x.a AND x.z)) = 0) AS l FROM first JOIN c USING (doc_id)),
+    fold(doc_id, k, s, l) AS (SELECT doc_id, 0, s, l FROM stray UNION ALL
+      SELECT doc_id, k + 1, list_transform(s, lambda x, i: CASE WHEN i = list_position(list_transform(s, lambda y: abs(y.a - l[k + 1])), list_min(list_transform(s, lambda y: abs(y.a - l[k + 1]))))
+        THEN {'a': least(x.a, l[k + 1]), 'z': greatest(x.z, l[k + 1])} ELSE x END), l FROM fold WHERE k < len(l)),
+    done AS (SELECT doc_id, arg_max(s, k) AS s FROM fold GROUP BY doc_id)
+    SELECT doc_id, CAST(i AS INTEGER) AS seg_no, CAST(x.a AS INTEGER) AS start_page, CAST(x.z AS INTEGER) AS end_page FROM (SELECT doc_id, unnest(s) AS x, generate_subscripts(s, 1) AS i FROM done)"""
+
+
+@query("WITH RECURSIVE " + sql_values("p", "doc_id, start_page, end_page", _PROPOSED) + ", " + sql_values("c", "doc_id, page_count", _COUNTS) + ", " + _REPAIR)
 def segment_normalise(spark, sf):
     proposed = values(spark, "doc_id string, start_page int, end_page int", _PROPOSED)
     return segment.repaired(proposed, values(spark, "doc_id string, page_count int", _COUNTS))
 
 
+@query("""WITH RECURSIVE c AS (SELECT conv_id AS doc_id, count(*) * 3 AS page_count FROM conversations GROUP BY 1),
+    p AS (SELECT conv_id AS doc_id, turn * 3 + conv_id % 4 AS start_page, turn * 3 + conv_id % 4 + turn * 5 % 7 - 1 AS end_page FROM conversations WHERE (conv_id + turn) % 2 = 0), """ + _REPAIR)
+def segment_repair(spark, sf):
+    """Segments as a model might propose them, with overlaps and gaps: every other turn proposes one, and each turn stands for three pages."""
+    x = table(spark, sf, "conversations")
+    counts = x.groupBy(F.col("conv_id").alias("doc_id")).agg((F.count("*") * 3).cast("int").alias("page_count"))
+    start = F.col("turn") * 3 + F.col("conv_id") % 4
+    proposed = x.where((F.col("conv_id") + F.col("turn")) % 2 == 0).select(F.col("conv_id").alias("doc_id"), start.cast("int").alias("start_page"), (start + F.col("turn") * 5 % 7 - 1).cast("int").alias("end_page"))
+    return segment.repaired(proposed, counts)
+
+
 _ANSWERS = [
     ("fenced", 6, '```json\n{"documents": [{"document_type": "03_cv", "start_page": 1, "end_page": 2, "first_name": "Ada", "confidence": 1.7}]}\n```'),
     ("prose", 6, 'Sure: {"documents": [{"document_type": "other", "title": "None", "confidence": 0.9, "start_page": 5, "end_page": 3}]} ok?'),
@@ -712,11 +805,88 @@ def archive_of_one_client(spark, sf):
     return sinks.archive_manifest(_filed(spark, sf), "user_UNKNOWN")
 
 
+def _paths(spark: SparkSession, sf: str) -> DataFrame:
+    return _filed(spark, sf).where(F.col("target_dir").startswith("Clients/")).select(F.concat_ws("/", "target_dir", "unique_name").alias("path"), F.col("unique_name").alias("name"))
+
+
 @query(f"WITH {_FILED} SELECT client_key, count(*) AS n_documents, min(name) AS first_name FROM f GROUP BY 1")
 def client_folders(spark, sf):
-    """The listing of client folders over the paths of what is filed."""
-    found = _filed(spark, sf).where(F.col("target_dir").startswith("Clients/")).select(F.concat_ws("/", "target_dir", "unique_name").alias("path"), F.col("unique_name").alias("name"))
-    return readers.by_client(found).select("client_key", "n_documents", F.col("names")[0].alias("first_name"))
+    """The first file and the number of files of client folders, over the paths of what is filed."""
+    return store.by_client(_paths(spark, sf)).where("place = 1").select("client_key", "n_documents", F.col("name").alias("first_name"))
+
+
+@query(f"WITH {_FILED} SELECT client_key, row_number() OVER (PARTITION BY client_key ORDER BY name) AS place, name, count(*) OVER (PARTITION BY client_key) AS n_documents FROM f")
+def client_files(spark, sf):
+    """The files of client folders, in order."""
+    return store.by_client(_paths(spark, sf)).select("client_key", "place", "name", "n_documents")
+
+
+@query(f"WITH {_FILED} SELECT 'Clients/' || client_key || '/' || name AS path, row_number() OVER (ORDER BY string_split('Clients/' || client_key || '/' || name, '/')) AS place FROM f")
+def listing_in_order(spark, sf):
+    return store.in_order(_paths(spark, sf)).select("path", "place")
+
+
+@query(f"WITH {_FILED} SELECT 'AllClients_20260731_0905.zip' AS archive, client_key || '/' || name AS entry FROM f")
+def archive_of_all_clients(spark, sf):
+    return sinks.archive_of_all(_filed(spark, sf), datetime(2026, 7, 31, 9, 5)).select("archive", "entry")
+
+
+@query("""SELECT conv_id AS doc_id, CAST(sum(length(regexp_replace(text, '\\s+', '', 'g'))) AS BIGINT) AS n_chars, array_to_string(list_sort(list(DISTINCT CASE turn % 3 WHEN 0 THEN 'text' WHEN 1 THEN 'layout' ELSE 'pagewise' END)), ' + ') AS engines,
+    bool_or(turn % 3 <> 0) AS ocr_used FROM conversations GROUP BY 1""")
+def document_engines(spark, sf):
+    """Characters and engines of documents; of a document's pages every third has a text of its own."""
+    source = F.when((F.col("page_no") - 1) % 3 == 0, "text").when((F.col("page_no") - 1) % 3 == 1, "layout").otherwise("pagewise")
+    return readers.document_totals(turns(spark, sf).withColumn("source", source)).withColumn("engines", F.array_join("engines", " + "))
+
+
+@query(_SEGMENTS + """ SELECT doc_id, seg_no, CASE WHEN start_page = end_page THEN 'page ' || start_page ELSE 'pages ' || start_page || '-' || end_page END AS pages FROM segs""")
+def long_page_labels(spark, sf):
+    return segment.segments(C.classify(turns(spark, sf), LANGUAGES)).select("doc_id", "seg_no", review.page_label(long=True).alias("pages"))
+
+
+@query(f"""SELECT o_orderkey, o_orderstatus = 'F' AS is_exported, coalesce(nullif(replace(trim(o_orderpriority), ' ', ''), ''), 'UNKNOWN') || '_UNKNOWN' AS client_key,
+    CASE o_custkey % 4 {" ".join(f"WHEN {n} THEN {q(rules.DESCRIPTIONS[k])}" for n, k in enumerate(("01_passport", "03_cv", "other")))} ELSE {q(rules.DESCRIPTIONS["unknown"])} END AS type_label FROM orders""")
+def derived_columns(spark, sf):
+    kind = F.when(F.col("o_custkey") % 4 == 0, "01_passport").when(F.col("o_custkey") % 4 == 1, "03_cv").when(F.col("o_custkey") % 4 == 2, "other").otherwise("mystery")
+    x = table(spark, sf, "orders").select("o_orderkey", kind.alias("document_type"), F.col("o_orderpriority").alias("last_name"), F.lit(None).cast("string").alias("first_name"), F.when(F.col("o_orderstatus") == "F", "there").alias("exported_path"))
+    return review.derived(x, S).select("o_orderkey", "is_exported", "client_key", "type_label")
+
+
+@query("""SELECT CAST(row_number() OVER (ORDER BY event_id) AS INTEGER) AS place, event_id || ' ' || event_type || ' ' || user_id AS line FROM (SELECT * FROM events ORDER BY event_id DESC LIMIT 40)""")
+def log_tail(spark, sf):
+    """Events as a log that was rotated twice, and its last 40 lines."""
+    folder = f"{shared_dir(spark)}/log-{uuid.uuid4().hex}"
+    x = table(spark, sf, "events").select("event_id", F.concat_ws(" ", "event_id", "event_type", "user_id").alias("line"))
+    ends = x.agg(F.min("event_id").alias("a"), (F.max("event_id") + 1).alias("z")).first()
+    cut = [ends.a, ends.a + (ends.z - ends.a) // 2, ends.z - (ends.z - ends.a) // 200, ends.z]
+    for age, (low, high) in zip((2, 1, 0), itertools.pairwise(cut), strict=True):
+        name = "app.log" + (f".{age}" if age else "")
+        x.where((F.col("event_id") >= low) & (F.col("event_id") < high)).repartitionByRange(4, "event_id").sortWithinPartitions("event_id").select("line").write.text(f"{folder}/{name}")
+    return store.log_tail(spark, f"{folder}/*")
+
+
+@query(f"""WITH r AS (SELECT conv_id, turn, coalesce(nullif(trim(regexp_replace(role, '[<>:"/|?*_]', ' ', 'g')), ''), 'UNKNOWN') AS role, length(text) >= 60 AS ok FROM conversations),
+    m AS (SELECT *, CASE WHEN ok THEN 'Clients' ELSE 'review' END || '/' || replace(role, ' ', '') || '_UNKNOWN' AS target_dir, '03_CV_' || role || '_UNKNOWN_UNKNOWN' AS stem FROM r),
+    k AS (SELECT *, row_number() OVER (PARTITION BY target_dir, stem ORDER BY conv_id % 2, conv_id, turn) AS k FROM m)
+    SELECT conv_id, turn, target_dir, stem || CASE WHEN k > 1 THEN ' (' || k || ')' ELSE '' END || '.pdf' AS unique_name FROM k""")
+def export_claims(spark, sf):
+    """Two batches exported one after the other through a ledger of names, and the first one once more, which claims nothing."""
+    folder = f"{shared_dir(spark)}/claims-{uuid.uuid4().hex}"
+    for batch in (0, 1, 0):
+        ledger.export(_to_file(spark, sf).where(F.col("conv_id") % 2 == batch), S, folder, f"batch {batch}", lambda m, p: m.select("conv_id", "turn", "target_dir", "unique_name").write.parquet(p))
+    return ledger.claimed(spark, folder).select("conv_id", "turn", "target_dir", "unique_name")
+
+
+@query("""WITH x AS (SELECT sha256(p_name) AS digest, min(p_name || ' ' || p_partkey % 5) AS name FROM part GROUP BY p_name),
+    y AS (SELECT *, '20260731_090500_' || replace(name, '.', ' ') || '.pdf' AS n FROM x)
+    SELECT digest, name, n AS landed_name FROM y""")
+def landing_by_content(spark, sf):
+    """Part names as contents of uploads, landed in two goes that overlap: equal content is stored once."""
+    folder = f"{shared_dir(spark)}/landing-{uuid.uuid4().hex}"
+    x = table(spark, sf, "part").select(F.concat_ws(" ", "p_name", (F.col("p_partkey") % 5).cast("string")).alias("name"), F.col("p_name").cast("binary").alias("content"))
+    for _ in range(2):
+        store.land(x, folder, "20260731_090500")
+    return store.landed(spark, folder).select("digest", "name", "landed_name")
 
 
 @query(f"WITH {_FILED} SELECT 'Clients/' || client_key || '/' || name AS path FROM f WHERE name LIKE '%(2).pdf'")
@@ -852,6 +1022,42 @@ def analyse_with_model(spark, sf):
     return x.select("doc_id", "seg_no", "start_page", "end_page", "document_type", "last_name", "first_name", "company", "valid_until", "relationship", "confidence", "source")
 
 
+class _Formal:
+    """A model that answers by a rule: about two of three whole documents, and about every single one."""
+
+    name = "formal"
+
+    def available(self) -> bool:
+        return True
+
+    def complete(self, system: str, user: str) -> str:
+        whole = re.match(r"File name: (\d+)\nTotal pages: (\d+)\n", user)
+        if not whole:
+            return json.dumps({"document_type": "12_payslip", "first_name": "Ada", "last_name": "One", "company": "Lumen", "period": "2026-03", "confidence": 0.7})
+        entry = {"document_type": "03_cv", "start_page": 1, "end_page": int(whole[2]), "first_name": "Ada", "last_name": f"Doc{whole[1]}", "company": "Lumen", "confidence": 0.9}
+        return "{oops}" if int(whole[1]) % 3 == 0 else json.dumps({"documents": [entry]})
+
+
+@query("""WITH s AS (SELECT conv_id AS doc_id, CAST(turn + 1 AS INTEGER) AS page, trim(text) <> '' AS there, (conv_id + turn) % 4 = 0 AS unknown, (conv_id + turn) % 5 = 1 AND (conv_id + turn) % 4 <> 0 AS strong FROM conversations),
+    d AS (SELECT doc_id, count(*) AS n, bool_or(unknown) AND doc_id % 3 <> 0 AND bool_or(there) AS whole FROM s GROUP BY 1)
+    SELECT doc_id, 1 AS start_page, CAST(n AS INTEGER) AS end_page, '03_cv' AS document_type, 'Doc' || doc_id AS last_name, CAST(0.9 AS DOUBLE) AS confidence, 'model' AS source FROM d WHERE whole
+    UNION ALL SELECT doc_id, page, page, CASE WHEN strong OR there THEN '12_payslip' WHEN unknown THEN 'unknown' ELSE '12_payslip' END, CASE WHEN strong THEN 'Rule' WHEN there THEN 'One' END, CASE WHEN strong THEN 0.95 WHEN there THEN 0.7 ELSE 0.5 END :: DOUBLE,
+      CASE WHEN there AND NOT strong THEN 'model' ELSE 'rules' END FROM s JOIN d USING (doc_id) WHERE NOT whole""")
+def conversations_with_model(spark, sf):
+    """Each turn as a segment: some unknown, some strong, the rest weak, completed by a model whose whole answers fail for every third document; its answers go through a ledger."""
+    place = F.col("doc_id") + F.col("page_no") - 1
+    pages = turns(spark, sf)
+    strong = (place % 5 == 1) & (place % 4 != 0)
+    none = F.lit(None).cast("string")
+    full = lambda v: F.when(strong, v)
+    x = pages.select("doc_id", F.col("page_no").alias("seg_no"), F.col("page_no").alias("start_page"), F.col("page_no").alias("end_page"), "text", F.when(place % 4 == 0, "unknown").otherwise("12_payslip").alias("document_type"),
+                     full("Rule").alias("last_name"), full("Ada").alias("first_name"), full("Lumen").alias("company"), full("2026-03").alias("period"), F.when(strong, 0.95).otherwise(0.5).alias("confidence"))
+    x = x.withColumns({c: none for c in ("valid_until", "city", "title", "relationship", "dependent_name")} | {"child_index": F.lit(None).cast("int"), "keyword_confidence": F.lit(0.5), "source": F.lit("rules"),
+                      "evidence": F.array().cast("array<struct<field:string,kind:string>>")})
+    found = models.with_model(x, pages, _Formal(), S, "Types", models.no_wait, ledger=f"{shared_dir(spark)}/answers-{uuid.uuid4().hex}")
+    return found.select("doc_id", "start_page", "end_page", "document_type", "last_name", "confidence", "source")
+
+
 @query()
 def conversations_analysed(spark, sf):
     """The whole analysis over a table: conversations as paged documents, a batch for each third of them."""

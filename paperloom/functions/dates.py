@@ -69,20 +69,61 @@ def normalise_period(c: Column) -> Column:
     )
 
 
-def _after(text: Column, hint: str, size: int) -> Column:
-    at = F.instr(F.lower(text), hint)
-    return F.when(at > 0, F.substr(text, at, F.lit(size)))
+def dates_at(text: Column) -> Column:
+    """What may be a date in a text, in order: structs (start, end, d) of 0-based positions and the date, null if it does not parse."""
+    pattern = "(?U)" + DATES
+
+    def placed(hits: Column, pieces: Column) -> Column:
+        # a hit starts after all pieces and hits before it
+        before = lambda i: F.aggregate(F.slice(pieces, 1, i + 1), F.lit(0), lambda n, p: n + F.length(p)) + F.aggregate(F.slice(hits, F.lit(1), i), F.lit(0), lambda n, h: n + F.length(h))
+        return F.transform(
+            hits, lambda h, i: let(before(i), lambda at: F.struct(at.alias("start"), (at + F.length(h)).alias("end"), parse_date(h).alias("d")))
+        )
+
+    none = F.array().cast("array<struct<start:int,end:int,d:date>>")
+    return let(
+        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
+        lambda hits: F.when(F.size(hits) > 0, let(F.split(text, pattern, -1), lambda pieces: placed(hits, pieces))).otherwise(none),
+    )
+
+
+def _places(text: Column, hints: tuple[str, ...]) -> Column:
+    """Where the hints that a text holds first stand, 1-based, in the order of the hints."""
+    return let(F.lower(text), lambda low: F.filter(F.array(*(F.instr(low, h) for h in hints)), lambda at: at > 0))
+
+
+def next_date(text: Column, found: Column, at: Column, size: int) -> Column:
+    """The first date that parses within `size` characters from a place on. found: dates_at(text).
+
+    The dates of the text serve, unless the window's ends cut one, or a run of digits that makes one when it is cut: then the window is read by itself.
+    """
+    low, high = at - 1, at - 1 + size
+    cut = F.exists(found, lambda x: ((x["start"] < low) & (low < x["end"])) | ((x["start"] < high) & (high < x["end"])))
+    cut = cut | F.substr(text, high, F.lit(2)).rlike(r"(?U)^\d\w")
+    whole = F.get(F.filter(found, lambda x: (x["start"] >= low) & (x["end"] <= high) & x["d"].isNotNull()), F.lit(0))["d"]
+    return F.when(cut, F.try_element_at(find_dates(F.substr(text, at, F.lit(size))), F.lit(1))).otherwise(whole)
 
 
 def find_expiry(text: Column) -> Column:
-    """A struct (value, kind): the first date after a hint, or the latest one as a guess."""
-    hinted = F.coalesce(*(F.try_element_at(find_dates(_after(text, h, 120)), F.lit(1)) for h in EXPIRY_HINTS))
-    late = F.array_max(F.filter(find_dates(text), lambda d: F.year(d) >= 2000))
-    return F.struct(show_date(F.coalesce(hinted, late)).alias("value"), F.when(hinted.isNotNull(), "label").when(late.isNotNull(), "guessed").alias("kind"))
+    """A struct (value, kind): the first date after a hint, or the latest one as a guess. Each date of a text is parsed once."""
+
+    def chosen(found: Column) -> Column:
+        hinted = F.get(F.filter(F.transform(_places(text, EXPIRY_HINTS), lambda at: next_date(text, found, at, 120)), lambda d: d.isNotNull()), F.lit(0))
+        late = F.array_max(F.filter(F.transform(found, lambda x: x["d"]), lambda d: F.year(d) >= 2000))
+        return let(
+            F.struct(hinted.alias("h"), late.alias("l")),
+            lambda x: F.struct(show_date(F.coalesce(x["h"], x["l"])).alias("value"), F.when(x["h"].isNotNull(), "label").when(x["l"].isNotNull(), "guessed").alias("kind")),
+        )
+
+    return let(dates_at(text), chosen)
 
 
 def find_period(text: Column) -> Column:
     """A struct (value, kind): the first period after a hint, or that of the first date as a guess."""
-    hinted = F.coalesce(*(normalise_period(_after(text, h, 60)) for h in PERIOD_HINTS))
+    near = F.transform(_places(text, PERIOD_HINTS), lambda at: normalise_period(F.substr(text, at, F.lit(60))))
+    hinted = F.get(F.filter(near, lambda p: p.isNotNull()), F.lit(0))
     first = F.date_format(F.try_element_at(find_dates(text), F.lit(1)), "yyyy-MM")
-    return F.struct(F.coalesce(hinted, first).alias("value"), F.when(hinted.isNotNull(), "label").when(first.isNotNull(), "guessed").alias("kind"))
+    return let(
+        hinted,
+        lambda h: F.struct(F.coalesce(h, first).alias("value"), F.when(h.isNotNull(), "label").when(first.isNotNull(), "guessed").alias("kind")),
+    )

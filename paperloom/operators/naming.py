@@ -3,47 +3,71 @@
 from __future__ import annotations
 
 import bisect
-import re
+import json
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.keywords import MOST_RULES
 from ..functions.order import ranked, settled
 from ..functions.rules import CATALOGUE, OTHER, UNKNOWN, DocType, Settings
-from ..functions.text import file_part
+from ..functions.text import file_part, let
 
 _PLACES = {"validity": "valid_until", "period": "period", "city": "city", "title": "title"}
 LONGEST = 180
 
 
-def label_part(t: DocType, unknown: str) -> Column:
-    """The type's label: chunks whose placeholder is empty go."""
-    chunks = []
-    for chunk in t.label.split("_"):
-        out = F.lit(chunk)
-        for place in re.findall(r"\{(\w+)\}", chunk):
-            before, after = chunk.split("{" + place + "}")
-            out = F.concat(F.lit(before), file_part(F.col(_PLACES[place])), F.lit(after))
-        chunks.append(out)
-    first = t.label.split("_")[0]
-    return F.coalesce(F.nullif(F.concat_ws("_", *chunks), F.lit("")), F.lit(unknown if "{" in first else first))
+def label_part(label: Column, unknown: str) -> Column:
+    """A label with its placeholders filled: chunks whose placeholder is empty go. The expression is the same for all labels, which may be a column."""
+    place = r"\{(\w+)\}"
+    value = F.create_map(*(x for name, field in _PLACES.items() for x in (F.lit(name), file_part(F.col(field)))))
 
+    def filled(chunk: Column) -> Column:
+        found = F.try_element_at(value, F.regexp_extract(chunk, place, 1))
+        whole = F.concat(F.regexp_extract(chunk, r"^([^{]*)\{", 1), found, F.regexp_extract(chunk, r"\}(.*)$", 1))
+        return F.when(chunk.rlike(place), whole).otherwise(chunk)
 
-def file_name(settings: Settings, catalogue: tuple[DocType, ...] = (*CATALOGUE, OTHER, UNKNOWN)) -> Column:
-    """Label, relationship, last name, first name and company, joined by underscores, at most 180 characters."""
-    kind, unknown = F.col("document_type"), settings.unknown
-    label = label_part(UNKNOWN, unknown)
-    for t in catalogue:
-        label = F.when(kind == t.key, label_part(t, unknown)).otherwise(label)
-    inside = F.coalesce(kind.isin(*(t.key for t in catalogue if t.relationship_in_label)), F.lit(False))
+    chunks = F.array_compact(F.transform(F.split(label, "_"), filled))
+    first = F.substring_index(label, "_", 1)
+    return F.coalesce(F.nullif(F.array_join(chunks, "_"), F.lit("")), F.when(first.contains("{"), F.lit(unknown)).otherwise(first))
+
+
+def _whole_name(label: Column, inside: Column, unknown: str) -> Column:
     number = F.concat(F.lit("child "), F.when(F.col("child_index") > 0, F.col("child_index")).otherwise(1).cast("string"))
     relation = F.when(inside, None).when(F.col("relationship") == "spouse", "spouse").when(F.col("relationship") == "child", F.concat_ws("_", number, file_part(F.col("dependent_name"))))
     known = lambda f: F.coalesce(file_part(F.col(f)), F.lit(unknown))
-    whole = F.concat(F.concat_ws("_", label, relation, known("last_name"), known("first_name"), known("company")), F.lit(".pdf"))
-    short = F.concat(F.regexp_replace(F.substring(whole, 1, LONGEST - 4), "[ _.]+$", ""), F.lit(".pdf"))
-    return F.when(F.length(whole) > LONGEST, short).otherwise(whole)
+    whole = F.concat(F.concat_ws("_", label_part(label, unknown), relation, known("last_name"), known("first_name"), known("company")), F.lit(".pdf"))
+
+    def cut(name: Column) -> Column:
+        short = F.concat(F.regexp_replace(F.substring(name, 1, LONGEST - 4), "[ _.]+$", ""), F.lit(".pdf"))
+        return F.when(F.length(name) > LONGEST, short).otherwise(name)
+
+    return let(whole, cut)
+
+
+def file_name(settings: Settings, catalogue: tuple[DocType, ...] = (*CATALOGUE, OTHER, UNKNOWN)) -> Column:
+    """Label, relationship, last name, first name and company, joined by underscores, at most 180 characters. A type that the catalogue has not is unknown."""
+    types = {t.key: {"label": t.label, "inside": t.relationship_in_label} for t in catalogue}
+    table = F.from_json(F.lit(json.dumps(types)), "map<string,struct<label:string,inside:boolean>>")
+    default = F.struct(F.lit(UNKNOWN.label).alias("label"), F.lit(False).alias("inside"))
+    return let(F.coalesce(F.try_element_at(table, F.col("document_type")), default), lambda t: _whole_name(t["label"], t["inside"], settings.unknown))
+
+
+def named(rows: DataFrame, types: DataFrame, settings: Settings) -> DataFrame:
+    """rows with file_name, by a table of types: type_key, label, relationship_in_label. Types that it has not take its row `unknown`, or that of the rules.
+
+    The table is sent to all tasks, which its size must allow: more than MOST_RULES types are an error.
+    """
+    if types.limit(MOST_RULES + 1).count() > MOST_RULES:
+        raise ValueError(f"a table of types has {MOST_RULES} rows at most")
+    one = types.groupBy(F.col("type_key").alias("_key")).agg(F.min(F.struct(F.col("label").alias("label"), F.coalesce("relationship_in_label", F.lit(False)).alias("inside"))).alias("_type"))
+    rest = one.where(F.col("_key") == UNKNOWN.key).agg(F.first("_type").alias("_rest"))
+    x = rows.join(F.broadcast(one), rows["document_type"] == F.col("_key"), "left").crossJoin(F.broadcast(rest))
+    default = F.struct(F.lit(UNKNOWN.label).alias("label"), F.lit(False).alias("inside"))
+    kind = F.coalesce("_type", "_rest", default)
+    return x.withColumn("file_name", let(kind, lambda t: _whole_name(t["label"], t["inside"], settings.unknown))).drop("_key", "_type", "_rest")
 
 
 def client_key(settings: Settings) -> Column:

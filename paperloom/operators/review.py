@@ -2,23 +2,26 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.order import ranked
-from ..functions.rules import CATALOGUE, OTHER, UNKNOWN, DocType, Settings
+from ..functions.rules import CATALOGUE, DESCRIPTIONS, OTHER, UNKNOWN, DocType, Settings
 from ..functions.text import percent
+from .naming import client_key
 from .validate import validate
 
 SCHEMA = ("first_name", "last_name", "company", "document_type", "valid_until", "city", "relationship", "confidence", "dependent_name", "child_index", "period", "title")
 
 
-def page_label() -> Column:
-    """p1 or p1-2."""
+def page_label(long: bool = False) -> Column:
+    """p1 or p1-2; long: page 1 or pages 1-2."""
+    one, more = ("page ", "pages ") if long else ("p", "p")
     start, end = F.col("start_page").cast("string"), F.col("end_page").cast("string")
-    return F.when(F.col("start_page") == F.col("end_page"), F.concat(F.lit("p"), start)).otherwise(F.concat(F.lit("p"), start, F.lit("-"), end))
+    return F.when(F.col("start_page") == F.col("end_page"), F.concat(F.lit(one), start)).otherwise(F.concat(F.lit(more), start, F.lit("-"), end))
 
 
 def table(rows: DataFrame) -> DataFrame:
@@ -35,6 +38,13 @@ def order() -> list[Column]:
     return [F.col("exported_path").isNotNull(), urgency, F.col("file_name")]
 
 
+def derived(rows: DataFrame, settings: Settings) -> DataFrame:
+    """rows with is_exported, client_key and type_label, the description of their type; that of unknown where the catalogue has none."""
+    known = F.from_json(F.lit(json.dumps(DESCRIPTIONS)), "map<string,string>")
+    label = F.coalesce(F.try_element_at(known, F.col("document_type")), F.lit(DESCRIPTIONS["unknown"]))
+    return rows.withColumns({"is_exported": F.col("exported_path").isNotNull(), "client_key": client_key(settings), "type_label": label})
+
+
 def part() -> Column:
     """Which part of a batch a row is in: failed, exported, pending (needs a review) or exportable."""
     return F.when(F.col("error").isNotNull(), "failed").when(F.col("exported_path").isNotNull(), "exported").when(F.col("requires_review"), "pending").otherwise("exportable")

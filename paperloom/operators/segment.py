@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.rules import CATALOGUE, DocType
 from .classify import classify
@@ -48,33 +53,96 @@ def reclassified(found: DataFrame, catalogue: tuple[DocType, ...] = CATALOGUE) -
     return again.withColumns({"document_type": kind, "keyword_confidence": sure}).drop("whole_type", "whole_confidence", "best2", "second2")
 
 
+class _Strays:
+    """Pages that no segment holds, as ranges in order, looked at from left to right."""
+
+    def __init__(self):
+        self.ranges: deque[tuple[int, int]] = deque()
+        self.before = 0
+
+    def add(self, low: int, high: int) -> None:
+        if low <= high:
+            self.ranges.append((low, high))
+
+    def first_from(self, page: int) -> int | None:
+        """The first one from a page on; `before` is then the last one before it, 0 if there is none."""
+        while self.ranges and self.ranges[0][1] < page:
+            self.before = self.ranges.popleft()[1]
+        if not self.ranges:
+            return None
+        low, high = self.ranges[0]
+        found = max(low, page)
+        if found > low:
+            self.before = found - 1
+        return found
+
+
+def _attached(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Segments of documents in order, without overlaps, with the pages that none holds attached: one by one, each to the segment whose start is nearest, the earlier one
+    in doubt, which moves that start. So a segment starts at the first such page past the middle between its start and the new start of the one before,
+    and the pages up to there are the other's. A row waits for the next one."""
+    doc, start, last, pages, seg, waiting, strays = None, 0, 0, 0, 0, None, _Strays()
+
+    def end() -> int:
+        return max(last, strays.before if strays.before >= start else 0)
+
+    def final() -> int:
+        strays.add(last + 1, pages)
+        strays.first_from(pages + 1)
+        return end()
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        starts, numbers, ends = [], [], []
+        for d, b, e, n in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "start_page", "end_page", "_n")), strict=True):
+            if seg and d == doc:
+                strays.add(last + 1, b - 1)
+                moved = strays.first_from((start + b) // 2 + 1)
+                ends.append(end())
+                seg, start = seg + 1, b if moved is None else moved
+            else:
+                if seg:
+                    ends.append(final())
+                seg, start, strays = 1, 1, _Strays()
+                strays.add(1, b - 1)
+            starts.append(start)
+            numbers.append(seg)
+            doc, last, pages = d, e, n
+        made = pa.RecordBatch.from_arrays([*batch.columns, pa.array(starts, pa.int32()), pa.array(numbers, pa.int32())], [*batch.schema.names, "_start", "_seg"])
+        if waiting is not None:
+            made = pa.Table.from_batches([waiting, made]).combine_chunks().to_batches()[0]
+        yield _with_ends(made.slice(0, len(ends)), ends)
+        waiting = made.slice(len(ends))
+    if waiting is not None:
+        yield _with_ends(waiting, [final()])
+
+
+def _with_ends(batch: pa.RecordBatch, ends: list[int]) -> pa.RecordBatch:
+    names = [c for c in batch.schema.names if c not in ("doc_id", "start_page", "end_page", "_n", "_start", "_seg")]
+    columns = [batch.column("doc_id"), batch.column("_seg"), batch.column("_start"), pa.array(ends, pa.int32()), *(batch.column(c) for c in names)]
+    return pa.RecordBatch.from_arrays(columns, ["doc_id", "seg_no", "start_page", "end_page", *names])
+
+
 def repaired(proposed: DataFrame, pages: DataFrame) -> DataFrame:
     """Proposed segments (doc_id, start_page, end_page, ...) clamped, without overlaps, and with no page left out.
 
-    pages: doc_id, page_count. The fold runs over one document's sorted segments, as one expression.
+    pages: doc_id, page_count. A segment starts after the furthest end of those before it, which is a running maximum; one that nothing is left of goes. Then one pass in order
+    attaches the pages between. Both take time linear in a document's segments, whatever its pages.
     """
-    fields = [c for c in proposed.columns if c != "doc_id"]
-    listed = proposed.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start_page", "end_page", *(c for c in fields if c not in ("start_page", "end_page"))))).alias("s"))
-    rest = [c for c in fields if c not in ("start_page", "end_page")]
-    n = F.col("page_count")
-    make = lambda s, a, b: F.struct(a.cast("int").alias("start_page"), b.cast("int").alias("end_page"), *(s[c].alias(c) for c in rest))
-    clamp = lambda s: make(s, F.greatest(F.lit(1), F.least(s["start_page"], n)), F.greatest(F.greatest(F.lit(1), F.least(s["start_page"], n)), F.least(s["end_page"], n)))
-
-    def add(done: Column, s: Column) -> Column:
-        last = F.try_element_at(done, F.lit(-1))["end_page"]
-        start = F.when(s["start_page"] <= last, last + 1).otherwise(s["start_page"])
-        return F.when(start > s["end_page"], done).otherwise(F.concat(done, F.array(make(s, start, s["end_page"]))))
-
-    kept = F.aggregate(F.transform("s", clamp), F.slice(F.transform("s", clamp), 1, 0), add)
-    out = listed.join(pages, "doc_id").withColumn("s", kept)
-
-    def attach(segs: Column, page: Column) -> Column:
-        near = F.array_min(F.transform(segs, lambda s, i: F.struct(F.abs(s["start_page"] - page).alias("d"), i.alias("i"))))["i"]
-        return F.transform(segs, lambda s, i: F.when(i == near, make(s, F.least(s["start_page"], page), F.greatest(s["end_page"], page))).otherwise(s))
-
-    stray = F.filter(F.sequence(F.lit(1), n), lambda p: ~F.exists("s", lambda s: p.between(s["start_page"], s["end_page"])))
-    out = out.withColumn("s", F.aggregate(stray, F.col("s"), attach))
-    return out.select("doc_id", F.posexplode("s").alias("_n", "x")).select("doc_id", (F.col("_n") + 1).alias("seg_no"), "x.*")
+    rest = [c for c in proposed.columns if c not in ("doc_id", "start_page", "end_page")]
+    order = Window.partitionBy("doc_id").orderBy("start_page", "end_page", *rest)
+    x = proposed.join(pages.select("doc_id", F.col("page_count").cast("int").alias("_n")), "doc_id")
+    start = F.greatest(F.lit(1), F.least("start_page", "_n"))
+    x = x.withColumns({"_a": start, "_z": F.greatest(start, F.least("end_page", "_n")), "_order": F.row_number().over(order)})
+    by_place = Window.partitionBy("doc_id").orderBy("_order").rowsBetween(Window.unboundedPreceding, -1)
+    x = x.withColumn("_a", F.greatest("_a", F.coalesce(F.max("_z").over(by_place) + 1, F.col("_a")))).where("_a <= _z")
+    x = x.select("doc_id", F.col("_a").cast("int").alias("start_page"), F.col("_z").cast("int").alias("end_page"), "_n", *rest, "_order")
+    x = x.repartition("doc_id").sortWithinPartitions("doc_id", "_order").drop("_order")
+    fields = "seg_no int, start_page int, end_page int"
+    kinds = {f.name: f for f in x.schema}
+    schema = StructType([kinds["doc_id"], *StructType.fromDDL(fields).fields, *(kinds[c] for c in rest)])
+    return x.mapInArrow(_attached, schema)
 
 
 def checked_ranges(ranges: DataFrame) -> DataFrame:

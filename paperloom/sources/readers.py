@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.rules import Settings
-from ..functions.text import needs_ocr
+from ..functions.text import char_count, needs_ocr
 
 PAGES = "doc_id string, page_no int, text string, source string, headings array<string>, error string"
 
@@ -142,13 +142,9 @@ def paged(table: DataFrame, doc: str, page: str, text: str, first: int = 0) -> D
     return table.select(F.col(doc).alias("doc_id"), (F.col(page) + (1 - first)).cast("int").alias("page_no"), F.col(text).alias("text"), F.array().cast("array<string>").alias("headings"))
 
 
-def listing(spark: SparkSession, folder: str, recursive: bool = True) -> DataFrame:
-    """Files by client folder: client_key, n_documents, names in order."""
-    found = files(spark, folder, "*", recursive).select("path", "name")
-    return by_client(found)
-
-
-def by_client(found: DataFrame) -> DataFrame:
-    """Files (path, name) by the folder that they are in: client_key, n_documents, names in order."""
-    keyed = found.withColumn("client_key", F.element_at(F.split("path", "/"), -2))
-    return keyed.groupBy("client_key").agg(F.count("*").alias("n_documents"), F.sort_array(F.collect_list("name")).alias("names"))
+def document_totals(pages: DataFrame) -> DataFrame:
+    """By document of pages (doc_id, text, source): n_chars without white space, the engines that read it, and whether any read a picture."""
+    own = F.col("source").isin("text", "empty")
+    return pages.groupBy("doc_id").agg(
+        F.sum(char_count(F.col("text")).cast("bigint")).alias("n_chars"), F.array_sort(F.collect_set("source")).alias("engines"), F.coalesce(F.bool_or(~own), F.lit(False)).alias("ocr_used")
+    )

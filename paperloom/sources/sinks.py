@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from datetime import datetime
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.rules import Settings
@@ -63,6 +65,11 @@ def archive_name(name: str) -> str:
     return name if name.endswith(".zip") else f"{name}.zip"
 
 
+def archive_of_all(manifest: DataFrame, at: datetime) -> DataFrame:
+    """The entries of all clients' archive, with its name: AllClients_, the day and the minute."""
+    return archive_manifest(manifest).withColumn("archive", F.lit(archive_name(f"AllClients_{at:%Y%m%d_%H%M}")))
+
+
 def export_status(rows: DataFrame) -> DataFrame:
     """rows (error, target_dir, exported_path) with exported_path and failure: what failed earlier stays out, what was exported
     before keeps its place, the rest goes to its target."""
@@ -72,8 +79,13 @@ def export_status(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"exported_path": F.when(~failed, path), "failure": F.when(failed, why)})
 
 
+def tally_columns(failure: Column) -> dict[str, Column]:
+    """What was exported and what was not, as aggregates by name."""
+    return {"exported": F.count_if(failure.isNull()), "failures": F.count_if(failure.isNotNull())}
+
+
 def export_tally(status: DataFrame) -> DataFrame:
-    return status.agg(F.count_if(F.col("failure").isNull()).alias("exported"), F.count_if(F.col("failure").isNotNull()).alias("failures"))
+    return status.agg(*(c.alias(k) for k, c in tally_columns(F.col("failure")).items()))
 
 
 def write(manifest: DataFrame, folder: str) -> None:

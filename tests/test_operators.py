@@ -1,6 +1,7 @@
 """Single operators on small rows, with edges and properties."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -130,6 +131,67 @@ def test_repaired_segments_cover_each_page_once(spark):
         assert pages == set(range(1, n + 1))
 
 
+def folded(segs, n):
+    """Segments repaired one by one, and pages that none holds attached one by one."""
+    out = []
+    for a, z, v in sorted(segs):
+        a = max(1, min(a, n))
+        z = max(a, min(z, n))
+        if out and a <= out[-1][1]:
+            a = out[-1][1] + 1
+        if a <= z:
+            out.append([a, z, v])
+    for p in [p for p in range(1, n + 1) if not any(a <= p <= z for a, z, _ in out)]:
+        near = min(out, key=lambda s: abs(s[0] - p))
+        near[0], near[1] = min(near[0], p), max(near[1], p)
+    return [tuple(s) for s in out]
+
+
+def test_repairs_equal_a_fold(spark):
+    rnd = random.Random(9)
+    docs = {}
+    for d in range(150):
+        n = rnd.randint(1, 60)
+        docs[d] = (n, [(a, a + rnd.randint(-1, 5), rnd.choice("xyz")) for a in (rnd.randint(-1, n + 2) for _ in range(rnd.randint(1, 9)))])
+    rows = [(d, a, z, v) for d, (_, segs) in docs.items() for a, z, v in segs]
+    rnd.shuffle(rows)
+    frame = spark.createDataFrame(rows, "doc_id int, start_page int, end_page int, v string").repartition(4)
+    got = {}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        found = segment.repaired(frame, spark.createDataFrame([(d, n) for d, (n, _) in docs.items()], "doc_id int, page_count int")).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for r in sorted(found, key=lambda r: (r.doc_id, r.seg_no)):
+        got.setdefault(r.doc_id, []).append((r.start_page, r.end_page, r.v))
+        assert r.seg_no == len(got[r.doc_id])
+    assert got == {d: folded(segs, n) for d, (n, segs) in docs.items()}
+
+
+def test_a_document_of_many_pages_is_repaired_fast(spark):
+    n = 100_000
+    rows = spark.range(40_000).select(F.lit("d").alias("doc_id"), (F.col("id") * 5 % n).cast("int").alias("start_page"), (F.col("id") * 5 % n + F.col("id") % 7).cast("int").alias("end_page"))
+    began = time.perf_counter()
+    found = segment.repaired(rows, spark.createDataFrame([("d", n)], "doc_id string, page_count int")).agg(F.min("start_page").alias("a"), F.max("end_page").alias("z"), F.count("*").alias("k")).first()
+    assert found.a == 1 and found.z == n and found.k > 10_000 and time.perf_counter() - began < 30
+
+
+def test_dates_after_hints_equal_windows(spark):
+    """Also where a window's end cuts a date or the digits of something longer, and where one stands before a hint."""
+    rnd = random.Random(12)
+    bits = ["valid until", "expires", "12.03.2026", "1.2.27", "2031-05-06", "12 expires 2026", "99.99.2020", "31/12/1999", "15 May 2030", "123.456", "12.03.20266", "x", ",", "gültig bis", "\n", "7.8.2029a"]
+    texts = [" ".join(rnd.choice(bits) for _ in range(rnd.randint(0, 14))) for _ in range(150)]
+    texts += ["expires" + " " * (k + 90) + "12.03.2026 and 4.5.2028" for k in range(30)] + ["valid until " + "y" * (100 + k) + " 12.03.20266" for k in range(12)] + [None, ""]
+    frame = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    # each hint's window read by itself
+    hint = lambda h: F.when(F.instr(F.lower("text"), h) > 0, F.try_element_at(dates.find_dates(F.substr("text", F.instr(F.lower("text"), h), F.lit(120))), F.lit(1)))
+    plain = F.coalesce(*(hint(h) for h in rules.EXPIRY_HINTS))
+    late = F.array_max(F.filter(dates.find_dates(F.col("text")), lambda d: F.year(d) >= 2000))
+    out = frame.select("i", dates.find_expiry(F.col("text")).alias("x"), dates.show_date(F.coalesce(plain, late)).alias("value"), F.when(plain.isNotNull(), "label").when(late.isNotNull(), "guessed").alias("kind")).collect()
+    assert [(r.i, r.x.value, r.x.kind) for r in out] == [(r.i, r.value, r.kind) for r in out]
+    assert {r.kind for r in out} == {"label", "guessed", None}
+
+
 def test_demo_documents(spark):
     pages = demo.pages(spark)
     batches = pages.select("doc_id").distinct().select("doc_id", F.col("doc_id").alias("batch_id"), F.lit(1).alias("upload_no"))
