@@ -573,6 +573,16 @@ def test_whole_licenses(spark):
     assert found == want | {(200, "MIT", "paragraphs", 1)}
 
 
+@pytest.mark.parametrize("name", ["BSD-3-Clause", "BSL-1.0", "Unlicense", "Zlib"])
+def test_headers_belong_to_their_licence(spark, name):
+    """The whole text, under a copyright header with its reservation of rights, within other text; such a line by itself is a notice."""
+    body = next(t for k, t in [(k, t) for k, v in licenses.KNOWN.items() for t in v] + [(r.license, r.text) for r in licenses.builtin(spark).collect()] if k == name and len(t) > 500)
+    head = "Copyright (c) 2016, Some One\nAll rights reserved.\n\n"
+    rows = [(1, body), (2, head + body), (3, f"about this program\n\n{head}{body}\n\nthe end"), (4, "All rights reserved.\nnothing else"), (5, "Copyright 2020 X\nAll Rights Reserved"), (6, body.replace("is", "was", 1))]
+    got = {(r.doc_id, r.license, r.unit) for r in licenses.licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, name, "text"), (2, name, "text"), (3, name, "paragraphs"), (4, "all-rights-reserved", "line")}
+
+
 def remaining(rows, width):
     seen, out = set(), {}
     for i, t in rows:
