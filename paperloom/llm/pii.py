@@ -7,7 +7,9 @@ patterns and values:
 
 1. *Induction.* A pattern with SUPPORT distinct seeds or more is promising.
 2. *Gate.* All texts are counted for the promising patterns: at least one occurrence in FILL must hold a seed, which drops the
-   contexts of ordinary words before their fillers are gathered.
+   contexts of ordinary words before their fillers are gathered, and at least one must hold none, as else there is nothing to find.
+   The first value that becomes known needs a pattern that is confident by its seeds alone, which with s of them and one other value it is at best by
+   `lower_bound(s, s + 1)`. Where no pattern reaches that, nothing can be found, and the search ends there: an exact end, before the texts are read again.
 3. *Graph.* All fillers of the patterns left are gathered: (pattern, value, context).
 4. *Scores.* A pattern's confidence in a kind is the lower bound (Wilson, Z deviations) of the share of its distinct values that are
    known to be of the kind. A value without a rule gets, for each kind, the noisy-or over its contexts of the best confident
@@ -133,16 +135,26 @@ def _maybe(h: Column) -> Column:
 
 
 def promising(seeds: DataFrame) -> DataFrame:
-    """(pattern, seeds): occurrences with a seed of the patterns that have SUPPORT distinct seeds."""
+    """(pattern, support, seeds): distinct seeds and occurrences with one, of the patterns that have SUPPORT distinct seeds."""
     by_value = seeds.select("value", F.explode("patterns").alias("pattern")).groupBy("pattern", "value").agg(F.count("*").alias("n"))
-    return by_value.groupBy("pattern").agg(F.count("*").alias("support"), F.sum("n").alias("seeds")).where(F.col("support") >= SUPPORT).select("pattern", "seeds")
+    return by_value.groupBy("pattern").agg(F.count("*").alias("support"), F.sum("n").alias("seeds")).where(F.col("support") >= SUPPORT)
+
+
+def hopeless(patterns: DataFrame) -> bool:
+    """Whether none of the patterns can be confident while it holds a value that is not known."""
+    return patterns.where(lower_bound(F.col("support"), F.col("support") + 1) >= CONFIDENT).isEmpty()
 
 
 def gated(slots: DataFrame, patterns: DataFrame) -> DataFrame:
-    """Those of the patterns whose occurrences hold a seed once in FILL at least."""
-    every = slots.select(F.explode("patterns").alias("pattern")).crossJoin(_bitmap(patterns)).where(_maybe(F.col("pattern")))
+    """Those of the patterns whose occurrences hold a seed once in FILL at least, and not always."""
+    each = [F.col("patterns")[k] for k in range(5)]
+    wanted = _maybe(each[0])
+    for h in each[1:]:
+        wanted = wanted | _maybe(h)
+    rows = slots.select("patterns").crossJoin(_bitmap(patterns)).where(wanted)
+    every = rows.select(F.explode(F.array_compact(F.array(*(F.when(_maybe(h), h) for h in each)))).alias("pattern"))
     met = every.groupBy("pattern").agg(F.count("*").alias("all"))
-    return patterns.join(met, "pattern").where(F.col("seeds") * FILL >= F.col("all")).select("pattern")
+    return patterns.join(met, "pattern").where((F.col("seeds") * FILL >= F.col("all")) & (F.col("seeds") < F.col("all"))).select("pattern", "support")
 
 
 def fillers(slots: DataFrame, patterns: DataFrame) -> DataFrame:
@@ -219,7 +231,12 @@ def find_pii(docs: DataFrame) -> DataFrame:
     some = _slots(texts.where(F.col("_text").rlike("[0-9@]")))
     seeds = some.where(F.col("_unit").rlike("[0-9@]")).withColumn("value", value_of(F.col("_unit")))
     patterns = stored(promising(seeds.where(_kind(F.col("value")).isNotNull())), "pii-promising")
+    if hopeless(patterns):
+        return base.withColumn("found", F.col("base"))
     patterns = stored(gated(slots, patterns), "pii-gated")
+    if hopeless(patterns):
+        return base.withColumn("found", F.col("base"))
+    patterns = patterns.select("pattern")
     units = stored(fillers(slots, patterns), "pii-units")
     every = units.select(F.explode("patterns").alias("pattern"), "value", "context", "kind").distinct()
     known, confident = bootstrap(stored(every.join(patterns, "pattern", "left_semi"), "pii-edges"))
