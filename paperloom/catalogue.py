@@ -790,6 +790,28 @@ def unique_names_beside_stored(spark, sf):
     return x.select("id", F.concat_ws("/", "folder", "unique_name").alias("placed"))
 
 
+#: Names for `unique_names_mixed` by c_custkey: three of seven are plain, three look numbered, one is numbered twice; the first suppliers of a nation hold names already.
+_MIXED = """CASE c_custkey % 7 WHEN 3 THEN 'x (' || (c_custkey % 13 + 2) || ').pdf' WHEN 4 THEN 'x (' || (c_custkey % 5 + 2) || ').pdf' WHEN 5 THEN 'x (0' || (c_custkey % 3) || ').pdf' WHEN 6 THEN 'x (2) (' || (c_custkey % 3 + 2) || ').pdf' ELSE 'x.pdf' END"""
+
+
+@query(f"""WITH RECURSIVE v AS (SELECT row_number() OVER (ORDER BY c_custkey) AS i, c_custkey, CAST(c_nationkey AS VARCHAR) AS folder, {_MIXED} AS name FROM customer),
+    o AS (SELECT *, regexp_replace(name, '\\.[^.]*$', '') AS stem FROM v), t AS (SELECT DISTINCT s_nationkey || '/x (' || (s_suppkey % 9 + 1) || ').pdf' AS n FROM supplier WHERE s_suppkey % 3 = 0),
+    fold(i, taken, id, pick) AS (SELECT 0, (SELECT coalesce(list(n), []) FROM t), CAST(NULL AS BIGINT), '' UNION ALL
+      SELECT i, list_append(taken, free), c_custkey, free FROM (SELECT o.i, o.c_custkey, f.taken, list_filter(list_transform(range(1, 400), lambda k: o.folder || '/' || o.stem || CASE WHEN k > 1 THEN ' (' || k || ')' ELSE '' END || '.pdf'),
+        lambda c: NOT list_contains(f.taken, c))[1] AS free FROM fold f JOIN o ON o.i = f.i + 1))
+    SELECT id AS c_custkey, pick AS placed FROM fold WHERE i > 0""")
+def unique_names_mixed(spark, sf):
+    """Customers as files in the folder of their nation, whose names are plain, or numbered already, or stored."""
+    key = F.col("c_custkey")
+    number = lambda x: F.concat(F.lit("x ("), x.cast("string"), F.lit(").pdf"))
+    name = F.when(key % 7 == 3, number(key % 13 + 2)).when(key % 7 == 4, number(key % 5 + 2)).when(key % 7 == 5, F.concat(F.lit("x (0"), (key % 3).cast("string"), F.lit(").pdf")))
+    name = name.when(key % 7 == 6, F.concat(F.lit("x (2) ("), (key % 3 + 2).cast("string"), F.lit(").pdf"))).otherwise("x.pdf")
+    x = table(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").cast("string").alias("folder"), name.alias("name"))
+    there = table(spark, sf, "supplier").where("s_suppkey % 3 = 0").select(F.col("s_nationkey").cast("string").alias("folder"), number(F.col("s_suppkey") % 9 + 1).alias("name"))
+    named = naming.numbered(x, "folder", "name", "c_custkey", there)
+    return named.select("c_custkey", F.concat_ws("/", "folder", "unique_name").alias("placed"))
+
+
 _FILED = """m AS (SELECT conv_id, turn, trim(regexp_replace(role, '[<>:"/|?*_]', ' ', 'g')) AS role FROM conversations WHERE length(text) >= 60),
     k AS (SELECT *, row_number() OVER (PARTITION BY role ORDER BY conv_id, turn) AS k FROM m),
     f AS (SELECT replace(role, ' ', '') || '_UNKNOWN' AS client_key, '03_CV_' || role || '_UNKNOWN_UNKNOWN' || CASE WHEN k > 1 THEN ' (' || k || ')' ELSE '' END || '.pdf' AS name FROM k)"""
@@ -1058,12 +1080,28 @@ def conversations_with_model(spark, sf):
     return found.select("doc_id", "start_page", "end_page", "document_type", "last_name", "confidence", "source")
 
 
-@query()
+@query("""WITH t AS (SELECT conv_id, turn, 2 * (turn // 6) + CASE WHEN turn % 6 < 2 THEN 1 ELSE 2 END AS seg_no, CASE WHEN turn % 6 < 2 THEN '12_payslip' ELSE '03_cv' END AS document_type FROM conversations),
+    s AS (SELECT conv_id, seg_no, document_type, CAST(min(turn) + 1 AS INTEGER) AS start_page, CAST(max(turn) + 1 AS INTEGER) AS end_page, document_type = '12_payslip' AND conv_id % 5 = 0 AS short FROM t GROUP BY ALL),
+    n AS (SELECT *, 'Wolf' || chr(CAST(97 + conv_id % 26 AS INTEGER)) AS last_name, 'Lumen ' || chr(CAST(65 + conv_id % 26 AS INTEGER)) AS company,
+      CASE WHEN short THEN '12_payslip' WHEN document_type = '03_cv' THEN '03_CV' ELSE '12_payslip_2026-03' END AS label FROM s),
+    d AS (SELECT *, CASE WHEN short THEN 'review/' ELSE 'Clients/' END || last_name || '_Ada' AS target_dir, label || '_' || last_name || '_Ada_' || company AS stem FROM n),
+    k AS (SELECT *, row_number() OVER (PARTITION BY target_dir, stem ORDER BY conv_id, seg_no) AS k FROM d)
+    SELECT conv_id AS doc_id, seg_no, start_page, end_page, document_type, last_name, company, CAST(CASE WHEN short AND start_page = end_page THEN 0.475 WHEN short THEN 0.55 ELSE 0.92 END AS DOUBLE) AS confidence,
+      CASE WHEN short THEN 'REVIEW REQUIRED' ELSE 'READY' END AS status, CASE WHEN short THEN 'period: payslip period (YYYY-MM) required; confidence: ' || CASE WHEN start_page = end_page THEN '48' ELSE '55' END || '% is below the 90% threshold' ELSE 'no issues' END AS summary,
+      target_dir, stem || CASE WHEN k > 1 THEN ' (' || k || ')' ELSE '' END || '.pdf' AS unique_name FROM k""")
 def conversations_analysed(spark, sf):
-    """The whole analysis over a table: conversations as paged documents, a batch for each third of them."""
+    """The whole analysis over a table: conversations as paged documents, a batch for each third of them.
+
+    Of six turns the first two are payslips, the next two CVs without a company, which comes from the batch, and the last two keep their text and go with the CV. The
+    payslips of every fifth conversation lack their period; those of one page have fewer keywords.
+    """
     pages = turns(spark, sf)
+    key, part = F.col("doc_id"), (F.col("page_no") - 1) % 6
+    who = F.concat(F.lit("\nSurname: Wolf"), F.chr(97 + key % 26), F.lit("\nGiven names: Ada\n"))
+    slip = F.concat(F.lit("Gehaltsabrechnung payslip"), who, F.lit("Employer: Lumen "), F.chr(65 + key % 26), F.when(key % 5 == 0, "").otherwise("\nAbrechnungsmonat: 03/2026"))
+    pages = pages.withColumn("text", F.when(part < 2, slip).when(part < 4, F.concat(F.lit("Curriculum vitae lebenslauf"), who)).otherwise(F.col("text")))
     batches = pages.select("doc_id").distinct().select("doc_id", (F.col("doc_id") % 3).alias("batch_id"), F.col("doc_id").alias("upload_no"))
-    return analyse.analysed(pages, batches, S).select("doc_id", "seg_no", "start_page", "end_page", "document_type", "last_name", "company", "confidence", "status", "target_dir", "unique_name")
+    return analyse.analysed(pages, batches, S).select("doc_id", "seg_no", "start_page", "end_page", "document_type", "last_name", "company", "confidence", "status", "summary", "target_dir", "unique_name")
 
 
 @query(_SEGMENTS + f""", again AS (WITH {_AGAIN} SELECT * FROM top),
