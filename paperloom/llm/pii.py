@@ -147,12 +147,8 @@ def hopeless(patterns: DataFrame) -> bool:
 
 def gated(slots: DataFrame, patterns: DataFrame) -> DataFrame:
     """Those of the patterns whose occurrences hold a seed once in FILL at least, and not always."""
-    each = [F.col("patterns")[k] for k in range(5)]
-    wanted = _maybe(each[0])
-    for h in each[1:]:
-        wanted = wanted | _maybe(h)
-    rows = slots.select("patterns").crossJoin(_bitmap(patterns)).where(wanted)
-    every = rows.select(F.explode(F.array_compact(F.array(*(F.when(_maybe(h), h) for h in each)))).alias("pattern"))
+    # exploded first, so that the map is needed by the condition of the join alone, and no row carries it on
+    every = slots.select(F.explode("patterns").alias("pattern")).crossJoin(_bitmap(patterns)).where(_maybe(F.col("pattern")))
     met = every.groupBy("pattern").agg(F.count("*").alias("all"))
     return patterns.join(met, "pattern").where((F.col("seeds") * FILL >= F.col("all")) & (F.col("seeds") < F.col("all"))).select("pattern", "support")
 
