@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import file_encoder
-from .shared import partitions, small, stored
+from .shared import done_with, partitions, small, stored
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, ids binary"
 
@@ -157,4 +157,7 @@ def place(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
 def pack(docs: DataFrame, path: str, capacity: int = 1024, end: int = 2, with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of each piece, with_ids also its ids."""
     pieces = encode_pieces(docs, path, capacity, end, with_ids)
-    return place(stored(pieces if with_ids else pieces.drop("ids"), "pieces"), capacity)
+    pieces = stored(pieces if with_ids else pieces.drop("ids"), "pieces")
+    out = place(pieces, capacity)  # which has stored them anew
+    done_with(pieces)
+    return out

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bind, keeps_columns, split_words, stored, whole_text
+from .shared import bind, done_with, keeps_columns, split_words, stored, whole_text
 
 FENCE, PRIOR = 8.0, 100.0
 #: For each measure how many occurrences of what it counts are always allowed in a text of median size, and by which count it divides.
@@ -137,7 +137,10 @@ def quality(docs: DataFrame) -> DataFrame:
 
 @keeps_columns
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of docs that pass. The rows are stored with their measures, so that each text is measured once."""
+    """The rows of docs that pass. Only the measures are stored, for their thresholds; each text is measured once more where it is judged, so no text is
+    written or shuffled, and what stays behind is small."""
+    measured = stored(_measured(docs.select("text", "lang", "source"), []), "quality")
+    limits = stored(thresholds(measured), "quality-limits")
+    done_with(measured)
     whole = docs.withColumn("_row", F.struct(*docs.columns)).select("text", "lang", "source", "_row")
-    measured = stored(_measured(whole, ["_row"]), "quality")
-    return _judged(measured, stored(thresholds(measured.drop("_row")), "quality-limits")).where("kept").select("_row.*")
+    return _judged(_measured(whole, ["_row"]), limits).where("kept").select("_row.*")
