@@ -14,6 +14,8 @@ _OTHER = r"\t-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u30
 WS = rf"[ {_OTHER}]+"
 #: Runs that are not one plain space: what squeezing has to change, which in most texts is little.
 _UNEVEN = rf"[{_OTHER}][ {_OTHER}]*+|\x20[ {_OTHER}]++"
+#: The spaces of all scripts, without line breaks and tabs: what SQL's trim takes off.
+SPACES = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 ANY = "(?iuU)"
 
 

@@ -48,8 +48,8 @@ def company(text: Column, kind: Column) -> Column:
     return F.coalesce(*map(after, EMPLOYER_SECTIONS), F.try_element_at(companies(text), F.lit(1)))
 
 
-def first_lines(text: Column, n: int) -> Column:
-    return F.slice(F.split(text, r"\r\n|\n|\r", -1), 1, n)
+def first_lines(text: Column, n: int, breaks: str = r"\r\n|\n|\r") -> Column:
+    return F.slice(F.split(text, breaks, -1), 1, n)
 
 
 def person(headings: Column, text: Column) -> Column:
@@ -70,7 +70,8 @@ def title(headings: Column, text: Column) -> Column:
     fits = lambda x: ~is_person(x) & ~is_title_noise(x)
     words = lambda x: F.size(F.split(x, " "))
     of = lambda a, most: F.try_element_at(F.filter(F.transform(F.filter(a, fits), normalise_title), lambda x: x.isNotNull() & words(x).between(2, most)), F.lit(1))
-    lines = F.filter(F.transform(first_lines(text, 6), F.trim), lambda x: x != "")
+    # in a lambda of its own, as F.trim would take the line's number for the characters to trim
+    lines = F.filter(F.transform(first_lines(text, 6), lambda x: F.trim(x)), lambda x: x != "")
     return let(
         F.struct(of(headings, 1000).alias("h"), of(lines, 8).alias("t")),
         lambda p: F.struct(F.coalesce(p["h"], p["t"]).alias("value"), F.when(p["h"].isNotNull(), "heading").when(p["t"].isNotNull(), "first_lines").alias("kind")),
