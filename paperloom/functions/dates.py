@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import NamedTuple
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -49,35 +52,85 @@ def show_date(d: Column) -> Column:
     return F.date_format(d, "dd.MM.yyyy")
 
 
-def find_dates(c: Column) -> Column:
+_WORD, _BLANK = "[0-9A-Za-z_]", r" \t\n\f\r"
+_PERIODS = r"(0?[1-9]|1[0-2])\s?[./-]\s?(20\d{2})", r"(20\d{2})\s?[./-]\s?(0?[1-9]|1[0-2])"
+
+
+def _plain(body: str) -> str:
+    """A pattern between digits' ends, with classes of ASCII, as SQL engines read it."""
+    return rf"(?<!{_WORD}){body.replace('/' + chr(92) + 's]', f'/{_BLANK}]').replace(chr(92) + 's?', f'[{_BLANK}]?')}(?!{_WORD})"
+
+
+def parse_plain_date(c: Column) -> Column:
+    """The date of three numbers as SQL's strptime reads it: years of fewer than four digits are taken as they stand, names of months are not read."""
+
+    def of(shape: str, y: int, m: int, d: int, v: Column, n: Column) -> Column:
+        return F.when(v.rlike(f"^{shape}$"), F.concat(F.lpad(n[y], 4, "0"), F.lit("-"), n[m], F.lit("-"), n[d]).try_cast("date"))
+
+    short, year = r"\d{1,2}", r"\d{1,4}"
+    last = lambda sep: sep.join((short, short, year))
+    first = lambda sep: sep.join((year, short, short))
+    read = lambda v, n: F.coalesce(
+        of(last(r"\."), 2, 1, 0, v, n), of(first("-"), 0, 1, 2, v, n), of(last("/"), 2, 1, 0, v, n), of(last("-"), 2, 1, 0, v, n),
+        of(first("/"), 0, 1, 2, v, n), of(last(f"[{_BLANK}]"), 2, 1, 0, v, n), of(last("/"), 2, 0, 1, v, n),
+    )
+    return let(c, lambda v: let(F.split(v, "[^0-9]"), lambda n: read(v, n)))
+
+
+class Reading(NamedTuple):
+    """How dates in texts are read."""
+
+    dates: str
+    parse: Callable[[Column], Column]
+    #: Two characters, where cutting after the first one may make a date.
+    cut: str
+    periods: str
+    lower: Callable[[Column], Column]
+
+
+#: As the reference does: all scripts, names of months, years of two or four digits.
+FULL = Reading("(?U)" + DATES, parse_date, r"(?U)^\d\w", "(?U)" + "|".join(rf"\b{p}\b" for p in _PERIODS), F.lower)
+#: As the queries' SQL does; its lower case of a letter is one letter.
+PLAIN = Reading(_plain(DATES[2:-2]), parse_plain_date, rf"^\d{_WORD}", "|".join(map(_plain, _PERIODS)), lambda c: F.lower(F.replace(c, F.lit("İ"), F.lit("i"))))
+
+
+def find_dates(c: Column, reading: Reading = FULL) -> Column:
     """All dates in a text that parse, in order."""
-    hits = F.regexp_extract_all(c, F.lit("(?U)" + DATES), F.lit(0))
-    return F.filter(F.transform(hits, parse_date), lambda d: d.isNotNull())
+    hits = F.regexp_extract_all(c, F.lit(reading.dates), F.lit(0))
+    return F.filter(F.transform(hits, reading.parse), lambda d: d.isNotNull())
+
+
+def _day_first(d: Column) -> Column:
+    """Also of the year 0, which formats write as year 1 of an era."""
+    return F.concat(F.date_format(d, "dd.MM."), F.lpad(F.year(d).cast("string"), 4, "0"))
+
+
+def _year_first(d: Column) -> Column:
+    return F.concat(F.lpad(F.year(d).cast("string"), 4, "0"), F.date_format(d, "-MM"))
 
 
-def normalise_period(c: Column) -> Column:
+def normalise_period(c: Column, reading: Reading = FULL) -> Column:
     """YYYY-MM of a period or date."""
 
     def parts(y: Column, m: Column) -> Column:
         return F.when(y != "", F.concat(y, F.lit("-"), F.lpad(m, 2, "0")))
 
-    month_first = r"(?U)\b(0?[1-9]|1[0-2])\s?[./-]\s?(20\d{2})\b|\b(20\d{2})\s?[./-]\s?(0?[1-9]|1[0-2])\b"
-    group = lambda n: F.regexp_extract(c, month_first, n)
+    group = lambda n: F.regexp_extract(c, reading.periods, n)
     return F.coalesce(
         F.when(c.rlike(r"^20\d{2}-(0[1-9]|1[0-2])$"), c), F.when(~c.rlike(r"^\d{1,2}[./-]\d{4}$"), F.date_format(parse_date(c), "yyyy-MM")),
         parts(group(2), group(1)), parts(group(3), group(4)),
     )
 
 
-def dates_at(text: Column) -> Column:
+def dates_at(text: Column, reading: Reading = FULL) -> Column:
     """What may be a date in a text, in order: structs (start, end, d) of 0-based positions and the date, null if it does not parse."""
-    pattern = "(?U)" + DATES
+    pattern = reading.dates
 
     def placed(hits: Column, pieces: Column) -> Column:
         # a hit starts after all pieces and hits before it
         before = lambda i: F.aggregate(F.slice(pieces, 1, i + 1), F.lit(0), lambda n, p: n + F.length(p)) + F.aggregate(F.slice(hits, F.lit(1), i), F.lit(0), lambda n, h: n + F.length(h))
         return F.transform(
-            hits, lambda h, i: let(before(i), lambda at: F.struct(at.alias("start"), (at + F.length(h)).alias("end"), parse_date(h).alias("d")))
+            hits, lambda h, i: let(before(i), lambda at: F.struct(at.alias("start"), (at + F.length(h)).alias("end"), reading.parse(h).alias("d")))
         )
 
     none = F.array().cast("array<struct<start:int,end:int,d:date>>")
@@ -87,42 +140,42 @@ def dates_at(text: Column) -> Column:
     )
 
 
-def _places(text: Column, hints: tuple[str, ...]) -> Column:
+def _places(text: Column, hints: tuple[str, ...], reading: Reading) -> Column:
     """Where the hints that a text holds first stand, 1-based, in the order of the hints."""
-    return let(F.lower(text), lambda low: F.filter(F.array(*(F.instr(low, h) for h in hints)), lambda at: at > 0))
+    return let(reading.lower(text), lambda low: F.filter(F.array(*(F.instr(low, h) for h in hints)), lambda at: at > 0))
 
 
-def next_date(text: Column, found: Column, at: Column, size: int) -> Column:
-    """The first date that parses within `size` characters from a place on. found: dates_at(text).
+def next_date(text: Column, found: Column, at: Column, size: int, reading: Reading = FULL) -> Column:
+    """The first date that parses within `size` characters from a place on. found: dates_at(text, reading).
 
     The dates of the text serve, unless the window's ends cut one, or a run of digits that makes one when it is cut: then the window is read by itself.
     """
     low, high = at - 1, at - 1 + size
     cut = F.exists(found, lambda x: ((x["start"] < low) & (low < x["end"])) | ((x["start"] < high) & (high < x["end"])))
-    cut = cut | F.substr(text, high, F.lit(2)).rlike(r"(?U)^\d\w")
+    cut = cut | F.substr(text, high, F.lit(2)).rlike(reading.cut)
     whole = F.get(F.filter(found, lambda x: (x["start"] >= low) & (x["end"] <= high) & x["d"].isNotNull()), F.lit(0))["d"]
-    return F.when(cut, F.try_element_at(find_dates(F.substr(text, at, F.lit(size))), F.lit(1))).otherwise(whole)
+    return F.when(cut, F.try_element_at(find_dates(F.substr(text, at, F.lit(size)), reading), F.lit(1))).otherwise(whole)
 
 
-def find_expiry(text: Column) -> Column:
+def find_expiry(text: Column, reading: Reading = FULL) -> Column:
     """A struct (value, kind): the first date after a hint, or the latest one as a guess. Each date of a text is parsed once."""
 
     def chosen(found: Column) -> Column:
-        hinted = F.get(F.filter(F.transform(_places(text, EXPIRY_HINTS), lambda at: next_date(text, found, at, 120)), lambda d: d.isNotNull()), F.lit(0))
+        hinted = F.get(F.filter(F.transform(_places(text, EXPIRY_HINTS, reading), lambda at: next_date(text, found, at, 120, reading)), lambda d: d.isNotNull()), F.lit(0))
         late = F.array_max(F.filter(F.transform(found, lambda x: x["d"]), lambda d: F.year(d) >= 2000))
         return let(
             F.struct(hinted.alias("h"), late.alias("l")),
-            lambda x: F.struct(show_date(F.coalesce(x["h"], x["l"])).alias("value"), F.when(x["h"].isNotNull(), "label").when(x["l"].isNotNull(), "guessed").alias("kind")),
+            lambda x: F.struct(_day_first(F.coalesce(x["h"], x["l"])).alias("value"), F.when(x["h"].isNotNull(), "label").when(x["l"].isNotNull(), "guessed").alias("kind")),
         )
 
-    return let(dates_at(text), chosen)
+    return let(dates_at(text, reading), chosen)
 
 
-def find_period(text: Column) -> Column:
+def find_period(text: Column, reading: Reading = FULL) -> Column:
     """A struct (value, kind): the first period after a hint, or that of the first date as a guess."""
-    near = F.transform(_places(text, PERIOD_HINTS), lambda at: normalise_period(F.substr(text, at, F.lit(60))))
+    near = F.transform(_places(text, PERIOD_HINTS, reading), lambda at: normalise_period(F.substr(text, at, F.lit(60)), reading))
     hinted = F.get(F.filter(near, lambda p: p.isNotNull()), F.lit(0))
-    first = F.date_format(F.try_element_at(find_dates(text), F.lit(1)), "yyyy-MM")
+    first = let(F.try_element_at(find_dates(text, reading), F.lit(1)), _year_first)
     return let(
         hinted,
         lambda h: F.struct(F.coalesce(h, first).alias("value"), F.when(h.isNotNull(), "label").when(first.isNotNull(), "guessed").alias("kind")),
