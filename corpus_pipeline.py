@@ -26,7 +26,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 2 for texts of 0.8 similarity or more over shingles of five words: of each group the smallest id stays."""
+    """Operator 2, and beside its links those of texts of 0.8 similarity or more over shingles of five words: of each group the smallest id stays."""
     return near.one_of_each(docs)
 
 

@@ -1,9 +1,10 @@
-"""Near copies for the pipeline: texts whose sets of word shingles have a Jaccard similarity of 0.8 or more.
+"""Near copies for the pipeline: operator 2's links, and those of texts whose sets of word shingles have a Jaccard similarity of 0.8 or more.
 
-A covering radius that reaches such pairs (their SimHashes differ in up to 11 of 64 bits and more) needs 4095 masks, or
-blocks of so few bits that every bucket is large. So candidates come from MinHash here: BANDS keys of ROWS minima each;
+Operator 2 runs first and whole: SimHashes over shingles of three words, covering masks, links at 2 or fewer bits. Most pairs at 0.8 are further apart; a covering
+radius that reaches them (their SimHashes differ in up to 11 of 64 bits and more) needs 4095 masks, or
+blocks of so few bits that every bucket is large. So more candidates come from MinHash: BANDS keys of ROWS minima each;
 a pair at similarity 0.8 misses all keys with a probability of 0.0004, a more similar pair with less. Every candidate is
-compared by its shingles (as 64-bit hashes), so nothing below 0.8 is linked.
+compared by its shingles (as 64-bit hashes), so these links hold nothing below 0.8. Groups are linked over both kinds of links.
 
 Equal sets of shingles are one node. In the first round each bucket compares its members with one member drawn by hash,
 which joins groups of copies without meeting in pairs. In the second, the members of buckets that are not all connected yet meet in clusters. Members of a
@@ -29,8 +30,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import components, done_with, keeps_columns, small, stored, with_row_ids
-from .simhash import shingle_hashes
+from .shared import components, done_with, keeps_columns, sifted, small, stored, with_row_ids
+from .simhash import near_duplicates, shingle_hashes
 
 SEED, BANDS, ROWS, SMALL = 42, 20, 5, 128
 #: Nodes of a block, and minima of two sketches that agree at least.
@@ -183,7 +184,9 @@ def _prefix_pairs(many: DataFrame, sets: DataFrame) -> DataFrame:
 def _cluster_links(few: DataFrame, many: DataFrame, narrow: DataFrame, words: int) -> DataFrame:
     """Links (a, b) among the members (key, id, root, n) of small and large buckets that are not all connected yet."""
     wanted = few.union(many).select("id", "root", "n").distinct()
-    texts = narrow.join(wanted, F.col("_rid") == F.col("id")).select("id", "root", "n", "text")
+    # only the texts that are wanted are shuffled
+    held = sifted(narrow, wanted.select(F.col("id").alias("_rid")), "_rid")
+    texts = held.join(wanted, F.col("_rid") == F.col("id")).select("id", "root", "n", "text")
     sets = stored(texts.mapInArrow(_sets(words), "id bigint, root bigint, n int, sets array<bigint>"), "near-sets")
     lead = few.groupBy("key").agg(F.min("id").alias("b"))
     near = few.join(lead, "key").where("id <> b").select(F.col("id").alias("a"), "b").distinct()
@@ -216,7 +219,7 @@ def _links(pairs: DataFrame, nodes: DataFrame, narrow: DataFrame, words: int) ->
     sketched = pairs.join(one, "a").join(other, "b").select("a", "b", "sa", "sb")
     alike = stored(sketched.mapInArrow(_alike, "a bigint, b bigint"), "near-alike")
     ids = alike.select(F.col("a").alias("_rid")).union(alike.select("b")).distinct()
-    texts = stored(narrow.join(ids, "_rid", "left_semi"), "near-texts")
+    texts = stored(sifted(narrow, ids, "_rid").join(ids, "_rid"), "near-texts")
     one, other = (texts.select(F.col("_rid").alias(c), F.col("text").alias(f"t{c}")) for c in "ab")
     both = alike.join(one, "a").join(other, "b").select("a", "b", "ta", "tb")
     out = stored(both.mapInArrow(_compared(words), "a bigint, b bigint"), "near-links")
@@ -224,12 +227,23 @@ def _links(pairs: DataFrame, nodes: DataFrame, narrow: DataFrame, words: int) ->
     return out
 
 
-def leads(docs: DataFrame, words: int = 5) -> DataFrame:
-    """(_rid) of the rows that stay. docs must have _rid. Only the table of these ids is left in the scratch folder."""
+def _sim_links(docs: DataFrame, nodes_of: DataFrame, radius: int) -> DataFrame:
+    """Operator 2's links (a, b), between nodes. nodes_of: (_rid, id), the node of each row."""
+    found = near_duplicates(docs, radius=radius).where("_rid <> lead").select("_rid", "lead")
+    lead = nodes_of.select(F.col("_rid").alias("lead"), F.col("id").alias("b"))
+    return stored(found.join(nodes_of, "_rid").join(lead, "lead").where("id <> b").select(*_pair(F.col("id"), F.col("b"))).distinct(), "near-simhash")
+
+
+def leads(docs: DataFrame, words: int = 5, radius: int = 2) -> DataFrame:
+    """(_rid) of the rows that stay. docs must have _rid and doc_id. Of its own tables only that of these ids is left in the scratch folder."""
     narrow = docs.select("_rid", F.col("text").cast("string").alias("text"))
     made = narrow.mapInArrow(_signatures(words), "_rid bigint, high bigint, low bigint, n int, keys array<bigint>, sketch binary")
+    made = stored(made, "near-signatures")
     nodes = made.groupBy("high", "low").agg(F.min("_rid").alias("id"), *(F.first(c).alias(c) for c in ("n", "keys", "sketch")))
-    nodes = stored(nodes.select("id", "n", "keys", "sketch"), "near-nodes")
+    nodes = stored(nodes, "near-nodes")
+    nodes_of = made.select("_rid", "high", "low").join(nodes.select("high", "low", "id"), ["high", "low"]).select("_rid", "id")
+    same = _sim_links(docs, nodes_of, radius)
+    done_with(made)
     keyed = nodes.select("id", "n", F.explode("keys").alias("key"))
     counts = keyed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
     members = stored(keyed.join(counts, "key"), "near-buckets")
@@ -239,7 +253,7 @@ def leads(docs: DataFrame, words: int = 5) -> DataFrame:
     pairs = stored(star.select(*_pair(F.col("id"), F.col("c.id"))).distinct(), "near-pairs")
     first = _links(pairs, nodes, narrow, words)
 
-    roots = components(first)
+    roots = components(first.union(same))
     apart = members.join(roots, members.id == roots.node, "left").select("key", "id", "n", "m", F.coalesce("root", "id").alias("root"))
     rooted = stored(apart, "near-rooted")
     mixed = rooted.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("key")
@@ -249,15 +263,15 @@ def leads(docs: DataFrame, words: int = 5) -> DataFrame:
     second = _cluster_links(few.select(*columns), many.select(*columns), narrow, words)
     done_with(members, rooted, pairs)
 
-    roots = components(first.union(second))
+    roots = components(first.union(same).union(second))
     lost = roots.where("node <> root").select(F.col("node").alias("id"))
     out = stored(nodes.join(lost, "id", "left_anti").select(F.col("id").alias("_rid")), "near-leads")
-    done_with(nodes, first, second)
+    done_with(nodes, first, same, second)
     return out
 
 
 @keeps_columns
-def one_of_each(docs: DataFrame, words: int = 5) -> DataFrame:
+def one_of_each(docs: DataFrame, words: int = 5, radius: int = 2) -> DataFrame:
     """The rows of docs without those that are linked, over any steps, to a row before them."""
     numbered = with_row_ids(docs)
-    return numbered.join(leads(numbered, words), "_rid", "left_semi").select(*docs.columns)
+    return numbered.join(leads(numbered, words, radius), "_rid", "left_semi").select(*docs.columns)

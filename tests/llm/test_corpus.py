@@ -360,6 +360,27 @@ def test_near_copies_go_from_the_pipeline(spark, monkeypatch):
     assert {x.doc_id for x in near.one_of_each(docs).collect()} == want
 
 
+def test_near_dedup_also_links_by_operator_2(spark):
+    """Long texts of few words: at one changed place their fingerprints are equal, but their sets of shingles are not 0.8 alike."""
+    import corpus_pipeline
+
+    plain = ["a b c d e f g h i"] * 60
+    rows = [(1, " ".join(plain)), (2, " ".join([*plain[:30], "x y z", *plain[30:]])), (3, " ".join(plain)), (4, text_of(80)), (5, "one two three")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert near_groups([rows[0][1], rows[1][1]])[0] == [0, 1]
+    prints = {r.doc_id: r.component_id for r in simhash.simhash(docs).collect()}
+    assert prints == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5}
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()} == {1, 4, 5}
+
+
+def test_sifted_rows_hold_all_that_are_wanted(spark):
+    rows = spark.range(20_000).select((F.col("id") * 7919 - 50_000_000).alias("k"), F.col("id").cast("string").alias("text"))
+    ids = rows.where("k % 40 = 0").select("k")
+    found = shared.sifted(rows, ids, "k")
+    assert found.columns == rows.columns and found.join(ids, "k", "left_semi").count() == ids.count() and found.count() < 3000
+    assert shared.sifted(rows, ids.limit(0), "k").count() == 0
+
+
 def test_stages_can_be_composed_before_they_are_written(spark):
     """Also twice in one thread, and with a stage between that another result still needs."""
     import corpus_pipeline as c
