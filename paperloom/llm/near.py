@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import components, done_with, keeps_columns, sifted, small, stored, with_row_ids
+from .shared import components, done_with, keeps_columns, let_go, sifted, small, stored, with_row_ids
 from .simhash import near_duplicates, shingle_hashes
 
 SEED, BANDS, ROWS, SMALL = 42, 20, 5, 128
@@ -71,6 +71,7 @@ def _signatures(words: int):
     minima = _minima(BANDS * ROWS)
 
     def run(batches):
+        let_go()
         for batch in small(batches):
             high, low, size, found, sketch = [], [], [], [], []
             for text in batch.column("text").cast(pa.binary()).to_pylist():
@@ -181,9 +182,22 @@ def _prefix_pairs(many: DataFrame, sets: DataFrame) -> DataFrame:
     return out
 
 
+def _dealt(placed: DataFrame, sets: DataFrame) -> DataFrame:
+    """The nodes of clusters that are not all connected, once for each pair of blocks (c, lo, hi) that they are in. placed: (id, root, c), a node's cluster; sets: (id, sets).
+
+    Clusters are cut before their nodes' shingles come in, by id: so it is the pair of blocks that deals these out to tasks, not the cluster.
+    """
+    sizes = placed.groupBy("c").agg(F.count("*").alias("m"), F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("c", "m")
+    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    cut = placed.join(sizes, "c").withColumns({"k": blocks, "p": F.pmod(F.xxhash64("id", "c"), blocks).cast("int")})
+    cut = cut.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    cut = cut.select("id", "root", "c", F.least("p", "q").alias("lo"), F.greatest("p", "q").alias("hi"), (F.col("p") <= F.col("q")).alias("own"))
+    return cut.join(sets, "id").select("id", "root", "sets", "c", "lo", "hi", "own")
+
+
 def _cluster_links(few: DataFrame, many: DataFrame, narrow: DataFrame, words: int) -> DataFrame:
     """Links (a, b) among the members (key, id, root, n) of small and large buckets that are not all connected yet."""
-    wanted = few.union(many).select("id", "root", "n").distinct()
+    wanted = stored(few.union(many).select("id", "root", "n").distinct(), "near-wanted")
     # only the texts that are wanted are shuffled
     held = sifted(narrow, wanted.select(F.col("id").alias("_rid")), "_rid")
     texts = held.join(wanted, F.col("_rid") == F.col("id")).select("id", "root", "n", "text")
@@ -191,17 +205,12 @@ def _cluster_links(few: DataFrame, many: DataFrame, narrow: DataFrame, words: in
     lead = few.groupBy("key").agg(F.min("id").alias("b"))
     near = few.join(lead, "key").where("id <> b").select(F.col("id").alias("a"), "b").distinct()
     far = _prefix_pairs(many, sets)
-    cluster = components(near.union(far))
-    nodes = sets.join(cluster.withColumnRenamed("root", "c"), F.col("id") == F.col("node")).select("id", "root", "sets", "c")
-    nodes = stored(nodes, "near-clusters")
-    done_with(sets, far)
-    sizes = nodes.groupBy("c").agg(F.count("*").alias("m"), F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("c", "m")
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    dealt = nodes.join(sizes, "c").withColumns({"k": blocks, "p": F.pmod(F.xxhash64("id", "c"), blocks).cast("int")})
-    dealt = dealt.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    dealt = dealt.select("id", "root", "sets", "c", F.least("p", "q").alias("lo"), F.greatest("p", "q").alias("hi"), (F.col("p") <= F.col("q")).alias("own"))
+    cluster = components(near.union(far)).withColumnRenamed("root", "c")
+    placed = stored(wanted.join(cluster, F.col("id") == F.col("node")).select("id", "root", "c"), "near-clusters")
+    done_with(wanted, far)
+    dealt = _dealt(placed, sets.select("id", "sets"))
     out = stored(dealt.groupBy("c", "lo", "hi").applyInArrow(_block_links, "a bigint, b bigint"), "near-links")
-    done_with(nodes)
+    done_with(placed, sets)
     return out
 
 
@@ -257,13 +266,15 @@ def leads(docs: DataFrame, words: int = 5, radius: int = 2) -> DataFrame:
     apart = members.join(roots, members.id == roots.node, "left").select("key", "id", "n", "m", F.coalesce("root", "id").alias("root"))
     rooted = stored(apart, "near-rooted")
     mixed = rooted.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("key")
-    apart = rooted.join(mixed, "key")
+    apart = stored(rooted.join(mixed, "key"), "near-apart")
+    done_with(members, rooted, pairs)
     few, many = apart.where(F.col("m") <= SMALL), apart.where(F.col("m") > SMALL)
     columns = ["key", "id", "root", "n"]
     second = _cluster_links(few.select(*columns), many.select(*columns), narrow, words)
-    done_with(members, rooted, pairs)
+    done_with(apart)
 
-    roots = components(first.union(same).union(second))
+    # what the first links have joined stands in its stars
+    roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(second))
     lost = roots.where("node <> root").select(F.col("node").alias("id"))
     out = stored(nodes.join(lost, "id", "left_anti").select(F.col("id").alias("_rid")), "near-leads")
     done_with(nodes, first, same, second)

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import keeps_columns, partitions, small, stored, with_row_ids
+from .shared import keeps_columns, let_go, partitions, small, stored, with_row_ids
 
 GRAM = 40
 #: Bytes that are hashed at once, and the longest part of a text among them.
@@ -178,6 +178,7 @@ def _send_anchors(width: int, shards: int):
         yield from _dealt("run", shard, [h, sw, rid, s, n, hot.astype(np.uint8)])
 
     def send(batches):
+        let_go()
         runs, held = [], 0
         for batch in small(batches):
             parts: list[tuple[int, int, bytes]] = []

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, keeps_columns, small, stored, with_row_ids
+from .shared import components, keeps_columns, let_go, small, stored, with_row_ids
 
 SEED, BITS, SMALL = 42, 64, 512
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -75,6 +75,7 @@ def _fingerprint_batches(words: int):
         return int(np.packbits(total * 2 > len(h), bitorder="little").view(np.int64)[0])
 
     def run(batches):
+        let_go()
         for batch in small(batches):
             out, held, size = [], [], 0
             for text in batch.column("text").cast(pa.binary()).to_pylist():
@@ -132,14 +133,13 @@ def links(fps: DataFrame, radius: int = 2, small: int = SMALL) -> DataFrame:
     members = stored(keyed.join(counts, ["k", "key"]), "simhash-buckets")
     buckets = members.where(F.col("n") <= small).groupBy("k", "key").agg(F.collect_list("fp").alias("fps"))
     near = buckets.select("fps").mapInArrow(_bucket_links(radius), "a bigint, b bigint")
-    large = members.where(F.col("n") > small)
-    for k, mask in enumerate(masks):
-        ignored = [i for i in range(BITS) if not mask >> i & 1]
-        clear = F.array(*(F.lit(_signed(~sum(1 << i for i in c) & (1 << 64) - 1)) for c in combinations(ignored, radius)))
-        dealt = large.where(F.col("k") == k).select("fp", F.posexplode(clear).alias("pair", "m"))
-        groups = dealt.groupBy("pair", F.col("fp").bitwiseAND(F.col("m")).alias("rest")).agg(F.collect_list("fp").alias("fps"))
-        star = groups.where(F.size("fps") > 1).select(F.explode("fps").alias("a"), F.array_min("fps").alias("b"))
-        near = near.union(star.where("a <> b"))
+    # of each mask the pairs of ignored bits, cleared; all masks in one pass, not a shuffle for each
+    ignored = [[i for i in range(BITS) if not mask >> i & 1] for mask in masks]
+    clear = F.array(*(F.array(*(F.lit(_signed(~sum(1 << i for i in c) & (1 << 64) - 1)) for c in combinations(bits, radius))) for bits in ignored))
+    dealt = members.where(F.col("n") > small).select("k", "fp", F.posexplode(clear[F.col("k")]).alias("pair", "m"))
+    groups = dealt.groupBy("k", "pair", F.col("fp").bitwiseAND(F.col("m")).alias("rest")).agg(F.collect_list("fp").alias("fps"))
+    star = groups.where(F.size("fps") > 1).select(F.explode("fps").alias("a"), F.array_min("fps").alias("b"))
+    near = near.union(star.where("a <> b"))
     return near
 
 

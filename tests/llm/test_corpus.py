@@ -285,6 +285,44 @@ def test_simhash(spark, docs):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {find(i) for i in order}
 
 
+def test_components_take_the_rounds_that_they_need(spark):
+    r = random.Random(4)
+    stars = [(10 * k + r.randint(1, 9), 10 * k) for k in range(20) for _ in range(5)]
+    found = dict(shared.components(spark.createDataFrame(stars, "a long, b long"), rounds=0).collect())
+    assert found == dict(stars) | {b: b for _, b in stars}
+    chain = spark.createDataFrame([(k, k + 1) for k in range(40)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        shared.components(chain, rounds=0)
+    assert dict(shared.components(chain).collect()) == dict.fromkeys(range(41), 0)
+    assert not shared.components(chain.limit(0)).count()
+
+
+def test_blocks_of_a_cluster_go_to_many_tasks(spark, monkeypatch):
+    import pyarrow as pa
+    from pyspark import TaskContext
+
+    monkeypatch.setattr(near, "BLOCK", 10)
+    placed = spark.createDataFrame([(k, k % 2, 0) for k in range(100)], "id long, root long, c long")
+    dealt = near._dealt(placed, placed.select("id", F.array("id").alias("sets")))
+    together = dealt.groupBy("c", "lo", "hi").agg(F.collect_set("id").alias("x"), F.sum(F.col("own").cast("int")).alias("own")).collect()
+    assert {(a, b) for g in together for a in g.x for b in g.x} == {(a, b) for a in range(100) for b in range(100)}
+    assert sum(g.own for g in together if g.lo == g.hi) == 100
+    task = lambda t: pa.table({"c": [t.column("c")[0].as_py()], "task": [TaskContext.get().partitionId()]})
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert len(set(dealt.groupBy("c", "lo", "hi").applyInArrow(task, "c long, task long").collect())) > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_workers_let_go_of_tokenizers(spark):
+    path = P.path("byte_bpe_50k.json")
+    bpe.file_encoder(path).ids("some words")
+    assert bpe.file_encoder.cache_info().currsize
+    shared.let_go()
+    assert not bpe.file_encoder.cache_info().currsize
+
+
 @pytest.mark.parametrize("small", [512, 20])
 def test_links_within_large_buckets(spark, small):
     r = random.Random(2)
