@@ -10,14 +10,15 @@ an earlier start). The work is cut so that no task ever holds more than a bounde
    of all rows share leaves a task once. Records go to shards by their anchor's hash.
 2. *Runs.* A shard marks all but the first of equal runs. Runs with an anchor that other runs share, but not
    all of their bytes, are asked for again: their windows may match in part.
-3. *Windows.* The bytes of these runs meet by anchor in shards. Each shard builds a run-compressed Burrows-Wheeler
+3. *Windows.* The bytes of these runs meet by anchor in shards. For each block of anchors a shard builds a run-compressed Burrows-Wheeler
    transform with samples at the ends of its runs, streams matching statistics from it over the bytes, and marks
    all but the earliest of the windows that long matches join; the index alone decides. An anchor with very many different runs (a
    frequent short line) spreads over all shards by the hash of each window instead, again with only the first
    of a task sent on.
 4. *Removal.* Marks join the documents by id.
 
-There are as many shards as SHARD_BYTES of text need, the shuffle partitions at least; a task takes one shard at a time.
+There are as many shards of runs as SHARD_BYTES of text need, and of windows as WINDOW_BYTES of what is asked for need, the shuffle
+partitions at least; a task takes one shard at a time, and of its windows INDEX_BYTES at a time.
 
 Results in special cases. Null or empty text: nothing to remove. Empty table: no rows. Very long texts: whole, hashed in parts of bounded
 size. Repeated rows: all but the first are removed. Rows with equal or null doc_ids are told apart by shared.with_row_ids (order: doc_id, nulls
@@ -34,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import keeps_columns, let_go, partitions, small, stored, with_row_ids
+from .shared import keeps_columns, let_go, partitions, small, stored, trim, with_row_ids
 
 GRAM = 40
 #: Bytes that are hashed at once, and the longest part of a text among them.
@@ -42,8 +43,9 @@ CHUNK, PART = 1 << 20, 1 << 19
 #: Records that a task gathers before it sends them on; different runs of an anchor in one such block, or in
 #: one shard, from which its windows are dealt out singly.
 BLOCK, HOT_BLOCK, HOT_SHARD = 400_000, 32, 4096
-#: Bytes of texts whose records and windows one shard is meant for.
-SHARD_BYTES = 64 << 20
+#: Bytes of texts whose records one shard is meant for, bytes of runs and records of windows that one shard is meant for, and bytes that one index
+#: holds, besides those of its last anchors (HOT_SHARD runs of each at most). An index takes some 80 bytes of memory for each.
+SHARD_BYTES, WINDOW_BYTES, INDEX_BYTES = 16 << 20, 8 << 20, 1 << 19
 _BASE = 0x9E3779B97F4A7C15
 _WORD = (1 << 64) - 1
 
@@ -101,26 +103,33 @@ def _merge(rid: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndar
     return rid[first], start[first], reach[stop] - group[stop] * lift
 
 
-def _pack(*columns: np.ndarray) -> bytes:
-    return np.int64(len(columns[0])).tobytes() + b"".join(np.ascontiguousarray(c).tobytes() for c in columns)
+#: What is sent, by kind. Places and sizes take 4 bytes, as no text has 2 GB.
+RUN = ("<u8", "<u8", "<i8", "<u4", "<u4", "u1")  # anchor, content, rid, start, windows - 1, anchor is hot
+MARK = ("<i8", "<u4", "<u4")  # rid, start, end
+BYTES = ("<u2", "<i8", "<u4", "<u4")  # 16 bits of the anchor, rid, start, size
+WINDOW = ("<u8", "<u8", "<i8", "<u4")  # content (two), rid, start
+SPAN = np.dtype([("start", "<u4"), ("end", "<u4")])
+ASK = np.dtype([("start", "<u4"), ("more", "<u4"), ("anchor", "<u8"), ("hot", "u1")])  # more: windows - 1
+
+
+def _pack(kinds: tuple[str, ...], *columns: np.ndarray) -> bytes:
+    return np.int64(len(columns[0])).tobytes() + b"".join(np.ascontiguousarray(c, k).tobytes() for c, k in zip(columns, kinds, strict=True))
 
 
 def _unpack(blobs: list[bytes], *kinds: str) -> list[np.ndarray]:
+    """The columns of all blobs, with places and sizes as 64-bit integers."""
     out: list[list[np.ndarray]] = [[np.zeros(0, k)] for k in kinds]
     for b in blobs:
         n, at = int(np.frombuffer(b, "<i8", 1)[0]), 8
         for k, o in zip(kinds, out, strict=True):
             o.append(np.frombuffer(b, k, n, at))
             at += n * np.dtype(k).itemsize
-    return [np.concatenate(o) for o in out]
+    return [np.concatenate(o).astype(np.int64 if k == "<u4" else k, copy=False) for k, o in zip(kinds, out, strict=True)]
 
 
-RUN = ("<u8", "<u8", "<i8", "<i8", "<u4", "u1")  # anchor, content, rid, start, windows - 1, anchor is hot
-MARK = ("<i8", "<i8", "<i8")  # rid, start, end
-ASK = ("<i8", "<u4", "<u8", "u1")  # start, windows - 1, anchor, anchor is hot
 SHARDS = pa.schema([("shard", pa.int32()), ("kind", pa.string()), ("data", pa.binary())])
-FOUND = pa.schema([("_rid", pa.int64()), ("marks", pa.binary()), ("asks", pa.binary())])
-TO_SHARD, TO_FOUND = "shard int, kind string, data binary", "_rid bigint, marks binary, asks binary"
+FOUND = pa.schema([("_rid", pa.int64()), ("marks", pa.binary()), ("asks", pa.binary()), ("asked", pa.int64())])
+TO_SHARD, TO_FOUND = "shard int, kind string, data binary", "_rid bigint, marks binary, asks binary, asked bigint"
 
 
 def _groups(sorted_keys: np.ndarray) -> list[tuple[int, int]]:
@@ -129,11 +138,11 @@ def _groups(sorted_keys: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(cut, [*cut[1:], len(sorted_keys)], strict=False)) if cut else []
 
 
-def _dealt(kind: str, shard: np.ndarray, columns: list[np.ndarray]):
+def _dealt(kind: str, kinds: tuple[str, ...], shard: np.ndarray, columns: list[np.ndarray]):
     """One row for each shard with its part of the columns."""
     order = np.argsort(shard, kind="stable")
     for a, b in _groups(shard[order]):
-        yield int(shard[order[a]]), kind, _pack(*(c[order[a:b]] for c in columns))
+        yield int(shard[order[a]]), kind, _pack(kinds, *(c[order[a:b]] for c in columns))
 
 
 def _batch(rows) -> pa.RecordBatch:
@@ -167,7 +176,7 @@ def _send_anchors(width: int, shards: int):
         h, sw, rid, s, n = (c[order] for c in (h, sw, rid, s, n))
         mark = _merge(rid[~new], s[~new], s[~new] + n[~new].astype(np.int64) + width)
         if len(mark[0]):
-            yield from _dealt("mark", (mark[0] % shards).astype(np.int32), list(mark))
+            yield from _dealt("mark", MARK, (mark[0] % shards).astype(np.int32), list(mark))
         h, sw, rid, s, n = (c[new] for c in (h, sw, rid, s, n))
         lead = np.flatnonzero(_fresh(h))
         count = np.diff(np.concatenate((lead, [len(h)])))
@@ -175,7 +184,7 @@ def _send_anchors(width: int, shards: int):
         away = hot.copy()
         away[lead] = False  # one of a hot anchor tells its shard that it is hot
         shard = (np.where(away, sw, h) % np.uint64(shards)).astype(np.int32)
-        yield from _dealt("run", shard, [h, sw, rid, s, n, hot.astype(np.uint8)])
+        yield from _dealt("run", RUN, shard, [h, sw, rid, s, n, hot.astype(np.uint8)])
 
     def send(batches):
         let_go()
@@ -207,6 +216,7 @@ def _send_anchors(width: int, shards: int):
                         if held >= BLOCK:
                             yield _batch(flush(runs))
                             runs, held = [], 0
+                            trim()
             if parts:
                 runs.append(hashed(parts))
                 held += len(runs[-1][0])
@@ -216,19 +226,26 @@ def _send_anchors(width: int, shards: int):
     return send
 
 
-def _found(mark: tuple, rid: np.ndarray, ask: list[np.ndarray]) -> pa.Table:
-    """One row for each rid with marks or asks."""
-    out: dict[int, list] = {}
+def _of_each(rids: np.ndarray, rid: np.ndarray, kind: np.dtype, *columns: np.ndarray) -> pa.Array:
+    """For each of the sorted rids its rows, as the bytes of an array of that kind; null where it has none."""
+    order = np.argsort(rid, kind="stable")
+    rows = np.empty(len(rid), kind)
+    for name, c in zip(kind.names, columns, strict=True):
+        rows[name] = c[order]
+    ends = np.searchsorted(rid[order], rids, side="right")
+    has = np.packbits(np.diff(ends, prepend=0) > 0, bitorder="little")
+    at = (np.append(0, ends) * kind.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(rids), [pa.py_buffer(x) for x in (has, at, rows.view(np.uint8))])
+
+
+def _found(mark: tuple, rid: np.ndarray, ask: list[np.ndarray], width: int) -> pa.Table:
+    """One row for each rid with marks or asks; asked: the bytes that its asks send."""
     mrid, ms, me = _merge(*mark)
-    for columns, of, at in (([ms, me], mrid, 0), (ask, rid, 1)):
-        order = np.argsort(of, kind="stable")
-        for a, b in _groups(of[order]):
-            i = order[a:b]
-            out.setdefault(int(of[i[0]]), [None, None])[at] = _pack(*(c[i] for c in columns))
-    return pa.Table.from_arrays(
-        [pa.array(list(out), pa.int64()), pa.array([v[0] for v in out.values()], pa.binary()), pa.array([v[1] for v in out.values()], pa.binary())],
-        schema=FOUND,
-    )
+    rids = np.union1d(mrid, rid)
+    _, more, _, hot = ask
+    size = np.bincount(np.searchsorted(rids, rid), np.where(hot > 0, 32 * (more + 1.0), more + float(width)), len(rids))
+    columns = [pa.array(rids), _of_each(rids, mrid, SPAN, ms, me), _of_each(rids, rid, ASK, *ask), pa.array(size.astype(np.int64))]
+    return pa.Table.from_arrays(columns, schema=FOUND)
 
 
 def _by_kind(table: pa.Table) -> dict[str, list[bytes]]:
@@ -240,6 +257,7 @@ def _by_kind(table: pa.Table) -> dict[str, list[bytes]]:
 
 def _compare_runs(width: int):
     def compare(table: pa.Table) -> pa.Table:
+        trim()
         blobs = _by_kind(table)
         mark = _unpack(blobs.get("mark", []), *MARK)
         h, sw, rid, s, n, hot = _unpack(blobs.get("run", []), *RUN)
@@ -253,7 +271,7 @@ def _compare_runs(width: int):
         many = np.add.reduceat(new.astype(np.int64), lead) if len(lead) else np.zeros(0, np.int64)
         shared, big = np.repeat((many > 1) | told, count), np.repeat(told | (many > HOT_SHARD), count)
         keep = new & shared
-        return _found(tuple(mark), rid[keep], [s[keep], n[keep], h[keep], big[keep].astype(np.uint8)])
+        return _found(tuple(mark), rid[keep], [s[keep], n[keep], h[keep], big[keep].astype(np.uint8)], width)
 
     return compare
 
@@ -266,7 +284,8 @@ def _send_windows(width: int, shards: int):
             order = np.argsort(shard, kind="stable")
             for a, b in _groups(shard[order]):
                 own = [plain[i] for i in order[a:b]]
-                head = _pack(*(np.array([x[i] for x in own], np.int64) for i in (1, 2)), np.array([len(x[3]) for x in own], np.int64))
+                part = h[order[a:b]] >> np.uint64(24)  # what meets by anchor meets by these bits too
+                head = _pack(BYTES, part, *(np.array([x[i] for x in own], np.int64) for i in (1, 2)), np.array([len(x[3]) for x in own], np.int64))
                 yield int(shard[order[a]]), "bytes", head + b"".join(x[3] for x in own)
         if singles:
             a, b, rid, s = (np.concatenate(c) for c in zip(*singles, strict=True))
@@ -274,14 +293,15 @@ def _send_windows(width: int, shards: int):
             a, b, rid, s = (c[order] for c in (a, b, rid, s))
             mark = _merge(rid[~new], s[~new], s[~new] + width)
             if len(mark[0]):
-                yield from _dealt("mark", (mark[0] % shards).astype(np.int32), list(mark))
-            yield from _dealt("window", (a[new] % np.uint64(shards)).astype(np.int32), [c[new] for c in (a, b, rid, s)])
+                yield from _dealt("mark", MARK, (mark[0] % shards).astype(np.int32), list(mark))
+            yield from _dealt("window", WINDOW, (a[new] % np.uint64(shards)).astype(np.int32), [c[new] for c in (a, b, rid, s)])
 
     def send(batches):
+        trim()
         plain, singles, held = [], [], 0
         for batch in small(batches):
             for rid, text, asks in zip(batch.column("_rid").to_pylist(), _texts(batch), batch.column("_asks").to_pylist(), strict=True):
-                for s, n, h, hot in zip(*(c.tolist() for c in _unpack(asks, *ASK)), strict=True):
+                for s, n, h, hot in np.frombuffer(b"".join(asks), ASK).tolist():
                     if hot:
                         ids = np.frombuffer(b"".join(xxhash.xxh3_128_digest(text[p : p + width]) for p in range(s, s + n + 1)), "<u8").reshape(-1, 2)
                         singles.append((ids[:, 0], ids[:, 1], np.full(n + 1, rid, np.int64), np.arange(s, s + n + 1)))
@@ -292,6 +312,7 @@ def _send_windows(width: int, shards: int):
                 if held >= BLOCK:
                     yield _batch(flush(plain, singles))
                     plain, singles, held = [], [], 0
+                    trim()
         if held:
             yield _batch(flush(plain, singles))
 
@@ -387,40 +408,48 @@ def later_windows(buf: np.ndarray, fits: np.ndarray, width: int) -> np.ndarray:
     return places[places != earliest[to[places]]]
 
 
+def _blocks(part: np.ndarray, size: np.ndarray) -> list[tuple[int, int]]:
+    """Bounds of blocks of INDEX_BYTES of runs, which end with the last run of a part (parts are sorted)."""
+    lead = np.flatnonzero(_fresh(part))
+    count, total = np.diff(np.append(lead, len(part))), np.add.reduceat(size, lead)
+    return _groups(np.repeat((np.cumsum(total) - total) // INDEX_BYTES, count))
+
+
 def _compare_windows(width: int):
     def compare(table: pa.Table) -> pa.Table:
+        trim()
         blobs = _by_kind(table)
         marks = [_unpack(blobs.get("mark", []), *MARK)]
-        a, b, rid, s = _unpack(blobs.get("window", []), "<u8", "<u8", "<i8", "<i8")
+        a, b, rid, s = _unpack(blobs.get("window", []), *WINDOW)
         order, new = _first_of((a, b), rid, s)
         old = order[~new]
         marks.append([rid[old], s[old], s[old] + width])
-        rids, starts, lens, data = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
+        runs, data = [], [np.zeros(0, np.uint8)]
         for x in blobs.get("bytes", []):
-            r, s, n = _unpack([x], "<i8", "<i8", "<i8")
-            rids.append(r), starts.append(s), lens.append(n)
-            data.append(np.frombuffer(x, np.uint8, offset=8 + 24 * len(r)))
-        rid, s, n = np.concatenate(rids), np.concatenate(starts), np.concatenate(lens)
-        if len(rid):
-            raw = np.concatenate(data)
-            at = np.concatenate(([0], np.cumsum(n)[:-1]))
-            place = np.lexsort((s, rid))  # the index holds the runs in the order of the corpus
-            rid, s, n, at = rid[place], s[place], n[place], at[place]
-            to = np.concatenate(([0], np.cumsum(n)[:-1]))
-            spread = np.arange(int(n.sum())) - np.repeat(to, n)
-            buf = raw[np.repeat(at, n) + spread]
-            old = later_windows(buf, spread + width <= np.repeat(n, n), width)  # windows within one run's bytes
-            owner = np.repeat(np.arange(len(n)), n)[old]
-            where = s[owner] + spread[old]
-            marks.append([rid[owner], where, where + width])
-        return _found(tuple(np.concatenate(x) for x in zip(*marks, strict=True)), np.zeros(0, np.int64), [np.zeros(0, np.int64)])
+            runs.append(_unpack([x], *BYTES))
+            data.append(np.frombuffer(x, np.uint8, offset=8 + sum(np.dtype(k).itemsize for k in BYTES) * len(runs[-1][0])))
+        if runs:
+            part, rid, s, n = (np.concatenate(c) for c in zip(*runs, strict=True))
+            raw, at = np.concatenate(data), np.cumsum(n) - n
+            place = np.lexsort((s, rid, part))  # an index holds the runs of an anchor in the order of the corpus
+            part, rid, s, n, at = (c[place] for c in (part, rid, s, n, at))
+            for i, j in _blocks(part, n):
+                size = n[i:j]
+                spread = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+                buf = raw[np.repeat(at[i:j], size) + spread]
+                old = later_windows(buf, spread + width <= np.repeat(size, size), width)  # windows within one run's bytes
+                owner = i + np.repeat(np.arange(j - i), size)[old]
+                where = s[owner] + spread[old]
+                marks.append(_merge(rid[owner], where, where + width))
+        none = np.zeros(0, np.int64)
+        return _found(tuple(np.concatenate(x) for x in zip(*marks, strict=True)), none, [none] * 4, width)
 
     return compare
 
 
 def _cut_out(text: bytes, marks: list[bytes]) -> tuple[int, int, bytes]:
-    start, end = _unpack(marks, "<i8", "<i8")
-    _, start, end = _merge(np.zeros(len(start), np.int64), start, end)
+    span = np.frombuffer(b"".join(marks), SPAN)
+    _, start, end = _merge(np.zeros(len(span), np.int64), *(span[x].astype(np.int64) for x in SPAN.names))
     view, at, kept = memoryview(text), 0, []
     for a, b in zip(start.tolist(), end.tolist(), strict=True):
         kept.append(view[at:a])
@@ -433,6 +462,7 @@ def _remove(schema: pa.Schema):
     whole = schema.field("_kept").type
 
     def remove(batches):
+        trim()
         for batch in small(batches):
             out = [_cut_out(t, m or []) for t, m in zip(_texts(batch), batch.column("_marks").to_pylist(), strict=True)]
             kept = [x[2] for x in out] if whole == pa.binary() else [x[2].decode("utf-8", "ignore") for x in out]
@@ -458,6 +488,7 @@ def remove_repeats(docs: DataFrame, width: int = 100, as_text: bool = False) ->
     found = stored(runs.groupBy("shard").applyInArrow(_compare_runs(width), TO_FOUND), "repeats")
     asks = found.where("asks is not null").groupBy("_rid").agg(F.collect_list("asks").alias("_asks"))
     # all columns of docs, so that this join and the last one share one shuffle of the texts
+    shards = max(partitions(spark), -(-(found.agg(F.sum("asked")).first()[0] or 0) // WINDOW_BYTES))
     windows = docs.join(asks, "_rid").mapInArrow(_send_windows(width, shards), TO_SHARD)
     settled = windows.groupBy("shard").applyInArrow(_compare_windows(width), TO_FOUND)
     marks = found.unionByName(settled).where("marks is not null").groupBy("_rid").agg(F.collect_list("marks").alias("_marks"))

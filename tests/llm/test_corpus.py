@@ -7,10 +7,12 @@ import os
 import random
 import re
 import struct
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
@@ -691,6 +693,46 @@ def test_repeats(spark, docs):
     assert cut.columns == docs.columns and {r.doc_id: r.text for r in cut.collect()}[5000] is None
 
 
+def variants(n):
+    """Documents of passages of 400 bytes, of which every other one is met again with one word in the middle changed; so most windows are asked for."""
+    r = random.Random(n)
+    base = [" ".join(f"w{r.randrange(10**6)}" for _ in range(52)) for _ in range(n // 2)]
+    return [(2 * i + k, f"{t[:150]}{k}{t[151:]}") for i, t in enumerate(base) for k in range(2)]
+
+
+def test_windows_of_a_shard_take_bounded_memory(monkeypatch):
+    """A shard's windows are settled block by block, not in one index of some 80 bytes for each of theirs."""
+    monkeypatch.setattr(repeats, "INDEX_BYTES", 1 << 16, raising=False)
+    rows = variants(4000)
+    ids, texts = pa.array([i for i, _ in rows], pa.int64()), pa.array([t for _, t in rows])
+    one = lambda step, **columns: pa.Table.from_batches(list(step(iter([pa.RecordBatch.from_pydict(columns)]))))
+    found = repeats._compare_runs(100)(one(repeats._send_anchors(100, 1), _rid=ids, text=texts)).to_pylist()
+    asks = {r["_rid"]: [r["asks"]] for r in found if r["asks"]}
+    windows = one(repeats._send_windows(100, 1), _rid=ids, text=texts, _asks=pa.array([asks.get(i, []) for i, _ in rows], pa.list_(pa.binary())))
+    tracemalloc.start()
+    settled = repeats._compare_windows(100)(windows).to_pylist()
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert windows.nbytes > 500_000 and most < 12 * windows.nbytes + 150 * (1 << 16)
+    marks = defaultdict(list)
+    for r in found + settled:
+        marks[r["_rid"]] += [r["marks"]] if r["marks"] else []
+    assert {i: repeats._cut_out(t.encode(), marks[i]) for i, t in rows} == remaining(rows, 100)
+
+
+def test_shards_follow_what_is_asked_for(spark, monkeypatch):
+    """However few the shuffle partitions, a shard is meant for bounded bytes of texts and of windows."""
+    made = []
+    for name in ("_send_anchors", "_send_windows"):
+        monkeypatch.setattr(repeats, name, lambda width, shards, f=getattr(repeats, name): made.append(shards) or f(width, shards))
+    rows = variants(1000)
+    monkeypatch.setattr(repeats, "SHARD_BYTES", 1 << 14)
+    monkeypatch.setattr(repeats, "WINDOW_BYTES", 1 << 13, raising=False)
+    found = {r.doc_id: (r._removed, r._spans, bytes(r._kept)) for r in repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == remaining(rows, 100)
+    assert made[0] == -(-sum(len(t) for _, t in rows) // (1 << 14)) and made[1] > 20 and made[1] != made[0]
+
+
 @pytest.mark.parametrize(("letters", "n"), [(b"ab", 600), (b"a", 90), (b"\0", 70), (b"\0\xff", 300), (b"abcdefgh", 500), (b"x", 1), (b"x", 0)])
 def test_run_length_index(letters, n):
     r = random.Random(6)
